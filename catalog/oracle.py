@@ -79,14 +79,14 @@ def token_hash(column: str) -> str:
     return f"('0x'||substr(md5({column}),1,8))::BIGINT % {PRIME}"
 
 
-def signed(count: int, tokens: str, source: str = "documents") -> str:
+def signed(count: int, tokens: str, source: str = "documents", ids: str = "documents") -> str:
     """CTE ``sg(doc_id, i, s)`` over a per-document list expression ``tokens``."""
     return f"""{family(count)},
         tk as (select doc_id, {token_hash('u')} h
                from (select doc_id, unnest({tokens}) u from {source})),
         mn as (select doc_id, i, min((a::BIGINT * h + b) % {PRIME}) s from tk, cf group by 1, 2),
         sg as (select d.doc_id, cf.i, coalesce(mn.s, {PRIME}) s
-               from (select doc_id from documents) d cross join cf
+               from (select doc_id from {ids}) d cross join cf
                left join mn on mn.doc_id = d.doc_id and mn.i = cf.i)"""
 
 
@@ -96,18 +96,20 @@ SPLIT_DOCS = f"(select doc_id, {SPLIT} w from documents)"
 SHINGLES = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
 
 
-def banded(count: int, shape: BandShape) -> str:
-    return f"""{signed(count, WORDS)},
+def banded(count: int, shape: BandShape, rows: str = "documents") -> str:
+    return f"""{signed(count, WORDS, rows, rows)},
         kb as (select doc_id, i // {shape.rows} band,
                       md5((i // {shape.rows})::varchar || ':'
                           || string_agg(s::varchar, ',' order by i)) k
                from sg where i < {shape.used} group by 1, 2)"""
 
 
-def first_match(count: int = 150, threshold: float = 0.8) -> str:
+def first_match(
+    count: int = 150, threshold: float = 0.8, rows: str = "documents", before: str = ""
+) -> str:
     """CTEs ``mt(doc_id, owner_id)``, all kept matches, and ``dr``, the lowest of each."""
     shape = BandShape.chosen(threshold, count)
-    return f"""recursive {banded(count, shape)},
+    return f"""recursive {before} {banded(count, shape, rows)},
         sh as (select k from kb group by k having count(*) > 1),
         cand as (select doc_id, list(k) ks, row_number() over (order by doc_id) rn
                  from kb where k in (select k from sh) group by doc_id),
@@ -235,6 +237,29 @@ def pair_sample(head: str, parameter: str) -> str:
         join documents o on o.doc_id = rk.owner_id where rn <= 10"""
 
 
+def pair_table(head: str, parameter: str) -> str:
+    return f"""select dr_original as "Original", dr_duplicate as "Duplicate",
+               '{parameter}' as "Parameter", same_lines, gone_lines, new_lines from (
+        select o.text dr_original, d.text dr_duplicate, l.unchanged_lines same_lines,
+               l.removed_lines gone_lines, l.added_lines new_lines,
+               row_number() over (partition by l.doc_id // {CHUNK} order by l.doc_id) rn
+        from ({line_diff(head)}) l join documents d on d.doc_id = l.doc_id
+        join documents o on o.doc_id = l.owner_id) where rn <= 10"""
+
+
+def stream_running(head: str) -> str:
+    step = "(select max(doc_id) // 4 + 1 from documents)"
+    return f"""with {head},
+        cn as (select chunk, original, original - coalesce(removed, 0) kept,
+                      coalesce(removed, 0) removed
+               from (select doc_id // {step} chunk, count(*) original from documents group by 1)
+               left join (select doc_id // {step} chunk, count(*) removed from dr group by 1)
+               using (chunk))
+        select chunk + 1 chunk_index, original processed_total, kept unique_docs,
+               (sum(removed) over (order by chunk))::BIGINT duplicates,
+               round(({EXACT_RATIO})::DOUBLE, 6) duplicate_ratio from cn"""
+
+
 def csv_rows(head: str, threshold: float) -> str:
     return f"""with {head}, gs as (select owner_id, count(*) + 1 n from dr group by 1)
         select 'doc_' || dr.owner_id group_id, n group_size, md5(o.text) original_md5,
@@ -417,6 +442,14 @@ def all_sql() -> dict[str, str]:
         "jaccard_pairs": f"""with {jaccard('mt', mh)}
             select doc_id, owner_id, round(j, 6) jaccard from jc where j >= 0.8""",
         "similarity_histogram": f"with {jaccard('mt', mh)}, {HISTOGRAM} {HISTOGRAM_ROWS}",
+        "similarity_histogram_after_exact": f"""with {jaccard('mt', first_match(
+            rows='ek', before=f"{exact_ctes()}, ek as (select * from documents where doc_id "
+            "not in (select doc_id from dr_exact)),"))}, {HISTOGRAM} {HISTOGRAM_ROWS}""",
+        "pair_table": pair_table(mh, "0.8"),
+        "batch_run_rows": f"""with {mh} select doc_id, lang, source, n_chars, doc_id // {CHUNK} chunk
+            from documents where doc_id not in (select doc_id from dr)""",
+        "batch_run_metrics": f"""select chunk_index, processed_total, chunk_kept, chunk_duplicates,
+            global_unique, global_duplicates, duplicate_ratio from ({minhash_running(mh)})""",
         "hybrid_fingerprints": f"with {hybrid} select doc_id, fp from hp",
         "hybrid_kept": bloom_kept("hp", LARGE_BLOOM, head=hybrid + ","),
         "hybrid_kept_undersized": bloom_kept("hp", SMALL_BLOOM, head=hybrid + ","),
@@ -433,5 +466,6 @@ def all_sql() -> dict[str, str]:
         "stream_minhash": f"with {mh} {kept}",
         "stream_bloom": bloom_kept(text_prints(), SMALL_BLOOM),
         "stream_hybrid": bloom_kept("hp", SMALL_BLOOM, head=hybrid + ","),
+        "stream_chunk_running": stream_running(ex),
         "stream_minhash_pairs": f"with {mh} select doc_id, owner_id from dr",
     }

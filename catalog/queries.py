@@ -14,8 +14,9 @@ from echosieve.functions.text import blank_tokens, lenient_text, required_text,
 from echosieve.operators import (
     bloom, exact, groups, hybrid, metrics, minhash, overlap, similarity,
 )
-from echosieve.operators.survivors import keep, removed
+from echosieve.operators.survivors import enough_tasks, keep, removed
 from echosieve.params import BloomShape
+from echosieve.plans import batch
 from echosieve.sources import readers, sinks
 from echosieve.streaming import runner
 
@@ -95,7 +96,7 @@ def _duplicate_count(name: str, shifted: bool = False) -> Query:
     def query(spark, sf):
         run = _Run(spark, sf, method=name)
         count = groups.with_shifted_duplicate_count if shifted else groups.with_duplicate_count
-        return count(run.docs, run.dropped(), run.params).select("doc_id", "duplicate_count")
+        return count(run.docs, run.dropped(), run.params, run.work).select("doc_id", "duplicate_count")
     return query
 
 
@@ -333,8 +334,47 @@ def jaccard_pairs(spark, sf):
 
 
 def similarity_histogram(spark, sf):
-    run, scored = _scored(spark, sf)
-    return _rounded(similarity.histogram(scored, run.work), "low", "high")
+    _, scored = _scored(spark, sf)
+    return _rounded(similarity.histogram(scored), "low", "high")
+
+
+def similarity_histogram_after_exact(spark, sf):
+    """The scores that are left once exact copies are gone."""
+    run = _Run(spark, sf, method="minhash")
+    rows = run.work.table(
+        deduplicate(run.docs, run.params.but(method="exact"), run.work), "exact-rows"
+    )
+    chosen = minhash.selection(rows, run.params, run.work)
+    scored = similarity.scored_pairs(rows, chosen.matches, run.params, run.work)
+    return _rounded(similarity.histogram(scored), "low", "high")
+
+
+def _batch_run(spark, sf):
+    run = _Run(spark, sf, method="minhash")
+    out = run.work.path("out")
+    return out, batch.run(spark, run.params, run.docs, out)
+
+
+def batch_run_rows(spark, sf):
+    _, result = _batch_run(spark, sf)
+    return spark.read.parquet(result.path).select(
+        "doc_id", "lang", "source", "n_chars", F.col("chunk").cast("bigint").alias("chunk")
+    )
+
+
+def batch_run_metrics(spark, sf):
+    out, _ = _batch_run(spark, sf)
+    return _rounded(spark.read.parquet(f"{out}/metrics/method"), "duplicate_ratio")
+
+
+def pair_table(spark, sf):
+    """The sampled pairs as a run writes them."""
+    out, _ = _batch_run(spark, sf)
+    return spark.read.parquet(f"{out}/pairs").select(
+        *sinks.PAIR_COLUMNS,
+        *[F.size(c).cast("bigint").alias(f"{name}_lines")
+          for c, name in (("unchanged", "same"), ("removed", "gone"), ("added", "new"))],
+    )
 
 
 def _all_pair_texts(spark, sf, **changes):
@@ -344,7 +384,8 @@ def _all_pair_texts(spark, sf, **changes):
 
 
 def pair_line_diff(spark, sf):
-    diff = similarity.line_differences(_all_pair_texts(spark, sf)[2])
+    run, _, texts = _all_pair_texts(spark, sf)
+    diff = similarity.line_differences(enough_tasks(texts, run.params))
     joined = {c: F.array_join(F.array_sort(c), "\n") for c in ("removed", "added")}
     return diff.select(
         F.col("pos").alias("doc_id"), F.col("owner_pos").alias("owner_id"),
@@ -410,6 +451,11 @@ def _stream_kept(**changes) -> Query:
     )
 
 
+def stream_chunk_running(spark, sf):
+    counts = runner.batch_counts(spark, _streamed(spark, sf))
+    return _rounded(metrics.exact_metrics(counts), "duplicate_ratio")
+
+
 def stream_minhash_pairs(spark, sf):
     return _ids(_streamed(spark, sf, method="minhash").dropped().read(spark))
 
@@ -469,6 +515,10 @@ def all_queries() -> dict[str, Query]:
         "pair_dump": pair_dump,
         "jaccard_pairs": jaccard_pairs,
         "similarity_histogram": similarity_histogram,
+        "similarity_histogram_after_exact": similarity_histogram_after_exact,
+        "pair_table": pair_table,
+        "batch_run_rows": batch_run_rows,
+        "batch_run_metrics": batch_run_metrics,
         "hybrid_fingerprints": hybrid_fingerprints,
         "hybrid_kept": _kept(method="minhash_bloom_hybrid", **LARGE),
         "hybrid_kept_undersized": _kept(method="minhash_bloom_hybrid", **SMALL),
@@ -483,5 +533,6 @@ def all_queries() -> dict[str, Query]:
         "stream_minhash": _stream_kept(method="minhash"),
         "stream_bloom": _stream_kept(method="bloomfilter", **SMALL),
         "stream_hybrid": _stream_kept(method="minhash_bloom_hybrid", **SMALL),
+        "stream_chunk_running": stream_chunk_running,
         "stream_minhash_pairs": stream_minhash_pairs,
     }

@@ -12,13 +12,22 @@ def md5_hex(text: Column) -> Column:
     return F.md5(text)
 
 
+def _present(value: Column, otherwise) -> Column:
+    """The same value, typed as never null.
+
+    A join on a nullable expression first filters on it being present, and so
+    evaluates it twice.
+    """
+    return F.coalesce(value, F.lit(otherwise))
+
+
 def md5_key(text: Column) -> Column:
     """The MD5 as 16 bytes: half the shuffle volume of the hex form."""
-    return F.unhex(F.md5(text))
+    return _present(F.unhex(F.md5(text)), bytearray())
 
 
 def sha256_hex(text: Column) -> Column:
-    return F.sha2(text, 256)
+    return _present(F.sha2(text, 256), "")
 
 
 def hex_modulo(digest: Column, m: int) -> Column:
@@ -38,7 +47,7 @@ def hex_modulo(digest: Column, m: int) -> Column:
     for at in range(0, 64, digits):
         word = F.conv(F.substring(digest, at + 1, digits), 16, 10).cast("bigint")
         value = word % F.lit(m) if value is None else (value * F.lit(shift) + word) % F.lit(m)
-    return value
+    return _present(value, 0)
 
 
 def bloom_bits(rows: DataFrame, fingerprint: str, shape: BloomShape) -> DataFrame:

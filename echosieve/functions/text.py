@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..params import SAMPLE_CHARS
 
 # Runs of letters, digits and underscores, or one other
-# non-blank character; and the blanks that part words.
-WORD_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+# character that is no blank in any script; and the blanks that part words.
+WORD_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x0b\x1c-\x1f\x85]"
 BLANK_PATTERN = r"(?U)[\s\x1c-\x1f]+"
 
 

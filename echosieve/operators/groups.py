@@ -35,10 +35,16 @@ def top_groups(df: DataFrame, dropped: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def with_duplicate_count(df: DataFrame, dropped: DataFrame, params: Params) -> DataFrame:
+def with_duplicate_count(
+    df: DataFrame, dropped: DataFrame, params: Params, work: Workspace
+) -> DataFrame:
     """Surviving rows with the number of rows each of them stands for."""
-    sizes = group_sizes(dropped).select(
-        F.col("owner_pos").alias("_owner"), (F.col("group_size") - 1).alias("_copies")
+    # Written, so that the planner sees its size before it meets the payload.
+    sizes = work.table(
+        group_sizes(dropped).select(
+            F.col("owner_pos").alias("_owner"), (F.col("group_size") - 1).alias("_copies")
+        ),
+        "copies",
     )
     kept = keep(df, dropped, params)
     return kept.join(sizes, F.col(params.order_column) == F.col("_owner"), "left").select(
@@ -55,7 +61,7 @@ def ordinals(dropped: DataFrame) -> DataFrame:
 
 
 def with_shifted_duplicate_count(
-    df: DataFrame, dropped: DataFrame, params: Params
+    df: DataFrame, dropped: DataFrame, params: Params, work: Workspace
 ) -> DataFrame:
     """Surviving rows with the count in its old, shifted alignment.
 
@@ -63,11 +69,12 @@ def with_shifted_duplicate_count(
     chunk, which is 0 when that row survives itself.
     """
     in_chunk = Window.partitionBy("_chunk").orderBy("pos")  # at most chunk_size rows
-    rows = (
+    rows = work.table(
         df.select(position(params))
         .join(ordinals(dropped).select("pos", "ordinal"), "pos", "left")
         .withColumn("_chunk", F.floor(F.col("pos") / params.chunk_size))
-        .withColumn("_at", F.row_number().over(in_chunk))
+        .withColumn("_at", F.row_number().over(in_chunk)),
+        "chunk-rows",
     )
     kept_at = F.count(F.when(F.col("ordinal").isNull(), 1)).over(in_chunk)
     kept = rows.withColumn("_at", kept_at).filter(F.col("ordinal").isNull())

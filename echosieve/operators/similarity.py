@@ -9,6 +9,7 @@ from ..functions.text import lines, word_tokens
 from ..params import HISTOGRAM_BINS, Params
 from ..workspace import Workspace
 from .groups import pair_texts
+from .survivors import enough_tasks
 
 
 def scored_pairs(
@@ -19,7 +20,7 @@ def scored_pairs(
     ``matches`` pairs a row with kept rows only, so there are at most as many
     per row as there are bands, however many rows share a bucket.
     """
-    texts = pair_texts(df, matches, params, work)
+    texts = enough_tasks(pair_texts(df, matches, params, work), params)
     sets = texts.select(
         "pos", "owner_pos",
         word_tokens(F.col("text")).alias("a"), word_tokens(F.col("owner_text")).alias("b"),
@@ -30,17 +31,21 @@ def scored_pairs(
     )
     # Two empty sets are the same set.
     score = F.coalesce(F.try_divide(F.col("both"), F.col("sum") - F.col("both")), F.lit(1.0))
-    return common.select("pos", "owner_pos", score.alias("jaccard"))
+    # Written, for a filter on the score would be moved down to the texts and
+    # have them split several times.
+    return work.table(common.select("pos", "owner_pos", score.alias("jaccard")), "scores")
 
 
 def verified(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.filter(F.col("jaccard") >= threshold)
 
 
-def histogram(scored: DataFrame, work: Workspace, bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """``(bin, low, high, pairs)`` over equal bins from the least to the largest score."""
-    scores = work.table(scored.select("jaccard"), "scores")
-    spark = scored.sparkSession
+def histogram(scores: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
+    """``(bin, low, high, pairs)`` over equal bins from the least to the largest score.
+
+    ``scores`` is a written table, since it is read for its ends first.
+    """
+    spark = scores.sparkSession
     ends = scores.agg(F.min("jaccard").alias("lo"), F.max("jaccard").alias("hi")).first()
     numbers = spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
     if ends.lo is None:

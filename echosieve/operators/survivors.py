@@ -14,7 +14,10 @@ def position(params: Params) -> Column:
 
 def text_rows(df: DataFrame, text: Column, params: Params) -> DataFrame:
     """``(pos, text)`` for the steps that spend their time on the text itself."""
-    rows = df.select(position(params), text.alias("text"))
+    return enough_tasks(df.select(position(params), text.alias("text")), params)
+
+
+def enough_tasks(rows: DataFrame, params: Params) -> DataFrame:
     return rows if params.min_tasks is None else rows.repartition(params.min_tasks)
 
 

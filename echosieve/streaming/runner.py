@@ -19,9 +19,13 @@ METRIC_SCHEMA = "original bigint, kept bigint, removed bigint"
 
 @dataclass(frozen=True)
 class StreamFolders:
-    """Folders of one stream below a common root on shared storage."""
+    """Folders of one stream below a common root on shared storage.
+
+    ``state_folder`` is for a state that was compacted into another place.
+    """
 
     root: str
+    state_folder: str | None = None
 
     @property
     def rows(self) -> str:
@@ -32,7 +36,7 @@ class StreamFolders:
         return f"{self.root}/checkpoint"
 
     def state(self, params: Params) -> BatchTable:
-        return BatchTable(f"{self.root}/state", STEPS[params.method][1])
+        return BatchTable(self.state_folder or f"{self.root}/state", STEPS[params.method][1])
 
     def dropped(self) -> BatchTable:
         return BatchTable(f"{self.root}/dropped", "pos bigint, owner_pos bigint")

@@ -19,7 +19,8 @@ class BatchTable:
 
     def before(self, spark: SparkSession, batch_id: int) -> DataFrame:
         if batch_id == 0:
-            return spark.createDataFrame([], self.schema)
+            # Known to be empty while planning, so the joins with it fall away.
+            return spark.createDataFrame([], self.schema).limit(0)
         stored = spark.read.schema(f"{self.schema}, batch bigint").parquet(self.path)
         return stored.filter(F.col("batch") < batch_id).drop("batch")
 
@@ -30,9 +31,18 @@ class BatchTable:
         return spark.read.schema(f"{self.schema}, batch bigint").parquet(self.path)
 
     def compact_into(self, spark: SparkSession, path: str, files: int) -> "BatchTable":
-        """Copy all batches into few files below a new folder, for a stopped stream."""
+        """Copy a stopped stream's batches into few files below a new folder.
+
+        The last batch stays apart: if it was not committed, it will be run
+        again and must then not see its own rows.
+        """
         target = BatchTable(path, self.schema)
-        last = self.read(spark).agg(F.max("batch")).first()[0]
-        rows = self.read(spark).drop("batch").repartition(files)
-        target.write(rows, 0 if last is None else last)
+        rows = self.read(spark)
+        last = rows.agg(F.max("batch")).first()[0]
+        if last is None:
+            raise ValueError(f"{self.path} holds no batch yet")
+        if last > 0:
+            earlier = rows.filter(F.col("batch") < last)
+            target.write(earlier.drop("batch").repartition(files), last - 1)
+        target.write(rows.filter(F.col("batch") == last).drop("batch"), last)
         return target

@@ -30,7 +30,7 @@ def exact_step(
     firsts = work.table(
         prints.groupBy("fp").agg(F.min("pos").alias("first"), F.count("*").alias("n")), "firsts"
     )
-    seen = work.table(state.join(firsts.select("fp"), "fp", "left_semi"), "seen")
+    seen = state.join(firsts.select("fp"), "fp", "left_semi")
     owners = work.table(
         firsts.join(seen, "fp", "left").select(
             "fp", "n", "first", F.coalesce("pos", "first").alias("owner_pos"),

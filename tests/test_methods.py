@@ -161,9 +161,9 @@ def test_hot_text_is_joined_in_shares(spark, work):
 def test_duplicate_counts_both_alignments(spark, work):
     df = frame(spark, [(0, "A"), (1, "A"), (2, "B")])
     dropped = exact.dropped(df, Params(), work)
-    now = groups.with_duplicate_count(df, dropped, Params()).collect()
+    now = groups.with_duplicate_count(df, dropped, Params(), work).collect()
     assert {r.text: r.duplicate_count for r in now} == {"A": 1, "B": 0}
-    old = groups.with_shifted_duplicate_count(df, dropped, Params()).collect()
+    old = groups.with_shifted_duplicate_count(df, dropped, Params(), work).collect()
     assert {r.text: r.duplicate_count for r in old} == {"A": 0, "B": 1}
 
 
