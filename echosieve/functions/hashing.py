@@ -30,23 +30,29 @@ def sha256_hex(text: Column) -> Column:
     return _present(F.sha2(text, 256), "")
 
 
-def hex_modulo(digest: Column, m: int) -> Column:
-    """A 256-bit hex number modulo ``m``, by Horner's rule in BIGINT.
+def digest_words(digest: Column) -> list[Column]:
+    """A 256-bit hex number as one 16-bit and four 60-bit words, high to low."""
+    cuts = [(1, 4), *[(start, 15) for start in range(5, 65, 15)]]
+    return [F.conv(F.substring(digest, at, n), 16, 10).cast("bigint") for at, n in cuts]
 
-    The word width is the widest whose intermediate value fits 63 bits.  The
-    steps are plain arithmetic, so that they stay inside generated code.
+
+def words_modulo(words: list[Column], m: int) -> Column:
+    """The number made of ``digest_words`` modulo ``m``, by Horner's rule in BIGINT.
+
+    Each step takes in as many bits as leave the intermediate value below 2^63.
+    All of it is plain arithmetic, so it stays inside generated code.
     """
-    if m < 1 << 31:
-        digits = 8
+    if m < 1 << 33:
+        step = 30
     elif m < 1 << 47:
-        digits = 4
+        step = 15
     else:
         raise ValueError(f"a filter of {m} bits is beyond the supported 2^47")
-    shift = 1 << (4 * digits)
-    value = None
-    for at in range(0, 64, digits):
-        word = F.conv(F.substring(digest, at + 1, digits), 16, 10).cast("bigint")
-        value = word % F.lit(m) if value is None else (value * F.lit(shift) + word) % F.lit(m)
+    value = words[0] % F.lit(m)
+    for word in words[1:]:
+        for shift in range(60 - step, -1, -step):
+            part = F.shiftright(word, shift).bitwiseAND(F.lit((1 << step) - 1))
+            value = (value * F.lit(1 << step) + part) % F.lit(m)
     return _present(value, 0)
 
 
@@ -58,4 +64,7 @@ def bloom_bits(rows: DataFrame, fingerprint: str, shape: BloomShape) -> DataFram
     ).select(
         *ids, "i", F.sha2(F.concat(F.col(fingerprint), F.col("i").cast("string")), 256).alias("_d")
     )
-    return digests.select(*ids, "i", hex_modulo(F.col("_d"), shape.m).alias("bit"))
+    words = digest_words(F.col("_d"))
+    names = [f"_w{at}" for at in range(len(words))]
+    split = digests.select(*ids, "i", *[w.alias(n) for w, n in zip(words, names)])
+    return split.select(*ids, "i", words_modulo([F.col(n) for n in names], shape.m).alias("bit"))

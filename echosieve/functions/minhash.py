@@ -22,29 +22,23 @@ def coefficients(count: int) -> list[tuple[int, int]]:
     return list(zip(values[::2], values[1::2]))
 
 
-def token_hashes(tokens: Column) -> Column:
-    """Each token as a number below PRIME, from the head of its MD5."""
-    return F.transform(
-        tokens,
-        lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % F.lit(PRIME)).cast(
-            "int"
-        ),
-    )
-
-
-def signature(hashes: Column, count: int, slab: int = 1 << 17) -> Column:
-    """``count`` minima over a set of token hashes; PRIME each when it is empty.
-
-    The main Python step of the library.  An Arrow batch arrives as one flat
-    array of hashes with row offsets.  It is worked off in slabs of ``slab``
-    hashes, so memory stays bounded however long a document is; within a slab
-    every distinct hash is mixed once and then looked up by the rows that hold it.
+def signature(tokens: Column, count: int, slab: int = 1 << 17) -> Column:
+    """``count`` minima over a set of tokens; PRIME each when it is empty.
+
+    A token hash is the first 32 bits of the MD5 modulo PRIME.  Repeats in
+    ``tokens`` do not matter.  This is the one vectorised Python step: an Arrow
+    batch arrives as one flat string array with row offsets and is worked off in
+    slabs of ``slab`` tokens, so memory stays bounded however long a document
+    is.  Within a slab every distinct token is hashed once and then looked up by
+    the rows that hold it.
     """
     pairs = coefficients(count)
     prime = PRIME
 
     @F.arrow_udf("array<int>")
     def minima(batch):
+        from hashlib import md5
+
         import numpy as np
         import pyarrow as pa
 
@@ -52,9 +46,15 @@ def signature(hashes: Column, count: int, slab: int = 1 << 17) -> Column:
         b = np.array([p[1] for p in pairs], dtype=np.uint64)
         p, shift = np.uint64(prime), np.uint64(31)
 
-        def mixed(values):
-            table = np.empty((len(values), count), dtype=np.int32)
-            for at in range(0, len(values), 256):
+        def mixed(words):
+            words = words.cast(pa.binary())
+            cuts = np.frombuffer(words.buffers()[1], dtype=np.int32)
+            cuts = cuts[words.offset : words.offset + len(words) + 1].tolist()
+            data = words.buffers()[2].to_pybytes() if words.buffers()[2] else b""
+            heads = [md5(data[lo:hi]).digest()[:4] for lo, hi in zip(cuts, cuts[1:])]
+            values = np.frombuffer(b"".join(heads), dtype=">u4").astype(np.uint64) % p
+            table = np.empty((len(words), count), dtype=np.int32)
+            for at in range(0, len(words), 256):
                 x = values[at : at + 256, None] * a
                 x += b
                 # x mod (2^31 - 1): fold the high bits onto the low ones, which
@@ -69,14 +69,14 @@ def signature(hashes: Column, count: int, slab: int = 1 << 17) -> Column:
             return table
 
         offsets = batch.offsets.to_numpy().astype(np.int64)
-        base, end = offsets[0], offsets[-1]
-        values = batch.values.to_numpy(zero_copy_only=False)[base:end].astype(np.uint64)
-        offsets = offsets - base
+        tokens = batch.values.slice(offsets[0], offsets[-1] - offsets[0])
+        offsets = offsets - offsets[0]
         out = np.full((len(batch), count), prime, dtype=np.int32)
-        for at in range(0, len(values), slab):
-            stop = min(at + slab, len(values))
-            distinct, which = np.unique(values[at:stop], return_inverse=True)
-            table = mixed(distinct)
+        for at in range(0, len(tokens), slab):
+            coded = tokens.slice(at, slab).dictionary_encode()
+            stop = at + len(coded)
+            table = mixed(coded.dictionary)
+            which = coded.indices.to_numpy()
             row = int(np.searchsorted(offsets, at, side="right")) - 1
             while row < len(batch) and offsets[row] < stop:
                 lo, hi = max(offsets[row], at) - at, min(offsets[row + 1], stop) - at
@@ -87,7 +87,7 @@ def signature(hashes: Column, count: int, slab: int = 1 << 17) -> Column:
         starts = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * count)
         return pa.ListArray.from_arrays(starts, pa.array(out.ravel()))
 
-    return minima(hashes)
+    return minima(tokens)
 
 
 def signature_text(sig: Column) -> Column:

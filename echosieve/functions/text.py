@@ -27,9 +27,14 @@ def lenient_text(column: str | Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit("None"))
 
 
+def words_and_marks(text: Column) -> Column:
+    """Words and punctuation marks in order and with repeats, case kept."""
+    return F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
+
+
 def word_tokens(text: Column) -> Column:
-    """Distinct words and punctuation marks, case kept."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0)))
+    """The set of words and punctuation marks."""
+    return F.array_distinct(words_and_marks(text))
 
 
 def blank_tokens(text: Column) -> Column:
@@ -37,21 +42,23 @@ def blank_tokens(text: Column) -> Column:
     return F.filter(F.split(text, BLANK_PATTERN), lambda word: word != "")
 
 
-def word_shingles(words: Column, n: int) -> Column:
-    """Distinct runs of ``n`` words; empty when there are fewer words.
+def word_runs(words: Column, n: int) -> Column:
+    """Runs of ``n`` words joined by a blank; none when there are fewer words.
 
-    ``words`` must be a plain column: an expression would be evaluated anew for
-    every run.
+    ``words`` must be a plain column, since it is used once per word of a run.
     """
-    if n == 1:
-        return F.array_distinct(words)
-    # Spark's sequence() counts down when its end lies below its start.
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.array_distinct(
-        F.transform(starts, lambda at: F.array_join(F.slice(words, at, n), " "))
-    )
+    count = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    runs = F.slice(words, F.lit(1), count)
+    for at in range(2, n + 1):
+        runs = F.zip_with(
+            runs, F.slice(words, F.lit(at), count), lambda run, word: F.concat(run, F.lit(" "), word)
+        )
+    return runs
+
+
+def word_shingles(words: Column, n: int) -> Column:
+    """The set of such runs."""
+    return F.array_distinct(word_runs(words, n))
 
 
 def sample(text: Column, chars: int = SAMPLE_CHARS) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.minhash import bucket_keys, signature, token_hashes
-from ..functions.text import required_text, word_tokens
+from ..functions.minhash import bucket_keys, signature
+from ..functions.text import required_text, words_and_marks
 from ..params import Params
 from ..workspace import Workspace
 from .first_match import Selection, select_first
@@ -16,8 +16,8 @@ from .survivors import text_rows
 def signatures(df: DataFrame, params: Params) -> DataFrame:
     """``(pos, sig)``"""
     rows = text_rows(df, required_text(params.text_column), params)
-    hashes = token_hashes(word_tokens(F.col("text")))
-    return rows.select("pos", signature(hashes, params.minhash_num_hashes).alias("sig"))
+    tokens = words_and_marks(F.col("text"))
+    return rows.select("pos", signature(tokens, params.minhash_num_hashes).alias("sig"))
 
 
 def buckets(df: DataFrame, params: Params, work: Workspace) -> DataFrame:

@@ -18,7 +18,7 @@ def text_rows(df: DataFrame, text: Column, params: Params) -> DataFrame:
 
 
 def enough_tasks(rows: DataFrame, params: Params) -> DataFrame:
-    return rows if params.min_tasks is None else rows.repartition(params.min_tasks)
+    return rows if params.min_tasks is None else rows.repartition(params.min_tasks, "pos")
 
 
 def keep(df: DataFrame, dropped: DataFrame, params: Params) -> DataFrame:

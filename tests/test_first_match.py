@@ -51,12 +51,12 @@ def test_hot_bucket_is_dealt_out(spark, work):
     assert len(kept) == 1500
 
 
-@pytest.mark.parametrize("component_rows", [100_000, 30])
+@pytest.mark.parametrize("component_rows", [100_000, 20])
 def test_long_chains_end_in_components(spark, work, component_rows):
-    rows = {d: [f"e{d}", f"e{d + 1}"] for d in range(60)}
+    rows = {d: [f"e{d}", f"e{d + 1}"] for d in range(20)}
     rows.update({100 + d: [f"f{d}", f"f{d + 1}"] for d in range(8)})
     rng = random.Random(1)
-    rows.update({1000 + d: [f"g{rng.randrange(150)}" for _ in range(2)] for d in range(200)})
+    rows.update({1000 + d: [f"g{rng.randrange(90)}" for _ in range(2)] for d in range(120)})
     check(spark, work, rows, plain_rounds=1, component_rows=component_rows, hot_rows=20)
 
 

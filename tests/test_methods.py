@@ -13,7 +13,7 @@ DOCS = "/root/testdata/sf0.001/documents.parquet"
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.read.parquet(DOCS).cache()
+    return spark.read.parquet(DOCS)
 
 
 @pytest.fixture(scope="module")
@@ -92,11 +92,11 @@ def test_short_documents_collapse_in_the_hybrid(spark):
 
 
 def test_signature_over_several_slabs(spark):
-    from echosieve.functions.minhash import signature, token_hashes
+    from echosieve.functions.minhash import signature
 
     rows = [(i, [f"w{j}" for j in range(i * 37 % 90)]) for i in range(40)]
     df = spark.createDataFrame(rows, "pos bigint, words array<string>").coalesce(1)
-    got = df.select("pos", signature(token_hashes(F.col("words")), 20, slab=64).alias("s")).collect()
+    got = df.select("pos", signature(F.col("words"), 20, slab=64).alias("s")).collect()
     assert {r.pos: list(r.s) for r in got} == {i: models.signature(w, 20) for i, w in rows}
 
 
