@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -55,18 +57,25 @@ def process_batch(
     step, _ = STEPS[params.method]
     state = folders.state(params)
     dropped, added = step(batch, state.before(spark, batch_id), params, Workspace(spark))
-    keep(batch, dropped, params).write.mode("overwrite").parquet(
-        f"{folders.rows}/chunk={batch_id}"
-    )
     folders.dropped().write(dropped, batch_id)
+    dropped = folders.dropped().of(spark, batch_id)
+    kept = keep(batch, dropped, params)
     removed = dropped.agg(F.count("*").alias("removed"))
     counts = batch.select(position(params)).agg(F.count("*").alias("original")).withColumn(
         "_one", F.lit(1)
     ).join(removed.withColumn("_one", F.lit(1)), "_one").select(
         "original", (F.col("original") - F.col("removed")).alias("kept"), "removed"
     )
-    folders.counts().write(counts, batch_id)
-    state.write(added, batch_id)
+    # The three remaining results do not depend on each other.
+    writes = (
+        lambda: kept.write.mode("overwrite").parquet(f"{folders.rows}/chunk={batch_id}"),
+        lambda: folders.counts().write(counts, batch_id),
+        lambda: state.write(added, batch_id),
+    )
+    with ThreadPoolExecutor(len(writes)) as pool:
+        jobs = [pool.submit(inheritable_thread_target(spark)(write)) for write in writes]
+        for job in jobs:
+            job.result()
 
 
 def start(

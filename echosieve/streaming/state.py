@@ -27,6 +27,9 @@ class BatchTable:
     def write(self, rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
+    def of(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        return spark.read.schema(self.schema).parquet(f"{self.path}/batch={batch_id}")
+
     def read(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(f"{self.schema}, batch bigint").parquet(self.path)
 

@@ -1,7 +1,7 @@
 """One micro-batch of each method against the state of the earlier batches.
 
 Each step returns ``(dropped, new_state)``: ``dropped(pos, owner_pos)`` and the
-rows to add to the state.  State is narrowed to the keys of the batch before
+rows to add to the state, both still to be written by the caller.  State is narrowed to the keys of the batch before
 anything else, so a batch small enough to be sent out never shuffles the state.
 """
 
@@ -39,11 +39,10 @@ def exact_step(
         "owners",
     )
     copied = owners.filter((F.col("n") > 1) | ~F.col("is_new")).select("fp", "n", "owner_pos")
-    dropped = work.table(
+    dropped = (
         join_per_key(prints, copied, ["fp"], "n", "pos", params.hot_rows)
         .filter(F.col("pos") != F.col("owner_pos"))
-        .select("pos", "owner_pos"),
-        "dropped",
+        .select("pos", "owner_pos")
     )
     return dropped, owners.filter("is_new").select("fp", F.col("first").alias("pos"))
 
@@ -56,13 +55,8 @@ def _bloom_step(
     seen = state.join(setters.select("bit"), "bit", "left_semi").select("bit")
     fresh = work.table(setters.join(seen, "bit", "left_anti"), "fresh-bits")
     kept = fresh.select(F.col("first_pos").alias("pos")).distinct()
-    dropped = work.table(
-        batch.select(position(params)).join(kept, "pos", "left_anti").select(
-            "pos", F.lit(None).cast("bigint").alias("owner_pos")
-        ),
-        "dropped",
-    )
-    return dropped, fresh
+    dropped = batch.select(position(params)).join(kept, "pos", "left_anti")
+    return dropped.select("pos", F.lit(None).cast("bigint").alias("owner_pos")), fresh
 
 
 def bloom_step(
@@ -99,7 +93,7 @@ def minhash_step(
     )
     kept = open_rows.join(chosen.dropped, "pos", "left_anti")
     return (
-        work.table(matched.unionByName(chosen.dropped), "dropped"),
+        matched.unionByName(chosen.dropped),
         kept.select(F.explode(F.array_distinct("buckets")).alias("bucket"), "pos"),
     )
 

@@ -222,3 +222,10 @@ def test_metrics_definitions(spark, work):
     assert total.avg_duplicate_ratio == 0.0
     empty = metrics.final_summary(counts.limit(0), metrics.exact_metrics(counts.limit(0))).first()
     assert empty.total_original_count == 0 and empty.total_compression_ratio == 0.0
+
+
+def test_output_in_corpus_order(spark, docs):
+    from echosieve.operators.survivors import in_order
+
+    ids = [r.doc_id for r in in_order(deduplicate(docs.repartition(5), Params()), Params()).collect()]
+    assert ids == sorted(ids)
