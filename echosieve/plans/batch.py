@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import groups, metrics
 from ..operators.registry import method
 from ..operators.survivors import keep
-from ..params import Params
+from ..params import BLOOM_METHODS, Params
 from ..sources.readers import limit_chunks, read_corpus
 from ..sources.sinks import output_folder, write_chunks, write_metrics, write_pairs
 from ..workspace import Workspace
@@ -34,8 +34,8 @@ def run(
     """Read, de-duplicate, write kept rows by chunk, and report.
 
     Below ``out``: the result folder named after the parameters, and beside it
-    ``metrics/chunk``, ``metrics/method``, ``metrics/summary``, ``pairs`` and
-    ``top_duplicates``.
+    ``dropped``, ``metrics/chunk``, ``metrics/method``, ``metrics/summary``,
+    ``pairs`` and ``top_duplicates``.  Intermediate tables are removed at the end.
     """
     decide = method(params.method)
     work = Workspace(spark)
@@ -46,20 +46,30 @@ def run(
     dropped = decide(df, params, work)
     path = f"{out}/{output_folder(params)}"
     write_chunks(keep(df, dropped, params), path, params, rows_per_file, cluster)
+    dropped.write.parquet(f"{out}/dropped")
 
     counts = work.table(metrics.chunk_counts(df, dropped, params), "chunk-counts")
-    per_chunk = metrics.chunk_metrics(counts)
+    write_metrics(metrics.chunk_metrics(counts), f"{out}/metrics/chunk")
     per_method = metrics.method_metrics(params.method, counts)
-    summary = metrics.final_summary(counts, per_method)
-    write_metrics(per_chunk, f"{out}/metrics/chunk")
     if per_method is not None:
         write_metrics(metrics.logged(per_method), f"{out}/metrics/method")
-    write_metrics(summary, f"{out}/metrics/summary")
+    write_metrics(metrics.final_summary(counts, per_method), f"{out}/metrics/summary")
 
-    top = None
-    if params.method not in ("bloomfilter", "minhash_bloom_hybrid"):
-        top = groups.top_groups(df, dropped, params)
-        top.write.parquet(f"{out}/top_duplicates")
+    has_owners = params.method not in BLOOM_METHODS and "owner_pos" in dropped.columns
+    if has_owners:
+        groups.top_groups(df, dropped, params).write.parquet(f"{out}/top_duplicates")
         if params.log_duplicates:
             write_pairs(groups.pair_sample(df, dropped, params, work), f"{out}/pairs")
-    return RunResult(path, dropped, per_chunk, per_method, summary, top)
+    work.remove()
+
+    def written(name: str, there: bool = True) -> DataFrame | None:
+        return spark.read.parquet(f"{out}/{name}") if there else None
+
+    return RunResult(
+        path,
+        dropped=written("dropped"),
+        chunk_metrics=written("metrics/chunk"),
+        method_metrics=written("metrics/method", per_method is not None),
+        summary=written("metrics/summary"),
+        top_groups=written("top_duplicates", has_owners),
+    )

@@ -56,7 +56,8 @@ def process_batch(
     spark = batch.sparkSession
     step, _ = STEPS[params.method]
     state = folders.state(params)
-    dropped, added = step(batch, state.before(spark, batch_id), params, Workspace(spark))
+    work = Workspace(spark)
+    dropped, added = step(batch, state.before(spark, batch_id), params, work)
     folders.dropped().write(dropped, batch_id)
     dropped = folders.dropped().of(spark, batch_id)
     kept = keep(batch, dropped, params)
@@ -76,6 +77,7 @@ def process_batch(
         jobs = [pool.submit(inheritable_thread_target(spark)(write)) for write in writes]
         for job in jobs:
             job.result()
+    work.remove()
 
 
 def start(

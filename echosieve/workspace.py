@@ -42,6 +42,11 @@ class Workspace:
         self._next += 1
         return f"{self.folder}/{self._next:04d}-{name}"
 
+    def remove(self) -> None:
+        """Delete this workspace, once no DataFrame over its tables is needed."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return it as read back from storage."""
         path = self.path(name)

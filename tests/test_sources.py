@@ -145,6 +145,16 @@ def test_jaccard_of_matches(spark, work):
     assert {r.pos: r.jaccard for r in got} == {1: 0.6, 3: 1.0}
 
 
+def test_workspace_removes_only_itself(spark):
+    one, two = Workspace(spark), Workspace(spark)
+    left = two.table(spark.range(3), "numbers")
+    one.table(spark.range(3), "numbers")
+    one.remove()
+    assert left.count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(f"{one.folder}/0001-numbers")
+
+
 def test_workspace_uses_the_named_folder(spark):
     assert shared_folder(spark) == shared_folder(spark)
     assert Workspace(spark).folder.startswith(shared_folder(spark))
