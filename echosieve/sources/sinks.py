@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..params import Params
 from .readers import with_chunk
 
-# Layouts of the exported duplicate files.
+# The name of the result folder and the layouts of the exported
+# duplicate files.
+OUTPUT_NAME = "deduplicated_{config}_using_{method}_with_{size}_data"
 CSV_COLUMNS = ("group_id", "group_size", "text_original", "text_duplicate", "similarity_threshold")
 PAIR_COLUMNS = ("Original", "Duplicate", "Parameter")
 DUMP_RULE = "------------------------"
@@ -20,7 +22,7 @@ def output_folder(params: Params) -> str:
         "all" if params.max_chunks is None
         else f"{params.max_chunks * params.chunk_size // 1000}k"
     )
-    return f"deduplicated_{params.dataset_config}_using_{params.method}_with_{size}_data"
+    return OUTPUT_NAME.format(config=params.dataset_config, method=params.method, size=size)
 
 
 def write_chunks(

@@ -60,5 +60,16 @@ def test_long_chains_end_in_components(spark, work, component_rows):
     check(spark, work, rows, plain_rounds=1, component_rows=component_rows, hot_rows=20)
 
 
+def test_same_result_without_broadcast_joins(spark, work):
+    rng = random.Random(9)
+    rows = {d: [f"z{d // 2}", "hot" if d % 3 == 0 else f"c{rng.randrange(300)}"] for d in range(600)}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        check(spark, work, rows, hot_rows=25)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_nothing_shared(spark, work):
     assert check(spark, work, {d: [f"x{d}"] for d in range(4)}) == {0, 1, 2, 3}
