@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echosieve.llm import decontaminate, line_dedup, url_filter
+from echosieve.llm import decontaminate, line_dedup, near_dedup, packing, url_filter
 from echosieve.workspace import Workspace
 
 #: Fixed values of the url query: (host, path, verdict).
@@ -17,6 +17,15 @@ URL_RULES = [
     ("org", "/fr/", "allow"),
 ]
 
+#: The vocabulary of byte_bpe_50k.json as ranks, for the faster of the two libraries.
+PACKING_RANKS = "byte_bpe_50k.tiktoken"
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,11 +43,23 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(
+        _table(spark, sf_dir, "documents"), Workspace(spark), tokenizer_path(PACKING_RANKS)
+    )
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), rules)
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), Workspace(spark))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_line_dedup, op3_decontaminate, op9_url_filter]
+    named = [
+        op1_line_dedup, op3_decontaminate, op8_best_fit_packing, op9_url_filter, op10_near_dedup,
+    ]
     return {f.__name__: f for f in named}
