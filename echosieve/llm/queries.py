@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echosieve.llm import decontaminate, line_dedup, near_dedup, packing, url_filter
+from echosieve.llm import (
+    decontaminate, line_dedup, near_dedup, packing, quality, url_filter,
+)
 from echosieve.workspace import Workspace
 
 #: Fixed values of the url query: (host, path, verdict).
@@ -43,6 +45,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), Workspace(spark)
+    ).select("doc_id", "junk_score", "toxic_score", "accepted")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(
         _table(spark, sf_dir, "documents"), Workspace(spark), tokenizer_path(PACKING_RANKS)
@@ -60,6 +68,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
-        op1_line_dedup, op3_decontaminate, op8_best_fit_packing, op9_url_filter, op10_near_dedup,
+        op1_line_dedup, op3_decontaminate, op5_quality_classifier, op8_best_fit_packing,
+        op9_url_filter, op10_near_dedup,
     ]
     return {f.__name__: f for f in named}
