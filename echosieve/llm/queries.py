@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from echosieve.llm import (
-    decontaminate, line_dedup, near_dedup, packing, quality, url_filter,
+    decontaminate, line_dedup, near_dedup, order_minhash, packing, quality, url_filter, warc,
 )
 from echosieve.workspace import Workspace
 
@@ -39,12 +39,25 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edited_fingerprints(
+        _table(spark, sf_dir, "documents"), Workspace(spark)
+    )
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), Workspace(spark)
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(_table(spark, sf_dir, "pages"), Workspace(spark))
+    return warc.read_archives(archives).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok"
+    )
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), Workspace(spark)
@@ -68,7 +81,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
-        op1_line_dedup, op3_decontaminate, op5_quality_classifier, op8_best_fit_packing,
-        op9_url_filter, op10_near_dedup,
+        op1_line_dedup, op2_order_minhash, op3_decontaminate, op4_warc, op5_quality_classifier,
+        op8_best_fit_packing, op9_url_filter, op10_near_dedup,
     ]
     return {f.__name__: f for f in named}
