@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from echosieve.llm import (
-    decontaminate, line_dedup, near_dedup, order_minhash, packing, quality, url_filter, warc,
+    chat, decontaminate, line_dedup, near_dedup, order_minhash, packing, quality, url_filter, warc,
 )
 from echosieve.workspace import Workspace
 
@@ -19,6 +19,9 @@ URL_RULES = [
     ("org", "/fr/", "allow"),
 ]
 
+#: Arguments of the tool that chat turns are taken for.
+CHAT_SCHEMAS = {"reply": {"prompt": ("string", True), "words": ("integer", True)}}
+
 #: The vocabulary of byte_bpe_50k.json as ranks, for the faster of the two libraries.
 PACKING_RANKS = "byte_bpe_50k.tiktoken"
 
@@ -64,6 +67,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "junk_score", "toxic_score", "accepted")
 
 
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = chat.exchanges(_table(spark, sf_dir, "conversations"))
+    return chat.link_tools(messages, CHAT_SCHEMAS, Workspace(spark))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(
         _table(spark, sf_dir, "documents"), Workspace(spark), tokenizer_path(PACKING_RANKS)
@@ -82,6 +90,6 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_line_dedup, op2_order_minhash, op3_decontaminate, op4_warc, op5_quality_classifier,
-        op8_best_fit_packing, op9_url_filter, op10_near_dedup,
+        op7_tool_calls, op8_best_fit_packing, op9_url_filter, op10_near_dedup,
     ]
     return {f.__name__: f for f in named}

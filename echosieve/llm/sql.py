@@ -66,6 +66,40 @@ select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
 from d left join places on d.doc_id = places.doc_id left join ids on d.doc_id = ids.doc_id
 """
 
+TOOL_CALLS = r"""
+with t as (
+  select conv_id, turn, role, text, coalesce(text, '') as said,
+    lag(role) over w as role_before, lag(turn) over w = turn - 1 as follows,
+    lead(role) over w as role_after, lead(turn) over w = turn + 1 as followed
+  from conversations window w as (partition by conv_id order by turn)
+), k as (
+  select *, case role when 'user' then 'call' when 'assistant' then 'result' else 'message' end as kind,
+    coalesce(follows and (role <> 'assistant' or role_before = 'user'), false) as has_parent
+  from t
+), i as (
+  select *, sum(case when has_parent then 0 else 1 end)
+    over (partition by conv_id order by turn rows unbounded preceding) as island from k
+), m as (
+  select *, row_number() over (partition by conv_id, island order by turn) - 1 as depth,
+    conv_id || ':' || turn as id,
+    len(list_filter(regexp_split_to_array(said, '\s+'), lambda x: x <> '')) as words
+  from i
+)
+select conv_id, id, turn as ready_turn, cast(depth as int) as level,
+  case kind when 'result' then case when has_parent then 'linked' else 'orphan' end
+    when 'call' then case when followed and role_after = 'assistant' then 'answered'
+                     else 'unanswered' end end as link,
+  case when kind = 'call' then 'valid' end as arguments,
+  case kind
+    when 'call' then '{"arguments":{"prompt":' || to_json(said) || ',"words":' || words ||
+      '},"call_id":"' || id || '","kind":"call","name":"reply","role":"user","turn":' || turn || '}'
+    when 'result' then '{"call_id":"' || conv_id || ':' || (turn - 1) || '","content":' ||
+      to_json(text) || ',"kind":"result","role":"assistant","turn":' || turn || '}'
+    else '{"content":' || to_json(text) || ',"kind":"message","role":"' || role || '","turn":' ||
+      turn || '}' end as json
+from m
+"""
+
 URL_FILTER = rf"""
 with rules(host, path, verdict) as (
   values ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
@@ -89,5 +123,6 @@ def llm_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": LINE_DEDUP,
         "op3_decontaminate": DECONTAMINATE,
+        "op7_tool_calls": TOOL_CALLS,
         "op9_url_filter": URL_FILTER,
     }
