@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from echosieve.llm import (
-    chat, decontaminate, line_dedup, near_dedup, order_minhash, packing, quality, url_filter, warc,
+    chat, decontaminate, html_extract, line_dedup, near_dedup, order_minhash, packing, quality,
+    url_filter, warc,
 )
 from echosieve.workspace import Workspace
 
@@ -67,6 +68,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "junk_score", "toxic_score", "accepted")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = chat.exchanges(_table(spark, sf_dir, "conversations"))
     return chat.link_tools(messages, CHAT_SCHEMAS, Workspace(spark))
@@ -90,6 +95,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_line_dedup, op2_order_minhash, op3_decontaminate, op4_warc, op5_quality_classifier,
-        op7_tool_calls, op8_best_fit_packing, op9_url_filter, op10_near_dedup,
+        op6_html_extraction, op7_tool_calls, op8_best_fit_packing, op9_url_filter,
+        op10_near_dedup,
     ]
     return {f.__name__: f for f in named}
