@@ -94,20 +94,20 @@ def _shares(batch):
     return np.stack([batch.field(s).to_numpy() / np.maximum(n, 1.0) for s in SHAPES], axis=1), n
 
 
-def _on(function, f: str) -> Column:
-    """``function`` of the feature column ``f``.
+def _with_features(docs: DataFrame, text: str, out: str) -> DataFrame:
+    """``docs`` plus the features of ``text``.
 
-    The second use of ``f`` keeps the optimiser from moving the feature expression, with its
-    lambda variables, into the arguments of a Python function.
+    Spark can't take an expression with lambda variables as an argument of a Python function, and
+    moves a column's expression there when it can; it moves nothing through a generator.
     """
-    return function(F.col(f), F.col(f"{f}.n"))
+    return docs.select("*", F.explode(F.array(features(F.col(text)))).alias(out))
 
 
 def _votes(lists: dict[str, list[int]]):
     """Arrow function: the vote pattern of every document, junk and toxic, in base 3."""
 
     @F.arrow_udf("struct<junk: int, toxic: int>")
-    def vote(batch, _):
+    def vote(batch):
         import numpy as np
         import pyarrow as pa
 
@@ -195,7 +195,7 @@ class Model:
         words, prefixes, heads = *_columns(self.lists), self.heads
 
         @F.arrow_udf("struct<junk: double, toxic: double>")
-        def scores(batch, _):
+        def scores(batch):
             import numpy as np
             import pyarrow as pa
 
@@ -214,9 +214,7 @@ class Model:
                 out.append(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
             return pa.StructArray.from_arrays(out, FAULTS)
 
-        return docs.withColumn("_f", features(F.col(text))).withColumn(
-            out, _on(scores, "_f")
-        ).drop("_f")
+        return _with_features(docs, text, "_f").withColumn(out, scores("_f")).drop("_f")
 
 
 def _columns(lists: dict) -> tuple[list[int], list[int]]:
@@ -258,7 +256,7 @@ def _listed(lists: dict):
     words, prefixes = _columns(lists)
 
     @F.arrow_udf("struct<at: array<int>, times: array<int>>")
-    def listed(batch, _):
+    def listed(batch):
         import numpy as np
         import pyarrow as pa
 
@@ -305,8 +303,8 @@ def fit(
     lists = _word_lists(sample)
     vote = _votes(lists)
     votes = work.table(
-        texts.select("doc_id", features(F.col("text")).alias("f"))
-        .select("doc_id", _on(vote, "f").alias("v")).select("doc_id", "v.*"),
+        _with_features(texts, "text", "f").select("doc_id", vote("f").alias("v"))
+        .select("doc_id", "v.*"),
         "votes",
     ).toDF("doc_id", "p_junk", "p_toxic")
     known_votes = votes.join(known, "doc_id", "left")
@@ -320,7 +318,7 @@ def fit(
             posteriors[fault] = {(r[0], r[1]): p for r, p in zip(counted, posterior)}
     listed = _listed(lists)
     rows = sample.select(
-        _on(vote, "f").alias("v"), "junk", "toxic", _on(listed, "f").alias("l"), F.col("f.n").alias("n"),
+        vote("f").alias("v"), "junk", "toxic", listed("f").alias("l"), F.col("f.n").alias("n"),
         *[F.col(f"f.{s}").alias(s) for s in SHAPES],
     ).collect()
     if not rows:
