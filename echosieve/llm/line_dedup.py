@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echosieve.llm.common import let, same
+from echosieve.workspace import Workspace
 
 RATIO = 0.05
 MIN_PAGES = 5
@@ -53,7 +54,7 @@ def boilerplate(
 
 
 def drop_lines(
-    docs: DataFrame, text: str = "text", host: str = "source",
+    docs: DataFrame, work: Workspace, text: str = "text", host: str = "source",
     ratio: float = RATIO, min_pages: int = MIN_PAGES,
 ) -> DataFrame:
     """``docs`` without boilerplate lines, plus ``n_lines`` and ``n_dropped`` (replaced if

@@ -38,7 +38,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.drop_lines(_table(spark, sf_dir, "documents")).select(
+    return line_dedup.drop_lines(_table(spark, sf_dir, "documents"), Workspace(spark)).select(
         "doc_id", "source", "text", "n_chars", "n_lines", "n_dropped"
     )
 
