@@ -40,6 +40,7 @@ KNOWN_RATES = (0.98, 0.001)  # hits and false alarms of the known labels
 SCALE = 100.0  # of the hashed features, shares of a text
 THRESHOLD = 0.5
 BROADCAST_BYTES = 16 << 20
+SLAB = 1 << 18  # list entries summed at a time
 
 
 def features(text: Column) -> Column:
@@ -77,13 +78,24 @@ def _bucket(*parts: Column) -> Column:
 
 
 def _sums(lists, table):
-    """For each row of a list column, the sum of ``table`` over its entries."""
+    """For each row of a list column, the sum of ``table`` over its entries.
+
+    Worked off in slabs of rows, so that memory stays near that of the column itself.
+    """
     import numpy as np
 
     offsets = lists.offsets.to_numpy().astype(np.int64)
-    flat = lists.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]]
-    running = np.concatenate(([0.0], np.cumsum(table[flat], dtype=np.float64)))
-    return running[offsets[1:] - offsets[0]] - running[offsets[:-1] - offsets[0]]
+    flat = lists.values.to_numpy(zero_copy_only=False)
+    out = np.zeros(len(lists))
+    row = 0
+    while row < len(lists):
+        last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLAB, "right")) - 1)
+        values = table[flat[offsets[row]:offsets[last]]]
+        running = np.concatenate(([0.0], np.cumsum(values, dtype=np.float64)))
+        ends = offsets[row:last + 1] - offsets[row]
+        out[row:last] = running[ends[1:]] - running[ends[:-1]]
+        row = last
+    return out
 
 
 def _shares(batch):
@@ -211,7 +223,7 @@ class Model:
                     table = np.zeros(BUCKETS)
                     table[ids] = own
                     z += _sums(batch.field(column), table) * SCALE / (n + SMOOTH)
-                out.append(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
+                out.append(pa.array(np.where(n == 0, 0.0, 1 / (1 + np.exp(-np.clip(z, -30, 30))))))
             return pa.StructArray.from_arrays(out, FAULTS)
 
         return _with_features(docs, text, "_f").withColumn(out, scores("_f")).drop("_f")
@@ -346,8 +358,8 @@ def classify(
 ) -> DataFrame:
     """``docs`` plus ``junk_score``, ``toxic_score`` and ``accepted`` (replaced if there).
 
-    A null or empty text has no words and scores by the bias alone, so it is accepted.  All rows
-    stay, repeated ones and null ids too.
+    A text without words, null or empty, scores 0 and is accepted.  All rows stay, repeated ones
+    and null ids too.
     """
     model = fit(docs, labels, work, doc_id, text, sample_rows)
     return model.score(docs, text, "_score").withColumns({
