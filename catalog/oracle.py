@@ -2,14 +2,36 @@
 
 from __future__ import annotations
 
-from echosieve.functions.minhash import PRIME, coefficients
-from echosieve.functions.text import WORD_PATTERN
-from echosieve.params import BandShape, BloomShape
+from typing import NamedTuple
 
 CHUNK = 100
-SMALL_BLOOM = BloomShape.sized(300, 0.05)
-USUAL_BLOOM = BloomShape.sized(1000, 0.01)
-LARGE_BLOOM = BloomShape.sized(100_000, 0.001)
+
+
+class BloomShape(NamedTuple):
+    m: int
+    k: int
+
+
+class BandShape(NamedTuple):
+    bands: int
+    rows: int
+
+
+# Plain values, worked out apart from the engine: filters for (300, 0.05),
+# (1000, 0.01) and (100000, 0.001); bands of 150 hashes for a threshold.
+SMALL_BLOOM = BloomShape(1870, 4)
+USUAL_BLOOM = BloomShape(9585, 6)
+LARGE_BLOOM = BloomShape(1_437_758, 9)
+BANDS = {0.8: BandShape(11, 13), 0.7: BandShape(16, 9)}
+PRIME = 2147483647
+WORD_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x0b\x1c-\x1f\x85]"
+
+
+def coefficients(count: int) -> list[tuple[int, int]]:
+    """Pairs (a, b): powers 1, 2, 3, ... of 48271 modulo the prime, two by two."""
+    return [
+        (pow(48271, 2 * i + 1, PRIME), pow(48271, 2 * i + 2, PRIME)) for i in range(count)
+    ]
 
 BLANKS = (
     r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -108,7 +130,7 @@ def first_match(
     count: int = 150, threshold: float = 0.8, rows: str = "documents", before: str = ""
 ) -> str:
     """CTEs ``mt(doc_id, owner_id)``, all kept matches, and ``dr``, the lowest of each."""
-    shape = BandShape.chosen(threshold, count)
+    shape = BANDS[threshold]
     return f"""recursive {before} {banded(count, shape, rows)},
         sh as (select k from kb group by k having count(*) > 1),
         cand as (select doc_id, list(k) ks, row_number() over (order by doc_id) rn
@@ -421,7 +443,7 @@ def all_sql() -> dict[str, str]:
                         from (select doc_id, {SHINGLES} s from {SPLIT_DOCS})""",
         "minhash_signature": f"""with {signed(150, WORDS)}
             select doc_id, string_agg(s::varchar, ',' order by i) signature from sg group by 1""",
-        "minhash_bands": f"""with {banded(150, BandShape.chosen(0.8, 150))}
+        "minhash_bands": f"""with {banded(150, BANDS[0.8])}
             select doc_id, band::INTEGER band, k bucket from kb""",
         "minhash_kept": f"with {mh} {kept}",
         "minhash_kept_lower_threshold": f"with {mh7} {kept}",
@@ -448,6 +470,17 @@ def all_sql() -> dict[str, str]:
         "pair_table": pair_table(mh, "0.8"),
         "batch_run_rows": f"""with {mh} select doc_id, lang, source, n_chars, doc_id // {CHUNK} chunk
             from documents where doc_id not in (select doc_id from dr)""",
+        "batch_run_duplicate_count": duplicate_count(mh),
+        "batch_run_two_methods": f"""select doc_id, 'exact' as method from (
+              select min(doc_id) doc_id from documents group by md5(text))
+            union all select doc_id, 'bloomfilter' from (
+              {bloom_kept(text_prints(), SMALL_BLOOM)})""",
+        "batch_run_saturation": saturation(text_prints(), USUAL_BLOOM, CHUNK),
+        "corpus_with_split_column": """select doc_id, 'all' as part from documents
+            union all select doc_id, 'fr' from documents where lang = 'fr'""",
+        "positions_by_file": """select row_number() over
+              (order by case when doc_id % 3 = 0 then 0 else 1 end, doc_id) - 1 as pos,
+            source, n_chars from documents""",
         "batch_run_metrics": f"""select chunk_index, processed_total, chunk_kept, chunk_duplicates,
             global_unique, global_duplicates, duplicate_ratio from ({minhash_running(mh)})""",
         "hybrid_fingerprints": f"with {hybrid} select doc_id, fp from hp",
@@ -464,6 +497,11 @@ def all_sql() -> dict[str, str]:
             where pos in (select min(pos) from nm group by md5(text))""",
         "stream_exact": "select min(doc_id) doc_id from documents group by md5(text)",
         "stream_minhash": f"with {mh} {kept}",
+        "stream_max_chunks_limit": f"""with n as (
+              select max(doc_id) // 4 + 1 as step from documents)
+            select min(doc_id) doc_id from documents, n
+            where doc_id < floor(2.4 * step)::BIGINT // {CHUNK} * {CHUNK} group by md5(text)""",
+        "stream_max_chunks_resumed": "select min(doc_id) doc_id from documents group by md5(text)",
         "stream_bloom": bloom_kept(text_prints(), SMALL_BLOOM),
         "stream_hybrid": bloom_kept("hp", SMALL_BLOOM, head=hybrid + ","),
         "stream_chunk_running": stream_running(ex),

@@ -363,14 +363,63 @@ def batch_run_rows(spark, sf):
 
 
 def batch_run_metrics(spark, sf):
-    out, _ = _batch_run(spark, sf)
-    return _rounded(spark.read.parquet(f"{out}/metrics/method"), "duplicate_ratio")
+    _, result = _batch_run(spark, sf)
+    return _rounded(result.method_metrics, "duplicate_ratio")
+
+
+def batch_run_duplicate_count(spark, sf):
+    _, result = _batch_run(spark, sf)
+    return spark.read.parquet(result.path).select("doc_id", "duplicate_count")
+
+
+def batch_run_two_methods(spark, sf):
+    """Two runs below one folder, each with its own rows and reports."""
+    run = _Run(spark, sf)
+    out = run.work.path("out")
+    kept = []
+    for changes in ({"method": "exact"}, {"method": "bloomfilter", **SMALL}):
+        result = batch.run(spark, run.params.but(**changes), run.docs, out)
+        rows = spark.read.parquet(result.path).select("doc_id")
+        kept.append(rows.withColumn("method", F.lit(changes["method"])))
+    return kept[0].unionByName(kept[1])
+
+
+def batch_run_saturation(spark, sf):
+    run = _Run(spark, sf, method="bloomfilter", **USUAL)
+    result = batch.run(spark, run.params, run.docs, run.work.path("out"))
+    return _rounded(result.saturation, "bloom_saturation", "bloom_saturation_percent")
+
+
+def corpus_with_split_column(spark, sf):
+    """A data column called ``split`` is data, unless the caller names it."""
+    docs = _table(spark, sf, "documents").withColumn("split", F.col("lang"))
+    work = Workspace(spark)
+    path = work.path("corpus")
+    docs.write.parquet(path)
+    every = readers.read_corpus(spark, path, _params(spark))
+    named = _params(spark, split_column="split", dataset_split="fr")
+    part = readers.read_corpus(spark, path, named)
+    return every.select("doc_id", F.lit("all").alias("part")).unionAll(
+        part.select("doc_id", F.lit("fr"))
+    )
+
+
+def positions_by_file(spark, sf):
+    """Documents without their id, numbered by file and row; the files follow the id."""
+    work = Workspace(spark)
+    docs = _table(spark, sf, "documents")
+    path = work.path("corpus")
+    for part, rows in enumerate((docs.filter("doc_id % 3 = 0"), docs.filter("doc_id % 3 > 0"))):
+        rows.orderBy("doc_id").drop("doc_id").coalesce(1).write.parquet(f"{path}/part={part}")
+    return readers.with_file_positions(spark.read.parquet(path), work).select(
+        "pos", "source", "n_chars"
+    )
 
 
 def pair_table(spark, sf):
     """The sampled pairs as a run writes them."""
-    out, _ = _batch_run(spark, sf)
-    return spark.read.parquet(f"{out}/pairs").select(
+    _, result = _batch_run(spark, sf)
+    return spark.read.parquet(f"{result.reports}/pairs").select(
         *sinks.PAIR_COLUMNS,
         *[F.size(c).cast("bigint").alias(f"{name}_lines")
           for c, name in (("unchanged", "same"), ("removed", "gone"), ("added", "new"))],
@@ -428,8 +477,13 @@ def method_overlap(spark, sf):
 STREAM_FILES = 4
 
 
-def _streamed(spark: SparkSession, sf_dir: str, **changes) -> runner.StreamFolders:
-    """Documents land as files in position order and are worked off one by one."""
+def _streamed(
+    spark: SparkSession, sf_dir: str, limits: tuple[float | None, ...] = (None,), **changes
+) -> runner.StreamFolders:
+    """Documents land as files in position order and are worked off one by one.
+
+    ``limits``: one start of the stream for each, with that many files' worth of chunks.
+    """
     params = _params(spark, **changes)
     work = Workspace(spark)
     docs = _table(spark, sf_dir, "documents")
@@ -440,8 +494,10 @@ def _streamed(spark: SparkSession, sf_dir: str, **changes) -> runner.StreamFolde
         part = docs.filter(F.col("doc_id").between(at * step, (at + 1) * step - 1))
         part.coalesce(1).write.mode("append").parquet(inbox)
     folders = runner.StreamFolders(work.path("stream"))
-    stream = readers.stream_corpus(spark, inbox, params, docs.schema)
-    runner.start(stream, params, folders).awaitTermination()
+    for limit in limits:
+        own = params if limit is None else params.but(max_chunks=int(limit * step) // CHUNK)
+        stream = readers.stream_corpus(spark, inbox, own, docs.schema)
+        runner.finish(runner.start(stream, own, folders))
     return folders
 
 
@@ -456,6 +512,16 @@ def stream_chunk_running(spark, sf):
     return _rounded(metrics.exact_metrics(counts), "duplicate_ratio")
 
 
+def stream_max_chunks_limit(spark, sf):
+    """A stream that ends within its third file, after the same chunks as a run at rest."""
+    return runner.kept_rows(spark, _streamed(spark, sf, limits=(2.4,))).select("doc_id")
+
+
+def stream_max_chunks_resumed(spark, sf):
+    """The same, started again without a limit: nothing is missing."""
+    return runner.kept_rows(spark, _streamed(spark, sf, limits=(2.4, None))).select("doc_id")
+
+
 def stream_minhash_pairs(spark, sf):
     return _ids(_streamed(spark, sf, method="minhash").dropped().read(spark))
 
@@ -519,6 +585,11 @@ def all_queries() -> dict[str, Query]:
         "pair_table": pair_table,
         "batch_run_rows": batch_run_rows,
         "batch_run_metrics": batch_run_metrics,
+        "batch_run_duplicate_count": batch_run_duplicate_count,
+        "batch_run_two_methods": batch_run_two_methods,
+        "batch_run_saturation": batch_run_saturation,
+        "corpus_with_split_column": corpus_with_split_column,
+        "positions_by_file": positions_by_file,
         "hybrid_fingerprints": hybrid_fingerprints,
         "hybrid_kept": _kept(method="minhash_bloom_hybrid", **LARGE),
         "hybrid_kept_undersized": _kept(method="minhash_bloom_hybrid", **SMALL),
@@ -534,5 +605,7 @@ def all_queries() -> dict[str, Query]:
         "stream_bloom": _stream_kept(method="bloomfilter", **SMALL),
         "stream_hybrid": _stream_kept(method="minhash_bloom_hybrid", **SMALL),
         "stream_chunk_running": stream_chunk_running,
+        "stream_max_chunks_limit": stream_max_chunks_limit,
+        "stream_max_chunks_resumed": stream_max_chunks_resumed,
         "stream_minhash_pairs": stream_minhash_pairs,
     }

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import bloom_bits, sha256_hex
+from ..functions.numbers import block_of
 from ..functions.text import lenient_text
 from ..params import BloomShape, Params
 from ..workspace import Workspace
@@ -26,9 +27,14 @@ def fingerprints(df: DataFrame, params: Params) -> DataFrame:
 
 
 def first_setters(prints: DataFrame, shape: BloomShape) -> DataFrame:
-    """``(bit, first_pos)``: the filled filter as a relation of at most m rows."""
+    """``(bit, first_pos)``: the filled filter as a relation of at most m rows.
+
+    A later row of one fingerprint sets nothing, so only the first gets its bits
+    computed, and a text that a third of the rows share sends one row on per task.
+    """
+    firsts = prints.groupBy("fp").agg(F.min("pos").alias("pos"))
     return (
-        bloom_bits(prints, "fp", shape).groupBy("bit").agg(F.min("pos").alias("first_pos"))
+        bloom_bits(firsts, "fp", shape).groupBy("bit").agg(F.min("pos").alias("first_pos"))
     )
 
 
@@ -52,11 +58,15 @@ def dropped_by(
 
 
 def contains(probe: DataFrame, ids: list[str], setters: DataFrame, shape: BloomShape) -> DataFrame:
-    """Add ``is_member`` to ``probe(ids…, fp)``: no bit of the row is unset."""
-    wanted = bloom_bits(probe.select(*ids, "fp"), "fp", shape)
-    missing = wanted.join(setters.select("bit"), "bit", "left_anti").select(*ids).distinct()
-    return probe.join(missing.withColumn("_missing", F.lit(True)), ids, "left").select(
-        *probe.columns, F.col("_missing").isNull().alias("is_member")
+    """Add ``is_member`` to ``probe(ids…, fp)``: no bit of the row is unset.
+
+    Bits are looked up once per distinct fingerprint; ``ids`` stay in the rows.
+    """
+    prints = probe.select(F.col("fp").alias("_fp"), "fp").distinct()
+    wanted = bloom_bits(prints, "fp", shape)
+    missing = wanted.join(setters.select("bit"), "bit", "left_anti").select("_fp").distinct()
+    return probe.join(missing, F.col("fp") == F.col("_fp"), "left").select(
+        *probe.columns, F.col("_fp").isNull().alias("is_member")
     )
 
 
@@ -67,11 +77,11 @@ def saturation(
 
     One row per ``every`` positions: the filter after that many rows.
     """
-    seen = prints.groupBy(F.floor(F.col("pos") / every).alias("step")).agg(
+    seen = prints.groupBy(block_of(F.col("pos"), every).alias("step")).agg(
         F.count("*").alias("_rows")
     )
     fresh = first_setters(prints, shape).groupBy(
-        F.floor(F.col("first_pos") / every).alias("step")
+        block_of(F.col("first_pos"), every).alias("step")
     ).agg(F.count("*").alias("_bits"))
     steps = work.table(
         seen.join(fresh, "step", "left").select(

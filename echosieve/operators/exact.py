@@ -23,11 +23,10 @@ def kept_positions(df: DataFrame, params: Params) -> DataFrame:
     return fingerprints(df, params).groupBy("fp").agg(F.min("pos").alias("pos")).select("pos")
 
 
-def copy_groups(df: DataFrame, params: Params, work: Workspace) -> DataFrame:
+def copy_groups(prints: DataFrame, work: Workspace) -> DataFrame:
     """``(fp, owner_pos, n)`` of every text that occurs more than once."""
     return work.table(
-        fingerprints(df, params)
-        .groupBy("fp")
+        prints.groupBy("fp")
         .agg(F.min("pos").alias("owner_pos"), F.count("*").alias("n"))
         .filter(F.col("n") > 1),
         "copy-groups",
@@ -35,11 +34,13 @@ def copy_groups(df: DataFrame, params: Params, work: Workspace) -> DataFrame:
 
 
 def dropped(df: DataFrame, params: Params, work: Workspace) -> DataFrame:
-    """``(pos, owner_pos)`` of every later copy and the row it copies."""
-    groups = copy_groups(df, params, work)
-    members = join_per_key(
-        fingerprints(df, params), groups, ["fp"], "n", "pos", params.hot_rows
-    )
+    """``(pos, owner_pos)`` of every later copy and the row it copies.
+
+    The fingerprints, 24 bytes a row, are written, so the text is read and hashed once.
+    """
+    prints = work.table(fingerprints(df, params), "fingerprints")
+    groups = copy_groups(prints, work)
+    members = join_per_key(prints, groups, ["fp"], "n", "pos", params.hot_rows)
     return work.table(
         members.filter(F.col("pos") != F.col("owner_pos")).select("pos", "owner_pos"),
         "dropped",

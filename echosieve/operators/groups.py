@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import block_of
 from ..functions.text import sample
 from ..params import PAIRS_PER_CHUNK, Params
 from ..workspace import Workspace
@@ -72,16 +73,23 @@ def with_shifted_duplicate_count(
     rows = work.table(
         df.select(position(params))
         .join(ordinals(dropped).select("pos", "ordinal"), "pos", "left")
-        .withColumn("_chunk", F.floor(F.col("pos") / params.chunk_size))
+        .withColumn("_chunk", block_of(F.col("pos"), params.chunk_size))
         .withColumn("_at", F.row_number().over(in_chunk)),
         "chunk-rows",
     )
     kept_at = F.count(F.when(F.col("ordinal").isNull(), 1)).over(in_chunk)
     kept = rows.withColumn("_at", kept_at).filter(F.col("ordinal").isNull())
-    counts = kept.select(F.col("pos").alias("_pos"), "_chunk", "_at").join(
-        rows.select("_chunk", "_at", "ordinal"), ["_chunk", "_at"]
-    ).select("_pos", F.coalesce("ordinal", F.lit(0)).alias("duplicate_count"))
-    return df.join(counts, F.col(params.order_column) == F.col("_pos")).drop("_pos")
+    # Most counts are 0; only the others, a few per cent of the rows, meet the payload.
+    counts = work.table(
+        kept.select(F.col("pos").alias("_pos"), "_chunk", "_at").join(
+            rows.filter("ordinal > 0").select("_chunk", "_at", "ordinal"), ["_chunk", "_at"]
+        ).select("_pos", F.col("ordinal").alias("_count")),
+        "shifted-counts",
+    )
+    survivors = keep(df, dropped, params)
+    return survivors.join(
+        counts, F.col(params.order_column) == F.col("_pos"), "left"
+    ).select(*survivors.columns, F.coalesce("_count", F.lit(0)).alias("duplicate_count"))
 
 
 def pair_texts(
@@ -89,16 +97,25 @@ def pair_texts(
 ) -> DataFrame:
     """Add ``owner_text`` and ``text`` to ``pairs(pos, owner_pos, …)``.
 
-    ``pairs`` is a written table.  An owner with very many copies is joined in
-    shares, see ``join_per_key``.
+    ``pairs`` is a written table.  The corpus is read once, for owners and copies
+    together, and only rows of some pair go on.  Which rows those are is a written
+    table of positions, so the planner can send it to the scan if it is small; if
+    not, the corpus is shuffled on the position once.  An owner with very many
+    copies is joined in shares, see ``join_per_key``.
     """
-    texts = df.select(position(params), F.col(params.text_column).alias("text"))
-    sizes = pairs.groupBy("owner_pos").agg(F.count("*").alias("_n"))
-    owners = work.table(
-        texts.select(F.col("pos").alias("owner_pos"), F.col("text").alias("owner_text")).join(
-            sizes, "owner_pos"
+    wanted = work.table(
+        pairs.select("pos").unionAll(pairs.select(F.col("owner_pos").alias("pos"))).distinct(),
+        "pair-positions",
+    )
+    texts = work.table(
+        df.select(position(params), F.col(params.text_column).alias("text")).join(
+            wanted, "pos", "left_semi"
         ),
-        "owner-texts",
+        "pair-texts",
+    )
+    sizes = pairs.groupBy("owner_pos").agg(F.count("*").alias("_n"))
+    owners = texts.select(F.col("pos").alias("owner_pos"), F.col("text").alias("owner_text")).join(
+        sizes, "owner_pos"
     )
     with_owner = join_per_key(pairs, owners, ["owner_pos"], "_n", "pos", params.hot_rows)
     return with_owner.drop("_n").join(texts, "pos")
@@ -113,7 +130,7 @@ def pair_sample(
     parameter = "1.0" if params.method == "exact" else str(params.minhash_threshold)
     first = work.table(
         dropped.filter(F.col("owner_pos").isNotNull())
-        .withColumn("chunk", F.floor(F.col("pos") / params.chunk_size))
+        .withColumn("chunk", block_of(F.col("pos"), params.chunk_size))
         .withColumn("_at", F.row_number().over(in_chunk))
         .filter(F.col("_at") <= per_chunk)
         .drop("_at"),

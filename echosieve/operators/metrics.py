@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import block_of
 from ..params import Params
 from .running import running_totals
 from .survivors import position
 
-# The method metrics that are passed on to the metrics sink.
+# The names of all metric columns and labels in this module, and the
+# method metrics that are passed on to the metrics sink.
 LOGGED_METRICS = (
     "processed_total", "chunk_kept", "chunk_duplicates",
     "global_unique", "global_duplicates", "duplicate_ratio",
@@ -22,7 +24,7 @@ def _ratio(part: Column, whole: Column) -> Column:
 
 def chunk_counts(df: DataFrame, dropped: DataFrame, params: Params) -> DataFrame:
     """``(chunk, original, kept, removed)`` with chunks counted from 0."""
-    chunk = F.floor(F.col("pos") / params.chunk_size).alias("chunk")
+    chunk = block_of(F.col("pos"), params.chunk_size).alias("chunk")
     original = df.select(position(params)).groupBy(chunk).agg(F.count("*").alias("original"))
     gone = dropped.groupBy(chunk).agg(F.count("*").alias("removed"))
     removed = F.coalesce("removed", F.lit(0))
@@ -89,21 +91,21 @@ def logged(metrics: DataFrame) -> DataFrame:
 
 def final_summary(counts: DataFrame, metrics: DataFrame | None) -> DataFrame:
     """One row of totals; the mean ratio is 0 for methods without metrics."""
-    totals = counts.agg(
+    parts = counts.select("original", "kept", "removed", F.lit(None).cast("double").alias("ratio"))
+    if metrics is not None:
+        none = F.lit(None).cast("bigint")
+        parts = parts.unionAll(metrics.select(none, none, none, "duplicate_ratio"))
+    totals = parts.agg(
         F.coalesce(F.sum("original"), F.lit(0)).alias("total_original_count"),
         F.coalesce(F.sum("kept"), F.lit(0)).alias("total_deduplicated_count"),
         F.coalesce(F.sum("removed"), F.lit(0)).alias("total_duplicates_removed"),
-    ).select(
-        "*",
-        _ratio(F.col("total_deduplicated_count"), F.col("total_original_count")).alias(
-            "total_compression_ratio"
-        ),
-        F.lit(1).alias("_one"),
+        F.coalesce(F.avg("ratio"), F.lit(0.0)).alias("avg_duplicate_ratio"),
+    )
+    ratio = _ratio(F.col("total_deduplicated_count"), F.col("total_original_count"))
+    return totals.select(
+        "total_original_count", "total_deduplicated_count", "total_duplicates_removed",
+        ratio.alias("total_compression_ratio"), "avg_duplicate_ratio",
     )
-    if metrics is None:
-        return totals.select("*", F.lit(0.0).alias("avg_duplicate_ratio")).drop("_one")
-    mean = metrics.agg(F.coalesce(F.avg("duplicate_ratio"), F.lit(0.0)).alias("avg_duplicate_ratio"))
-    return totals.join(mean.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
 def unique_share(counts: DataFrame) -> DataFrame:

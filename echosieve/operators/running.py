@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import block_of
+
 BLOCK = 1_000_000
 
 
@@ -19,7 +21,7 @@ def running_totals(
     each block; only one row per block is ordered across blocks.
     """
     keys = [*group, "_block"]
-    blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
+    blocked = df.withColumn("_block", block_of(F.col(order), block))
     before = Window.partitionBy(*group).orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1
     )

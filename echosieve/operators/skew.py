@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+SENT_KEYS = 50_000  # a few MB with 16-byte keys
+
+
 def _shares(n: Column, hot_rows: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(n / F.lit(hot_rows))).cast("int")
 
@@ -31,13 +34,16 @@ def spread_join(
 def join_per_key(
     rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, spread: str, hot_rows: int
 ) -> DataFrame:
-    """As ``spread_join`` when only ``per_key`` knows ``n``; ``n`` is kept.
+    """As ``spread_join`` when only ``per_key``, a written table, knows ``n``; ``n`` is kept.
 
-    The hot keys are sent to every task.  There are at most total rows /
-    ``hot_rows`` of them, whatever the data: 40,000 for 40 billion rows.
+    The hot keys are counted first.  Without any this is a plain join; up to ``SENT_KEYS``
+    of them are sent to every task, more are looked up by a join of their own.
     """
     hot = per_key.filter(F.col(n) > hot_rows).select(*keys, F.col(n).alias("_n"))
-    known = rows.join(F.broadcast(hot), keys, "left")
+    count = hot.count()
+    if count == 0:
+        return rows.join(per_key, keys)
+    known = rows.join(F.broadcast(hot) if count <= SENT_KEYS else hot, keys, "left")
     dealt = known.withColumn(
         "_share",
         F.pmod(F.xxhash64(spread), _shares(F.coalesce("_n", F.lit(1)), hot_rows)).cast("int"),

@@ -18,7 +18,10 @@ def text_rows(df: DataFrame, text: Column, params: Params) -> DataFrame:
 
 
 def enough_tasks(rows: DataFrame, params: Params) -> DataFrame:
-    return rows if params.min_tasks is None else rows.repartition(params.min_tasks, "pos")
+    """``rows`` in ``min_tasks`` partitions if they lie in fewer."""
+    if params.min_tasks is None or rows.rdd.getNumPartitions() >= params.min_tasks:
+        return rows
+    return rows.repartition(params.min_tasks, "pos")
 
 
 def keep(df: DataFrame, dropped: DataFrame, params: Params) -> DataFrame:

@@ -32,13 +32,19 @@ class Params:
     join; keys with more rows are spread over several tasks.  ``plain_rounds``
     is how many rounds first-come selection takes before it turns to whole
     components.  ``min_tasks`` is for corpora that lie in a few large row groups:
-    the signature step then gets at least that many tasks, for one shuffle of
-    the text; leave it unset when the scan has enough splits of its own.
+    a scan with fewer splits than that is shuffled once, and one with as many or
+    more is left as it is.
+
+    ``dataset_name`` is where ``run`` reads when it is given no source.  Rows are
+    selected by ``dataset_config`` and ``dataset_split`` only where
+    ``config_column`` and ``split_column`` name the columns that hold them.
     """
 
     dataset_name: str | None = None
     dataset_config: str | None = None
     dataset_split: str = DEFAULT_SPLIT
+    config_column: str | None = None
+    split_column: str | None = None
     text_column: str = DEFAULT_TEXT
     order_column: str = "doc_id"
     key: str | None = None
@@ -73,6 +79,10 @@ class Params:
             raise ValueError(f"bloom_error_rate must lie in (0, 1), got {self.bloom_error_rate}")
         if self.bloom_capacity is not None and self.bloom_capacity < 1:
             raise ValueError(f"bloom_capacity must be at least 1, got {self.bloom_capacity}")
+        if self.key is not None and self.method in ("exact", "minhash"):
+            raise ValueError(f"method {self.method!r} compares texts and takes no key")
+        if self.config_column is not None and self.dataset_config is None:
+            raise ValueError("config_column needs a dataset_config")
         if self.method in BLOOM_METHODS and not self.has_bloom:
             raise ValueError(f"method {self.method!r} needs bloom_capacity and bloom_error_rate")
 

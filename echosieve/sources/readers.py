@@ -6,16 +6,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.numbers import block_of
 from ..params import Params
 from ..workspace import Workspace
 
 
-def _select_part(df: DataFrame, params: Params) -> DataFrame:
-    """Keep the configured ``config`` / ``split`` where the data is laid out by them."""
-    if params.dataset_config is not None and "config" in df.columns:
-        df = df.filter(F.col("config") == params.dataset_config)
-    if "split" in df.columns:
-        df = df.filter(F.col("split") == params.dataset_split)
+def select_part(df: DataFrame, params: Params) -> DataFrame:
+    """The configured part of a corpus, by the columns the caller named for it."""
+    wanted = (
+        (params.config_column, params.dataset_config), (params.split_column, params.dataset_split),
+    )
+    for column, value in wanted:
+        if column is None:
+            continue
+        if column not in df.columns:
+            raise ValueError(f"the corpus has no column {column!r}; it has {df.columns}")
+        df = df.filter(F.col(column) == value)
     return df
 
 
@@ -27,19 +33,22 @@ def read_corpus(
     reader = spark.read.format(format).options(**options)
     if schema is not None:
         reader = reader.schema(schema)
-    return limit_chunks(_select_part(reader.load(path), params), params)
+    return limit_chunks(select_part(reader.load(path), params), params)
 
 
 def stream_corpus(
     spark: SparkSession, path: str, params: Params, schema: StructType | str,
     format: str = "parquet", files_per_batch: int = 1, **options,
 ) -> DataFrame:
-    """The same as a stream of files, oldest first."""
+    """The same as a stream of files, oldest first.
+
+    ``max_chunks`` is applied by the runner, which stops before a file beyond it.
+    """
     reader = (
         spark.readStream.format(format).options(**options).schema(schema)
         .option("maxFilesPerTrigger", files_per_batch)
     )
-    return _select_part(reader.load(path), params)
+    return select_part(reader.load(path), params)
 
 
 def limit_chunks(df: DataFrame, params: Params) -> DataFrame:
@@ -51,7 +60,27 @@ def limit_chunks(df: DataFrame, params: Params) -> DataFrame:
 
 def with_chunk(df: DataFrame, params: Params) -> DataFrame:
     """Add ``chunk``: consecutive groups of ``chunk_size`` positions, from 0."""
-    return df.withColumn("chunk", F.floor(F.col(params.order_column) / params.chunk_size))
+    return df.withColumn("chunk", block_of(F.col(params.order_column), params.chunk_size))
+
+
+def with_file_positions(df: DataFrame, work: Workspace, name: str = "pos") -> DataFrame:
+    """Number the rows of a file scan 0, 1, 2, … in order of file path and row.
+
+    For corpora without an id or a sort key: the order of arrival is the order.  Nothing
+    is sorted or shuffled: a row's number is its index in its file plus one offset per
+    file, and the list of files has a row each.
+    """
+    path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per file.
+    files = df.select(path.alias("_file")).groupBy("_file").agg(F.count("*").alias("_rows"))
+    offsets = work.table(files.select(
+        "_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
+    ), "file-offsets")
+    placed = df.select("*", path.alias("_file"), row.alias("_row"))
+    return placed.join(offsets, "_file").select(
+        *df.columns, (F.col("_offset") + F.col("_row")).alias(name)
+    )
 
 
 def with_positions(

@@ -43,27 +43,14 @@ def write_chunks(
     writer.parquet(path)
 
 
-def write_metrics(metrics: DataFrame, path: str) -> None:
-    metrics.write.mode("append").parquet(path)
-
-
-def pair_table(texts: DataFrame) -> DataFrame:
-    """Pairs in the layout of the pair table, with the differing lines as arrays."""
-    from ..operators.similarity import line_differences
-
-    named = texts.withColumn("Original", F.col("owner_text")).withColumn(
-        "Duplicate", F.col("text")
-    ).withColumnRenamed("parameter", "Parameter")
-    return line_differences(named)
-
-
-def write_pairs(texts: DataFrame, path: str) -> None:
-    pair_table(texts).write.mode("append").parquet(path)
-
-
 def csv_rows(texts: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs in the layout of the duplicate CSV."""
-    return texts.join(sizes, "owner_pos").select(
+    """Pairs in the layout of the duplicate CSV.
+
+    ``texts`` carries the sizes itself where ``sizes`` was joined to the pairs before
+    their texts were, which keeps an owner with very many copies spread.
+    """
+    sized = texts if "group_size" in texts.columns else texts.join(sizes, "owner_pos")
+    return sized.select(
         F.concat(F.lit("doc_"), F.col("owner_pos").cast("string")).alias("group_id"),
         "group_size",
         F.col("owner_text").alias("text_original"),

@@ -6,12 +6,14 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.survivors import keep, position
+from ..operators.survivors import keep
 from ..params import Params
+from ..sources.readers import limit_chunks
 from ..workspace import Workspace
 from .state import BatchTable
 from .steps import STEPS
@@ -47,43 +49,66 @@ class StreamFolders:
         return BatchTable(f"{self.root}/counts", METRIC_SCHEMA)
 
 
+class ChunkLimit(Exception):
+    """Raised inside a stream that has reached ``max_chunks``."""
+
+
 def process_batch(
     batch: DataFrame, batch_id: int, params: Params, folders: StreamFolders
 ) -> None:
-    """Keep, report and remember one micro-batch; safe to repeat."""
-    if params.max_chunks is not None and batch_id >= params.max_chunks:
-        return
+    """Keep, report and remember one micro-batch; safe to repeat.
+
+    With ``max_chunks`` only rows of the first chunks are processed, as at rest.  A
+    batch that goes beyond them is not committed: ``ChunkLimit`` ends the stream, and a
+    restart with a higher limit takes the batch again as a whole.
+    """
+    within = limit_chunks(batch, params)
+    beyond = params.max_chunks is not None and not batch.filter(
+        F.col(params.order_column) >= params.max_chunks * params.chunk_size
+    ).isEmpty()
+    if not (beyond and within.isEmpty()):
+        _process(within, batch_id, params, folders)
+    if beyond:
+        raise ChunkLimit(f"batch {batch_id} goes beyond chunk {params.max_chunks}")
+
+
+def _process(batch: DataFrame, batch_id: int, params: Params, folders: StreamFolders) -> None:
     spark = batch.sparkSession
     step, _ = STEPS[params.method]
     state = folders.state(params)
     work = Workspace(spark)
-    dropped, added = step(batch, state.before(spark, batch_id), params, work)
-    folders.dropped().write(dropped, batch_id)
-    dropped = folders.dropped().of(spark, batch_id)
-    kept = keep(batch, dropped, params)
-    removed = dropped.agg(F.count("*").alias("removed"))
-    counts = batch.select(position(params)).agg(F.count("*").alias("original")).withColumn(
-        "_one", F.lit(1)
-    ).join(removed.withColumn("_one", F.lit(1)), "_one").select(
-        "original", (F.col("original") - F.col("removed")).alias("kept"), "removed"
-    )
-    # The three remaining results do not depend on each other.
-    writes = (
-        lambda: kept.write.mode("overwrite").parquet(f"{folders.rows}/chunk={batch_id}"),
-        lambda: folders.counts().write(counts, batch_id),
-        lambda: state.write(added, batch_id),
-    )
-    with ThreadPoolExecutor(len(writes)) as pool:
-        jobs = [pool.submit(inheritable_thread_target(spark)(write)) for write in writes]
-        for job in jobs:
-            job.result()
-    work.remove()
+    try:
+        dropped, added = step(batch, state.before(spark, batch_id), params, work)
+        folders.dropped().write(dropped, batch_id)
+        dropped = folders.dropped().of(spark, batch_id)
+        kept = keep(batch, dropped, params)
+        counts = batch.select(F.lit(0).cast("bigint").alias("gone")).unionAll(
+            dropped.select(F.lit(1).cast("bigint"))
+        ).agg(
+            F.count_if(F.col("gone") == 0).alias("original"),
+            F.coalesce(F.sum("gone"), F.lit(0)).alias("removed"),
+        ).select("original", (F.col("original") - F.col("removed")).alias("kept"), "removed")
+        # The three remaining results do not depend on each other.
+        writes = (
+            lambda: kept.write.mode("overwrite").parquet(f"{folders.rows}/chunk={batch_id}"),
+            lambda: folders.counts().write(counts, batch_id),
+            lambda: state.write(added, batch_id),
+        )
+        with ThreadPoolExecutor(len(writes)) as pool:
+            jobs = [pool.submit(inheritable_thread_target(spark)(write)) for write in writes]
+            for job in jobs:
+                job.result()
+    finally:
+        work.remove()
 
 
 def start(
     stream: DataFrame, params: Params, folders: StreamFolders, available_now: bool = True
 ) -> StreamingQuery:
-    """Start the stream; a restart with the same folders goes on where it stopped."""
+    """Start the stream; a restart with the same folders goes on where it stopped.
+
+    Use ``finish`` to wait for a stream with ``max_chunks``.
+    """
     if params.method not in STEPS:
         raise ValueError(
             f"unknown streaming method {params.method!r}; available: {', '.join(sorted(STEPS))}"
@@ -94,6 +119,17 @@ def start(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def finish(query: StreamingQuery) -> bool:
+    """Wait for the end of a stream; true if ``max_chunks`` ended it."""
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as error:
+        if ChunkLimit.__name__ not in str(error):
+            raise
+        return True
+    return False
+
+
 def kept_rows(spark: SparkSession, folders: StreamFolders) -> DataFrame:
     """All rows kept so far, with the ``chunk`` that brought them."""
     return spark.read.parquet(folders.rows)

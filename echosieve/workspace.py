@@ -26,6 +26,21 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def _at(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    path, store = _at(spark, folder)
+    return store.exists(path)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path, store = _at(spark, folder)
+    store.delete(path, True)
+
+
 class Workspace:
     """Numbered Parquet tables below one folder of the shared storage.
 
@@ -44,8 +59,7 @@ class Workspace:
 
     def remove(self) -> None:
         """Delete this workspace, once no DataFrame over its tables is needed."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, self.folder)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return it as read back from storage."""

@@ -10,7 +10,8 @@ from echosieve.sources.sinks import output_folder
     {"chunk_size": 0}, {"max_chunks": 0}, {"minhash_threshold": 0.0}, {"minhash_threshold": 1.0},
     {"minhash_num_hashes": 0}, {"bloom_error_rate": 1.0, "bloom_capacity": 5},
     {"bloom_error_rate": 0.1, "bloom_capacity": 0}, {"method": "bloomfilter"},
-    {"method": "minhash_bloom_hybrid", "bloom_capacity": 10},
+    {"method": "minhash_bloom_hybrid", "bloom_capacity": 10}, {"method": "exact", "key": "url"},
+    {"method": "minhash", "key": "url"}, {"config_column": "config"},
 ])
 def test_bounds_are_checked(changes):
     with pytest.raises(ValueError):
@@ -22,6 +23,12 @@ def test_exact_and_minhash_need_no_filter_settings():
     assert Params(method="minhash").minhash_num_hashes == 150
 
 
+def test_first_coefficients():
+    from echosieve.functions.minhash import coefficients
+
+    assert coefficients(2) == [(48271, 182605794), (1291394886, 1914720637)]
+
+
 @pytest.mark.parametrize("threshold,hashes,bands,rows", [
     (0.8, 150, 11, 13), (0.7, 150, 16, 9), (0.8, 128, 9, 13), (0.5, 150, 27, 5), (0.9, 150, 6, 25),
 ])

@@ -43,9 +43,35 @@ def test_config_and_split_folders(spark, work, format):
     read = lambda p: sorted(
         r.text for r in readers.read_corpus(spark, path, p, format, schema=schema).collect()
     )
-    assert read(Params(dataset_config="en")) == ["a"]
-    assert read(Params(dataset_config="en", dataset_split="test")) == ["b"]
-    assert read(Params()) == ["a", "c"]
+    named = Params(dataset_config="en", config_column="config", split_column="split")
+    assert read(named) == ["a"]
+    assert read(named.but(dataset_split="test")) == ["b"]
+    assert read(Params(split_column="split")) == ["a", "c"]
+    assert read(Params(dataset_config="en")) == ["a", "b", "c"]
+    with pytest.raises(ValueError, match="no column"):
+        read(Params(split_column="part"))
+    with pytest.raises(ValueError, match="needs a dataset_config"):
+        Params(config_column="config")
+
+
+def test_chunks_above_the_doubles(spark):
+    top = 2**53 + 1
+    df = spark.createDataFrame([(top,), (top + 1,)], "doc_id bigint")
+    got = readers.with_chunk(df, Params(chunk_size=1)).orderBy("doc_id").collect()
+    assert [r.chunk for r in got] == [top, top + 1]
+
+
+def test_positions_by_file(spark, work):
+    path = work.path("files")
+    for at in range(4):
+        rows = [(f"f{at}r{i}", i % 2) for i in range(5 - at)]
+        spark.createDataFrame(rows, "text string, n int").coalesce(1).write.parquet(f"{path}/part={at}")
+    df = spark.read.parquet(path)
+    got = readers.with_file_positions(df, work).orderBy("pos").collect()
+    assert [r.pos for r in got] == list(range(14))
+    assert [r.text for r in got] == [f"f{a}r{i}" for a in range(4) for i in range(5 - a)]
+    plan = readers.with_file_positions(df, work)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "hashpartitioning" not in plan
 
 
 def test_batch_run_writes_everything(spark, work):
@@ -54,6 +80,10 @@ def test_batch_run_writes_everything(spark, work):
     )
     out = work.path("out")
     result = run(spark, params, DOCS, out)
+    with pytest.raises(FileExistsError):
+        run(spark, params, DOCS, out)
+    result = run(spark, params.but(dataset_name=DOCS), None, out, overwrite=True)
+    out = result.reports
     assert result.path.endswith("/deduplicated_en_using_minhash_with_0k_data")
     rows = spark.read.parquet(result.path)
     docs = spark.read.parquet(DOCS).filter("doc_id < 150")
@@ -67,6 +97,9 @@ def test_batch_run_writes_everything(spark, work):
     pairs = spark.read.parquet(f"{out}/pairs")
     assert set(sinks.PAIR_COLUMNS) <= set(pairs.columns)
     assert {r.Parameter for r in pairs.collect()} == {"0.6"}
+    assert rows.agg(F.sum("duplicate_count")).first()[0] == total.total_duplicates_removed
+    assert spark.read.parquet(f"{out}/metrics/share").count() == 2
+    assert spark.read.parquet(f"{out}/metrics/trend").count() == 3
     assert spark.read.parquet(f"{out}/top_duplicates").count() <= 10
 
 
@@ -76,6 +109,7 @@ def test_batch_run_of_a_bloom_method(spark, work):
     )
     result = run(spark, params, DOCS, work.path("out"), cluster=False, rows_per_file=20)
     assert result.top_groups is None and result.method_metrics is None
+    assert result.saturation.count() == 2
     assert result.summary.first().avg_duplicate_ratio == 0.0
     sizes = spark.read.parquet(result.path).groupBy(F.input_file_name()).count().collect()
     assert max(r["count"] for r in sizes) <= 20

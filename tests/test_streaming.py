@@ -118,7 +118,14 @@ def test_chunk_limit_and_unknown_method(spark, work):
     for lo in (0, 50, 100):
         land(docs, inbox, lo, lo + 50)
     folders = runner.StreamFolders(work.path("stream"))
-    run(spark, docs, inbox, Params(max_chunks=2), folders)
-    assert folders.counts().read(spark).count() == 2
+    limited = Params(max_chunks=3, chunk_size=25)  # ends within the second file
+    stream = stream_corpus(spark, inbox, limited, docs.schema)
+    assert runner.finish(runner.start(stream, limited, folders)) is True
+    first = docs.filter("doc_id < 75")
+    want = lambda df: sorted(r.doc_id for r in deduplicate(df, Params()).select("doc_id").collect())
+    assert kept(spark, folders) == want(first)
+    stream = stream_corpus(spark, inbox, Params(), docs.schema)
+    assert runner.finish(runner.start(stream, Params(), folders)) is False
+    assert kept(spark, folders) == want(docs.filter("doc_id < 150"))
     with pytest.raises(ValueError, match="available"):
         runner.start(stream_corpus(spark, inbox, Params(), docs.schema), Params(method="x"), folders)
