@@ -123,7 +123,7 @@ def banded(count: int, shape: BandShape, rows: str = "documents") -> str:
         kb as (select doc_id, i // {shape.rows} band,
                       md5((i // {shape.rows})::varchar || ':'
                           || string_agg(s::varchar, ',' order by i)) k
-               from sg where i < {shape.used} group by 1, 2)"""
+               from sg where i < {shape.bands * shape.rows} group by 1, 2)"""
 
 
 def first_match(

@@ -445,8 +445,10 @@ def pair_line_diff(spark, sf):
 
 def pair_csv(spark, sf):
     """All pairs written as CSV and read back."""
-    run, dropped, texts = _all_pair_texts(spark, sf, minhash_threshold=0.7)
-    rows = sinks.csv_rows(texts, groups.group_sizes(dropped), run.params.minhash_threshold)
+    run = _Run(spark, sf, method="minhash", minhash_threshold=0.7)
+    pairs = groups.sized_pairs(run.dropped(), run.params, run.work)
+    texts = groups.pair_texts(run.docs, pairs, run.params, run.work)
+    rows = sinks.csv_rows(texts, run.params.minhash_threshold)
     path = run.work.path("csv")
     sinks.write_csv(rows, path)
     return sinks.read_csv(spark, path).select(

@@ -19,6 +19,15 @@ def group_sizes(dropped: DataFrame) -> DataFrame:
     return dropped.groupBy("owner_pos").agg((F.count("*") + 1).alias("group_size"))
 
 
+def sized_pairs(dropped: DataFrame, params: Params, work: Workspace) -> DataFrame:
+    """``dropped`` plus ``group_size``, joined in shares before any text is at hand."""
+    sizes = work.table(group_sizes(dropped), "group-sizes")
+    return work.table(
+        join_per_key(dropped, sizes, ["owner_pos"], "group_size", "pos", params.hot_rows),
+        "sized-pairs",
+    )
+
+
 def top_groups(df: DataFrame, dropped: DataFrame, params: Params) -> DataFrame:
     """The largest groups with the head of their first text; ties by position."""
     largest = (

@@ -43,14 +43,9 @@ def write_chunks(
     writer.parquet(path)
 
 
-def csv_rows(texts: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs in the layout of the duplicate CSV.
-
-    ``texts`` carries the sizes itself where ``sizes`` was joined to the pairs before
-    their texts were, which keeps an owner with very many copies spread.
-    """
-    sized = texts if "group_size" in texts.columns else texts.join(sizes, "owner_pos")
-    return sized.select(
+def csv_rows(texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs in the layout of the duplicate CSV, from the texts of ``groups.sized_pairs``."""
+    return texts.select(
         F.concat(F.lit("doc_"), F.col("owner_pos").cast("string")).alias("group_id"),
         "group_size",
         F.col("owner_text").alias("text_original"),

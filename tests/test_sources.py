@@ -120,9 +120,10 @@ def test_csv_keeps_quotes_and_line_breaks(spark, work):
     df = spark.createDataFrame([(0, odd), (1, odd), (2, "z")], "doc_id bigint, text string")
     params = Params()
     dropped = exact.dropped(df, params, work)
-    texts = groups.pair_texts(df, dropped, params, work)
+    pairs = groups.sized_pairs(dropped, params, work)
+    texts = groups.pair_texts(df, pairs, params, work)
     path = work.path("csv")
-    sinks.write_csv(sinks.csv_rows(texts, groups.group_sizes(dropped), 1.0), path)
+    sinks.write_csv(sinks.csv_rows(texts, 1.0), path)
     row = sinks.read_csv(spark, path).first()
     assert (row.group_id, row.group_size, row.similarity_threshold) == ("doc_0", 2, 1.0)
     assert row.text_original == row.text_duplicate == odd
