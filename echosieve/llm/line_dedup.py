@@ -65,7 +65,8 @@ def drop_lines(
     has one blank line.  Pages with a null host form a host of their own.  Repeated rows count
     as pages of their own.
     """
-    lists = boilerplate(docs, text, host, ratio, min_pages).select(
+    # Written, so that the planner knows its size before it would shuffle the pages by host.
+    lists = work.table(boilerplate(docs, text, host, ratio, min_pages), "boilerplate").select(
         F.col("host").alias("_host"), F.col("lines").alias("_lines")
     )
     listed = docs.join(lists, same(F.col(host), F.col("_host")), "left")
