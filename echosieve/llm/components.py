@@ -9,16 +9,13 @@ from echosieve.workspace import Workspace
 
 
 def components(links: DataFrame, work: Workspace) -> DataFrame:
-    """``(id, component)`` for every id of ``links(a, b)``: the least id it can reach.
+    """``(id, component)`` for every id of the written ``links(a, b)``: the least id in reach.
 
     Least-label steps, each followed by a jump to the label's label, so a chain of L links
     takes about log L rounds; every round is a written table.  Links to itself are harmless.
     """
-    both = work.table(
-        links.select(F.col("a").alias("id"), F.col("b").alias("other"))
-        .unionAll(links.select(F.col("b").alias("id"), F.col("a").alias("other")))
-        .distinct(),
-        "links-both-ways",
+    both = links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionAll(
+        links.select(F.col("b").alias("id"), F.col("a").alias("other"))
     )
     labels = work.table(
         both.groupBy("id").agg(F.least("id", F.min("other")).alias("component")), "labels"

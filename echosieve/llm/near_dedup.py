@@ -5,13 +5,17 @@ minwise tokens.  In each of ``TREES`` independent trees, a node passes a documen
 child per chosen token; a hash of (node, token) chooses each token with probability
 1 / (similarity * MINHASHES), so two documents above the similarity stay together in one child
 or more on average, and unlike ones part.  Documents of a node of at most ``SMALL`` are compared
-exhaustively; larger nodes are first compared with one leader each, then branch on where they
-still hold documents of more than one group.  At ``DEPTH`` whole nodes are compared in blocks.
+exhaustively.  Documents of larger nodes are first compared with a few leaders of their node, in
+``LEADER_ROUNDS`` rounds.  If at most ``STRAGGLERS`` documents of a node are outside its largest
+group then, these are compared with the whole node; other nodes branch on.  At ``DEPTH`` whole
+nodes are compared, in blocks.
 
 * Equal sets are one class from the start, represented by its least id.
 * Comparing means: sizes, then 64 four-bit sketches (a true link is lost here with a chance of
   about 1e-5), then the exact sets.
-* Pairs within one known group are never compared again: links are only needed to join groups.
+* Links are only needed to join groups: pairs within a known group are never compared, and of a
+  document's candidates the most alike is tried first.  A large group of near copies is joined
+  in a few linear rounds, not by its pairs.
 * At the threshold, a tree finds a pair in its first level with a chance of 1 - 1/e, so all
   ``TREES`` miss it with a chance of about e ** -TREES; a pair that must go through d levels
   survives a tree with a chance near 2 / (d + 3).
@@ -29,7 +33,9 @@ from echosieve.llm.components import components
 from echosieve.workspace import Workspace
 
 SHINGLE, PERCENT = 3, 85
-TREES, MINHASHES, SMALL, DEPTH = 16, 64, 16, 6
+TREES, MINHASHES, SMALL, DEPTH = 16, 64, 16, 4
+LEADERS, LEADER_ROUNDS = 2, 3
+STRAGGLERS = 32
 LEAST_AGREEING = 42  # of MINHASHES sketches; at 85 % the mean is 55, the deviation 2.8
 BLOCK_ROWS = 256
 BROADCAST_BYTES = 16 << 20
@@ -59,7 +65,10 @@ def shingles(text: Column, size: int = SHINGLE) -> Column:
 
 
 def _signatures(batches: Iterator) -> Iterator:
-    """Replace the shingle hashes ``sh`` by ``sig``: the minwise tokens as 32-bit numbers."""
+    """Replace the shingle hashes ``sh`` by ``sig``: the minwise tokens as 32-bit numbers.
+
+    An empty set has the greatest number for each token.
+    """
     import numpy as np
     import pyarrow as pa
 
@@ -76,10 +85,12 @@ def _signatures(batches: Iterator) -> Iterator:
         while row < len(sets):  # whole documents, about ``slab`` hashes at a time
             last = max(row + 1, int(np.searchsorted(ends, starts[row] + slab, "right")))
             part = flat[starts[row]:ends[last - 1]]
-            at = starts[row:last] - starts[row]
-            for k in range(MINHASHES):
+            filled = np.flatnonzero(ends[row:last] > starts[row:last])
+            at = starts[row:last][filled] - starts[row]
+            sig[row:last] = np.iinfo(np.uint32).max
+            for k in range(MINHASHES if len(at) else 0):
                 mixed = ((part * factors[k]) >> np.uint64(32)).astype(np.uint32)
-                sig[row:last, k] = np.minimum.reduceat(mixed, at)
+                sig[row + filled, k] = np.minimum.reduceat(mixed, at)
             row = last
         names = [f.name for f in batch.schema if f.name != "sh"]
         raw = pa.FixedSizeBinaryArray.from_buffers(
@@ -140,41 +151,64 @@ def _branch(trees: int, percent: int):
     return run
 
 
-def _alike(left: str, right: str, percent: int) -> Column:
-    """Sizes and sketches allow a link."""
-    a, b = (lambda c: F.col(f"{left}.{c}")), (lambda c: F.col(f"{right}.{c}"))
+def _differing(left: str, right: str) -> Column:
+    """How many of the sketches differ."""
     ones = F.lit(0x1111111111111111).cast("long")
     differing = F.lit(0)
     for s in SKETCH:
-        x = a(s).bitwiseXOR(b(s))
+        x = F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))
         for shift in (1, 2):  # any bit of a nibble, into its lowest
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
         differing = differing + F.bit_count(x.bitwiseAND(ones))
-    sizes = F.least(a("n"), b("n")) * 100 >= F.greatest(a("n"), b("n")) * percent
-    return sizes & (differing <= MINHASHES - LEAST_AGREEING)
-
-
-def _exhaustive(rows: DataFrame, percent: int, apart: bool = False) -> DataFrame:
-    """Pairs of rows of one (small) node that may be links."""
-    wanted = (F.col("x.node") == F.col("y.node")) & (F.col("x.id") < F.col("y.id"))
-    if apart:
-        wanted = wanted & (F.col("x.component") != F.col("y.component"))
-    return rows.alias("x").join(
-        rows.alias("y"), wanted & _alike("x", "y", percent)
-    ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-
-
-def _with_leaders(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of the rows of large nodes with their node's leader, the same over many nodes."""
-    order = F.xxhash64("id")
-    leaders = rows.groupBy("node").agg(
-        F.min(F.struct(order.alias("order"), "id", "n", *SKETCH)).alias("lead")
-    ).select("node", "lead.*")
-    return rows.alias("x").join(leaders.alias("y"), "node").filter(
-        (F.col("x.id") != F.col("y.id")) & _alike("x", "y", percent)
-    ).select(
-        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
+    return differing
+
+
+def _alike(left: str, right: str, percent: int) -> Column:
+    """Sizes and sketches allow a link."""
+    a, b = F.col(f"{left}.n"), F.col(f"{right}.n")
+    sizes = F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    return sizes & (_differing(left, right) <= MINHASHES - LEAST_AGREEING)
+
+
+def _pairs(joined: DataFrame) -> DataFrame:
+    """``(a, b, off)`` of joined rows x and y: the ids and how many sketches differ."""
+    return joined.select(
+        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"),
+        _differing("x", "y").alias("off"),
+    )
+
+
+def _exhaustive(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of rows of one (small) node that may be links between groups."""
+    wanted = (
+        (F.col("x.node") == F.col("y.node")) & (F.col("x.id") < F.col("y.id"))
+        & (F.col("x.component") != F.col("y.component"))
+    )
+    return _pairs(rows.alias("x").join(rows.alias("y"), wanted & _alike("x", "y", percent)))
+
+
+def _with_leaders(rows: DataFrame, percent: int, turn: int) -> DataFrame:
+    """``(b, a)``: for each row of a large node, the most alike of the leaders it meets.
+
+    A hash draws about ``LEADERS`` leaders per node, others in each ``turn``.
+    """
+    draw = F.pmod(F.xxhash64(F.lit(turn), "node", "id"), F.lit(1 << 30))
+    leaders = rows.filter(draw * F.col("cnt") < F.lit(LEADERS << 30))
+    met = rows.alias("x").join(leaders.alias("y"), "node").filter(
+        (F.col("x.component") != F.col("y.component")) & _alike("x", "y", percent)
     )
+    return met.groupBy(F.col("x.id").alias("b")).agg(
+        F.min_by(F.col("y.id"), F.struct(_differing("x", "y"), F.col("y.id"))).alias("a")
+    )
+
+
+def _stragglers(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the rows outside their node's largest group with all rows of the node."""
+    outside = rows.filter("component != top")
+    met = outside.alias("x").join(rows.alias("y"), F.col("x.node") == F.col("y.node")).filter(
+        (F.col("x.component") != F.col("y.component")) & _alike("x", "y", percent)
+    )
+    return _pairs(met)
 
 
 def _in_blocks(rows: DataFrame, percent: int) -> DataFrame:
@@ -190,9 +224,7 @@ def _in_blocks(rows: DataFrame, percent: int) -> DataFrame:
         & (F.col("x.high") == F.col("y.high")) & (F.col("x.component") != F.col("y.component"))
         & _alike("x", "y", percent)
     )
-    return x.alias("x").join(y.alias("y"), wanted).select(
-        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
-    )
+    return _pairs(x.alias("x").join(y.alias("y"), wanted))
 
 
 def _sized(rows: DataFrame, work: Workspace) -> DataFrame:
@@ -201,26 +233,98 @@ def _sized(rows: DataFrame, work: Workspace) -> DataFrame:
     return work.table(rows.join(nodes, "node"), "nodes")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are links on their full sets."""
-    right = sets.select(F.col("id").alias("b"), F.col("sh").alias("sb"))
-    left = sets.select(F.col("id").alias("a"), F.col("sh").alias("sa"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    joined = pairs.join(right, "b").join(left, "a").select(
-        "a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("both")
-    )
-    return joined.filter(
-        F.col("common") * 100 >= (F.col("both") - F.col("common")) * percent
-    ).select("a", "b")
-
-
-def _labelled(rows: DataFrame, labels: DataFrame, key: str, out: str) -> DataFrame:
+def _labelled(rows: DataFrame, labels: DataFrame | None, key: str, out: str) -> DataFrame:
+    """``rows`` plus ``out``: the group of ``key``, itself as long as it has no link."""
+    if labels is None:
+        return rows.withColumn(out, F.col(key))
     known = labels.select(F.col("id").alias("_k"), F.col("component").alias("_c"))
     return rows.join(known, F.col(key) == F.col("_k"), "left").withColumn(
         out, F.coalesce("_c", key)
     ).drop("_k", "_c")
 
 
+class _Join:
+    """The groups found so far, and what adds to them."""
+
+    def __init__(self, texts: DataFrame, shingle: int, percent: int, most: int, work: Workspace):
+        self.texts, self.shingle, self.percent = texts, shingle, percent
+        self.most, self.work = most, work
+        self.labels: DataFrame | None = None
+
+    def grouped(self, rows: DataFrame) -> DataFrame:
+        return _labelled(rows, self.labels, "id", "component")
+
+    def open(self, rows: DataFrame) -> DataFrame:
+        """Rows of the nodes that hold more than one group, with their ``component``, the
+        node's largest one, ``top``, and the number of rows ``outside`` it."""
+        grouped = self.grouped(rows)
+        nodes = grouped.groupBy("node", "component").agg(F.count(F.lit(1)).alias("own")).groupBy(
+            "node"
+        ).agg(
+            F.max_by("component", F.struct("own", "component")).alias("top"),
+            (F.sum("own") - F.max("own")).alias("outside"),
+        ).filter("outside > 0")
+        return self.work.table(grouped.join(nodes, "node"), "open-nodes")
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        both = _labelled(_labelled(pairs, self.labels, "a", "ca"), self.labels, "b", "cb")
+        return both.filter("ca != cb").drop("ca", "cb")
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Join the groups of the written pairs ``(a, b)`` that are links on their full sets."""
+        ids = self.work.table(
+            pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids"
+        )
+        wanted = may_broadcast(ids, 16, self.most)
+        sets = self.work.table(self.texts.join(wanted, "id").select(
+            "id", shingles(F.col("text"), self.shingle).alias("sh")
+        ), "sets")
+        right = sets.select(F.col("id").alias("b"), F.col("sh").alias("sb"))
+        left = sets.select(F.col("id").alias("a"), F.col("sh").alias("sa"))
+        joined = pairs.join(right, "b").join(left, "a").select(
+            "a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"),
+            (F.size("sa") + F.size("sb")).alias("both"),
+        )
+        links = self.work.table(joined.filter(
+            F.col("common") * 100 >= (F.col("both") - F.col("common")) * self.percent
+        ).select("a", "b"), "links")
+        self.merge(links)
+
+    def merge(self, links: DataFrame) -> None:
+        """Contract ``links`` to links between groups, and join those groups."""
+        both = _labelled(_labelled(links, self.labels, "a", "ca"), self.labels, "b", "cb")
+        between = self.work.table(both.filter("ca != cb").select(
+            F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")
+        ).distinct(), "group-links")
+        if between.isEmpty():
+            return
+        found = components(between, self.work)
+        if self.labels is None:
+            self.labels = found
+            return
+        moved = self.labels.join(
+            found.select(F.col("id").alias("component"), F.col("component").alias("_to")),
+            "component", "left",
+        ).select("id", F.coalesce("_to", "component").alias("component"))
+        fresh = found.join(self.labels.select("id"), "id", "left_anti")
+        self.labels = self.work.table(moved.unionByName(fresh), "groups")
+
+    def settle(self, pairs: DataFrame) -> None:
+        """Verify ``pairs(a, b, off)``: each document's most alike first, then all still apart."""
+        pairs = self.work.table(
+            pairs.groupBy("a", "b").agg(F.min("off").alias("off")), "pairs"
+        )
+        best = self.work.table(pairs.groupBy("b").agg(
+            F.min_by("a", F.struct("off", "a")).alias("a")
+        ), "best")
+        if best.isEmpty():
+            return
+        self.verify(best)
+        rest = self.work.table(self.apart(pairs), "apart")
+        if not rest.isEmpty():
+            self.verify(rest)
+
+
 def near_duplicates(
     docs: DataFrame, work: Workspace, doc_id: str = "doc_id", text: str = "text",
     shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, depth: int = DEPTH,
@@ -240,11 +344,8 @@ def near_duplicates(
         "id", F.size("sh").alias("n"), F.xxhash64("sh").alias("k1"),
         F.xxhash64(F.lit(1), "sh").alias("k2"), "sh",
     )
-    signed = hashed.filter("n > 0").mapInArrow(
-        _signatures, "id long, n int, k1 long, k2 long, sig binary"
-    )
     base = work.table(
-        signed.unionByName(hashed.filter("n = 0").drop("sh").withColumn("sig", F.lit(None).cast("binary"))),
+        hashed.mapInArrow(_signatures, "id long, n int, k1 long, k2 long, sig binary"),
         "signatures",
     )
     keys = ["n", "k1", "k2"]
@@ -254,62 +355,45 @@ def near_duplicates(
         "classes",
     )
     members = classes.select(F.col("rep").alias("id"), "n", "sig").filter("id is not null")
-    nodes = _sized(members.mapInArrow(_branch(trees, percent), ROWS), work)
-    many = nodes.filter(F.col("cnt") > small)
-    pairs = work.table(
-        _exhaustive(nodes.filter(F.col("cnt") <= small), percent)
-        .unionAll(_with_leaders(many, percent)).distinct(),
-        "pairs",
-    )
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    join = _Join(texts, shingle, percent, broadcast_bytes, work)
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id")))
-        wanted = may_broadcast(work.table(ids.distinct(), "ids"), 16, broadcast_bytes)
-        return work.table(
-            texts.join(wanted, "id").select("id", shingles(F.col("text"), shingle).alias("sh")),
-            "sets",
-        )
+    nodes = _sized(members.mapInArrow(_branch(trees, percent), ROWS), work)
+    rows = nodes.filter(F.col("cnt") > small)
+    join.settle(_exhaustive(join.grouped(nodes.filter(F.col("cnt") <= small)), percent))
+    for turn in range(LEADER_ROUNDS):
+        best = work.table(_with_leaders(join.grouped(rows), percent, turn), "led")
+        if best.isEmpty():
+            break
+        join.verify(best)
 
-    # First one partner per document, then only what these links leave apart.
-    sets = sets_of(pairs)
-    first = pairs.groupBy("b").agg(F.min_by("a", F.xxhash64("a")).alias("a"))
-    links = work.table(_verified(first, sets, percent), "links")
-    labels = components(links, work)
-    apart = _labelled(_labelled(pairs, labels, "a", "ca"), labels, "b", "cb").filter("ca != cb")
-    links = links.unionAll(work.table(_verified(apart.select("a", "b"), sets, percent), "links"))
-    labels = components(links, work)
-
-    later, rows = None, many
-    for level in range(2, depth + 1):
-        grouped = _labelled(rows, labels, "id", "component")
-        open_nodes = grouped.groupBy("node").agg(
-            F.min("component").alias("c1"), F.max("component").alias("c2")
-        ).filter("c1 < c2").select("node")
-        rest = work.table(grouped.join(open_nodes, "node"), "open-nodes")
-        if rest.isEmpty():
+    later = None
+    for level in range(2, depth + 2):
+        still = join.open(rows)
+        if still.isEmpty():
             break
-        tokens = rest.select("id", "node").join(members, "id")
-        nodes = _sized(tokens.mapInArrow(_branch(trees, percent), ROWS), work)
-        few = _labelled(nodes.filter(F.col("cnt") <= small), labels, "id", "component")
-        found = _exhaustive(few, percent, apart=True)
-        rows = nodes.filter(F.col("cnt") > small)
-        if level == depth:
-            left = _labelled(rows, labels, "id", "component")
-            found = found.unionAll(_in_blocks(left, percent))
-        found = work.table(found.distinct(), "later-pairs")
+        # Nodes with few outsiders, and all at the full depth, end here; others branch on.
+        few = F.col("outside") <= STRAGGLERS
+        found = _stragglers(still.filter(few), percent)
+        if level > depth:
+            found = found.unionAll(_in_blocks(still.filter(~few), percent))
+        else:
+            tokens = still.filter(~few).select("id", "node").join(members, "id")
+            nodes = _sized(tokens.mapInArrow(_branch(trees, percent), ROWS), work)
+            rows = nodes.filter(F.col("cnt") > small)
+            ended = join.grouped(nodes.filter(F.col("cnt") <= small))
+            found = found.unionAll(_exhaustive(ended, percent))
         later = found if later is None else later.unionAll(found)
-    if later is not None and not later.isEmpty():
-        later = work.table(later.distinct(), "later-pairs")
-        more = work.table(_verified(later, sets_of(later), percent), "links")
-        if not more.isEmpty():
-            labels = components(links.unionAll(more), work)
+        if level > depth:
+            break
+    if later is not None:
+        join.settle(later)
 
     copies = classes.filter("copies > 1").select(*keys, "rep")
     placed = base.drop("sig").join(copies, keys, "left").withColumn(
         "rep", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id"))
     )
-    return _labelled(placed, labels, "rep", "component").select(
+    return _labelled(placed, join.labels, "rep", "component").select(
         F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"),
         F.col("component").alias("component_id"),
         same(F.col("id"), F.col("component")).alias("kept"),
