@@ -190,10 +190,18 @@ def _exhaustive(rows: DataFrame, percent: int) -> DataFrame:
 def _with_leaders(rows: DataFrame, percent: int, turn: int) -> DataFrame:
     """``(b, a)``: for each row of a large node, the most alike of the leaders it meets.
 
-    A hash draws about ``LEADERS`` leaders per node, others in each ``turn``.
+    In the first ``turn`` a node's leader is the document with the most company over all its
+    nodes: of a group of edited copies that is the text they were made from, as it alone has
+    no token of its own.  Later a hash draws about ``LEADERS`` leaders per node.
     """
-    draw = F.pmod(F.xxhash64(F.lit(turn), "node", "id"), F.lit(1 << 30))
-    leaders = rows.filter(draw * F.col("cnt") < F.lit(LEADERS << 30))
+    if turn == 0:
+        company = rows.groupBy("id").agg(F.sum("cnt").alias("company"))
+        leaders = rows.join(company, "id").groupBy("node").agg(F.max(
+            F.struct("company", F.xxhash64("id").alias("h"), "id", "n", "component", *SKETCH)
+        ).alias("lead")).select("node", "lead.*")
+    else:
+        draw = F.pmod(F.xxhash64(F.lit(turn), "node", "id"), F.lit(1 << 30))
+        leaders = rows.filter(draw * F.col("cnt") < F.lit(LEADERS << 30))
     met = rows.alias("x").join(leaders.alias("y"), "node").filter(
         (F.col("x.component") != F.col("y.component")) & _alike("x", "y", percent)
     )
@@ -314,7 +322,8 @@ class _Join:
         pairs = self.work.table(
             pairs.groupBy("a", "b").agg(F.min("off").alias("off")), "pairs"
         )
-        best = self.work.table(pairs.groupBy("b").agg(
+        either = pairs.select("a", "b", "off").unionAll(pairs.select("b", "a", "off"))
+        best = self.work.table(either.groupBy("b").agg(
             F.min_by("a", F.struct("off", "a")).alias("a")
         ), "best")
         if best.isEmpty():
