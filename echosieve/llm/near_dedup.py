@@ -12,7 +12,7 @@ nodes are compared, in blocks.
 
 * Equal sets are one class from the start, represented by its least id.
 * Comparing means: sizes, then 64 four-bit sketches (a true link is lost here with a chance of
-  about 1e-5), then the exact sets.
+  about 1e-5, at any similarity), then the exact sets.
 * Links are only needed to join groups: pairs within a known group are never compared, and of a
   document's candidates the most alike is tried first.  A large group of near copies is joined
   in a few linear rounds, not by its pairs.
@@ -24,6 +24,7 @@ nodes are compared, in blocks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ SHINGLE, PERCENT = 3, 85
 TREES, MINHASHES, SMALL, DEPTH = 16, 64, 16, 4
 LEADERS, LEADER_ROUNDS = 2, 3
 STRAGGLERS = 32
-LEAST_AGREEING = 42  # of MINHASHES sketches; at 85 % the mean is 55, the deviation 2.8
+SKETCH_LOSS = 1.5e-5  # chance that the sketches of a pair at the threshold rule it out
 BLOCK_ROWS = 256
 BROADCAST_BYTES = 16 << 20
 SPACES = r"[\x20\x09-\x0D]+"
@@ -163,11 +164,24 @@ def _differing(left: str, right: str) -> Column:
     return differing
 
 
+def least_agreeing(percent: int) -> int:
+    """How many of ``MINHASHES`` sketches must agree: a pair at ``percent`` similarity has fewer
+    with a chance of at most ``SKETCH_LOSS``.  Unlike minima share their four bits 1 in 16 times.
+    """
+    agree = percent / 100 + (1 - percent / 100) / 16
+    below = 0.0
+    for k in range(MINHASHES):
+        below += comb(MINHASHES, k) * agree**k * (1 - agree) ** (MINHASHES - k)
+        if below > SKETCH_LOSS:
+            return k
+    return MINHASHES
+
+
 def _alike(left: str, right: str, percent: int) -> Column:
     """Sizes and sketches allow a link."""
     a, b = F.col(f"{left}.n"), F.col(f"{right}.n")
     sizes = F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    return sizes & (_differing(left, right) <= MINHASHES - LEAST_AGREEING)
+    return sizes & (_differing(left, right) <= MINHASHES - least_agreeing(percent))
 
 
 def _pairs(joined: DataFrame) -> DataFrame:

@@ -444,6 +444,25 @@ def test_near_duplicates_in_large_groups(spark, work, options):
     assert rows_got == near_groups(rows)
 
 
+@pytest.mark.parametrize("percent", [50, 80])
+def test_near_duplicates_at_other_similarities(spark, work, percent):
+    rows = []
+    for i in range(150):  # pairs just above the threshold: of 100 words a run is replaced
+        own = [f"p{i}x{k}" for k in range(100)]
+        run = 32 if percent == 50 else 8
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(own[:60] + ["new"] * run + own[60 + run:]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_duplicates(df, work, percent=percent)
+    rows_got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()), key=repr)
+    want = near_groups(rows, percent)
+    assert sum(a != c for a, _, c in want) == 150
+    assert rows_got == want
+
+
+def test_least_agreeing_follows_the_similarity():
+    assert [near_dedup.least_agreeing(p) for p in (50, 80, 85, 100)] == [18, 38, 42, 64]
+
+
 def test_quality(spark, docs, none, work):
     labels = spark.createDataFrame(
         [(1, 1, 0), (2, 1, 0), (2, None, 1), (None, 0, 0), (8, 0, None)], "doc_id long, quality int, toxic int")
