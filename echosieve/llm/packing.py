@@ -12,6 +12,8 @@ counts of earlier tasks) and their number decides the place, so no task sees a w
 from __future__ import annotations
 
 import base64
+import json
+import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -37,16 +39,36 @@ _ENCODERS: dict = {}
 
 
 def _encoder(ranks_path: str):
-    """The byte-level BPE of ``ranks_path``, loaded once per worker."""
+    """``text -> ids`` by the byte-level BPE of ``ranks_path``, loaded once per worker.
+
+    The ids are those of ``tokenizers`` with the JSON file of the same name, whose added tokens
+    are taken out of the text as one id each.  Texts that ``tiktoken`` fails on (a run of about a
+    million blanks) go to ``tokenizers`` itself.
+    """
     if ranks_path not in _ENCODERS:
         import public_tokenizers
         import tiktoken
 
+        json_path = os.path.splitext(ranks_path)[0] + ".json"
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _ENCODERS[ranks_path] = tiktoken.Encoding(
-            "packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        with open(json_path, encoding="utf-8") as file:
+            added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+        fast = tiktoken.Encoding(
+            "packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+            special_tokens=added,
         )
+
+        def encode(text: str) -> list[int]:
+            try:
+                return fast.encode(text, allowed_special="all")
+            except ValueError:
+                from tokenizers import Tokenizer
+
+                slow = Tokenizer.from_file(json_path)
+                return slow.encode(text, add_special_tokens=False).ids
+
+        _ENCODERS[ranks_path] = encode
     return _ENCODERS[ranks_path]
 
 
@@ -62,7 +84,7 @@ def _tokenise(ranks_path: str, capacity: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode = _encoder(ranks_path).encode_ordinary
+        encode = _encoder(ranks_path)
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]

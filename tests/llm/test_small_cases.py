@@ -522,3 +522,21 @@ def test_line_stage_takes_effect(spark, tmp_path):
     df = spark.createDataFrame(pages, "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.line_stage(spark, df, str(tmp_path)).collect()
     assert all(r["text"] == f"own {r['doc_id']}" and r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_packing_ids_are_those_of_the_named_tokenizer():
+    from tokenizers import Tokenizer
+
+    encode = packing._encoder(tokenizer_path(PACKING_RANKS))
+    coder = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "x  <|endoftext|><|endoftext|>  y\n\n", "<|<|endoftext|>|>", "<|endoftext", " " * 10**6 + "b"]
+    for text in texts:
+        assert encode(text) == coder.encode(text, add_special_tokens=False).ids
+    assert encode(texts[0]) == [64, 220, 50256, 275]
+
+
+def test_packing_keeps_added_tokens_whole(spark, work):
+    df = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
+    row = packing.pack(df, work, tokenizer_path(PACKING_RANKS)).first()
+    data = b"".join(i.to_bytes(4, "little") for i in (64, 220, 50256, 275, 0))
+    assert (row["length"], row["ids_crc32"]) == (5, zlib.crc32(data))
