@@ -4,8 +4,10 @@ Documents are tokenised once, where they lie; only ``(length, count)`` of the pi
 ``CAPACITY`` rows, reach the driver, which plans with configurations: multisets of lengths that
 fit one sequence.  Multiplicative weights find a fractional cover of the histogram, a knapsack
 dynamic program pricing the next configurations; the cover is rounded down and what it leaves is
-packed best-fit, longest first.  The plan's size depends on the rounds and the capacity, not on
-the corpus.  Pieces of one length are numbered in parallel (a number within each task plus the
+covered again, until at most ``LEFT`` pieces a unit of capacity are left or covers place too few.
+The rest is packed best-fit, longest first, in equal shares where it is larger than that.  So the
+plan's work and size depend on the rounds, the capacity and the logarithm of the number of pieces.
+Pieces of one length are numbered in parallel (a number within each task plus the
 counts of earlier tasks) and their number decides the place, so no task sees a whole length.
 """
 
@@ -28,6 +30,7 @@ END_ID = 0
 ROUNDS = 40
 NEAR_BEST = 0.02  # configurations this close to the best price are taken in the same round
 STEP = 0.25  # share of a length that one round may cover
+LEFT = 16  # pieces a unit of capacity that are packed best-fit one by one
 PIECES = (
     "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 )
@@ -189,18 +192,37 @@ def best_fit(counts: Counter, capacity: int) -> Counter:
     return Counter(tuple(sorted(c)) for own in open_by_room.values() for c in own)
 
 
+def in_shares(counts: Counter, capacity: int) -> Counter:
+    """``best_fit`` in steps of at most ``LEFT * capacity`` pieces, whatever their number.
+
+    A step packs one of equal shares of the pieces and takes its sequences as often as there are
+    shares; what the division leaves, fewer pieces of a length than shares, is for the next step.
+    """
+    out, rest = Counter(), +counts
+    while rest:
+        shares = max(1, -(-rest.total() // (LEFT * capacity)))
+        one = Counter({size: n // shares for size, n in rest.items() if n >= shares})
+        for config, times in best_fit(one, capacity).items():
+            out[config] += times * shares
+        rest = +Counter({size: n % shares for size, n in rest.items()})
+    return out
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Counter:
     """``{configuration: sequences}`` that hold exactly the pieces of ``counts``."""
     full = counts.get(capacity, 0)
     rest = Counter({s: n for s, n in counts.items() if n and s != capacity})
     out = Counter({(capacity,): full}) if full else Counter()
-    if rest:
+    before = None
+    while rest and (before is None or LEFT * capacity < rest.total() <= before / 2):
+        before = rest.total()
         for config, weight in fractional_cover(rest, capacity, rounds).items():
             whole = int(weight + 1e-9)
             if whole:
                 out[config] += whole
                 rest.subtract({s: k * whole for s, k in Counter(config).items()})
-        out += best_fit(+rest, capacity)
+        rest = +rest
+    out += in_shares(rest, capacity)
     return out
 
 

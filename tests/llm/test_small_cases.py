@@ -540,3 +540,31 @@ def test_packing_keeps_added_tokens_whole(spark, work):
     row = packing.pack(df, work, tokenizer_path(PACKING_RANKS)).first()
     data = b"".join(i.to_bytes(4, "little") for i in (64, 220, 50256, 275, 0))
     assert (row["length"], row["ids_crc32"]) == (5, zlib.crc32(data))
+
+
+@pytest.mark.parametrize("times", [10**3, 10**9])
+def test_best_fit_sees_a_bounded_number_of_pieces(monkeypatch, times):
+    import random
+
+    rng = random.Random(5)
+    counts = collections.Counter(min(100, max(1, int(rng.paretovariate(1.1) * 8))) for _ in range(5000))
+    counts = collections.Counter({s: n * times + s for s, n in counts.items()})
+    seen, plain = [], packing.best_fit
+
+    def watched(pieces, capacity):
+        seen.append(pieces.total())
+        assert seen[-1] <= packing.LEFT * capacity
+        return plain(pieces, capacity)
+
+    monkeypatch.setattr(packing, "best_fit", watched)
+    shared = packing.in_shares(counts, 100)
+    made = packing.plan(dict(counts), 100, 20)
+    for plan in (shared, made):
+        used = collections.Counter()
+        for config, n in plan.items():
+            assert sum(config) <= 100 and n > 0
+            for size in config:
+                used[size] += n
+        assert used == counts
+    least = -(-sum(s * n for s, n in counts.items()) // 100)
+    assert sum(made.values()) <= 1.02 * least
