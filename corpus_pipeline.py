@@ -15,6 +15,8 @@ from echosieve.llm.queries import PACKING_RANKS, tokenizer_path
 from echosieve.workspace import Workspace
 
 DROPPED_BYTES = 16 << 20
+#: Near copies of the corpus: Jaccard similarity of word shingles.  op10's own values differ.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 
 def _without(docs: DataFrame, dropped: DataFrame, work: Workspace) -> DataFrame:
@@ -35,7 +37,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     work = Workspace(spark)
-    return _without(docs, near_dedup.near_duplicates(docs, work).filter("not kept"), work)
+    found = near_dedup.near_duplicates(docs, work, shingle=NEAR_SHINGLE, percent=NEAR_PERCENT)
+    return _without(docs, found.filter("not kept"), work)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

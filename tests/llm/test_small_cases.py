@@ -568,3 +568,18 @@ def test_best_fit_sees_a_bounded_number_of_pieces(monkeypatch, times):
         assert used == counts
     least = -(-sum(s * n for s, n in counts.items()) // 100)
     assert sum(made.values()) <= 1.02 * least
+
+
+def test_near_stage_finds_copies_changed_in_one_run(spark, tmp_path):
+    rows = []
+    for i in range(4):
+        own = [f"s{i}x{k}" for k in range(100)]
+        rows.append((10 * i, " ".join(own)))
+        rows.append((10 * i + 1, " ".join(own + [f"tail{k}" for k in range(20)])))  # 96 / 116
+        rows.append((10 * i + 2, " ".join(own[:50] + [f"new{k}" for k in range(40)] + own[50:])))
+        own = [f"r{i}x{k}" for k in range(100)]
+        rows.append((10 * i + 5, " ".join(own)))
+        rows.append((10 * i + 6, " ".join(own[:40] + [f"run{k}" for k in range(6)] + own[46:])))  # 86 / 106
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r["doc_id"] for r in corpus_pipeline.near_stage(spark, df, str(tmp_path)).collect()}
+    assert left == {10 * i + k for i in range(4) for k in (0, 2, 5)}
