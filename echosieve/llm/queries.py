@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from echosieve.llm import (
-    chat, decontaminate, html_extract, line_dedup, near_dedup, order_minhash, packing, quality,
-    url_filter, warc,
+    alignment, chat, decontaminate, html_extract, licenses, line_dedup, near_dedup, order_minhash,
+    packing, quality, repair, url_filter, warc,
 )
 from echosieve.workspace import Workspace
 
@@ -26,6 +26,9 @@ CHAT_SCHEMAS = {"reply": {"prompt": ("string", True), "words": ("integer", True)
 #: The vocabulary of byte_bpe_50k.json as ranks, for the faster of the two libraries.
 PACKING_RANKS = "byte_bpe_50k.tiktoken"
 
+#: The two vocabularies that are aligned.
+ALIGNED_A, ALIGNED_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -92,10 +95,29 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), Workspace(spark))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(
+        _table(spark, sf_dir, "documents"), licenses.templates(spark), Workspace(spark)
+    )
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired_conversations(
+        _table(spark, sf_dir, "conversations"), Workspace(spark)
+    )
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(
+        _table(spark, sf_dir, "documents"), Workspace(spark), tokenizer_path(ALIGNED_A),
+        tokenizer_path(ALIGNED_B),
+    )
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_line_dedup, op2_order_minhash, op3_decontaminate, op4_warc, op5_quality_classifier,
         op6_html_extraction, op7_tool_calls, op8_best_fit_packing, op9_url_filter,
-        op10_near_dedup,
+        op10_near_dedup, op11_license_scan, op12_conversation_repair, op13_token_alignment,
     ]
     return {f.__name__: f for f in named}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from echosieve.llm.licenses import LEAST_SHARE, NOTICES, PHRASES, SHORT
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 LINE_DEDUP = r"""
@@ -118,6 +120,62 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from fit
 qualify row_number() over (partition by page_id order by length(rule) desc nulls last) = 1
 """
 
+_TEMPLATES = ",\n         ".join(
+    f"({n}, '{text}', '{label}', {base}, "
+    f"cast({1 if len(text.split()) <= SHORT else LEAST_SHARE} as double))"
+    for n, (text, label, base) in enumerate(
+        [(*t, "true") for t in PHRASES] + [(*t, "false") for t in NOTICES]
+    )
+)
+
+LICENSES = rf"""
+with listed(template, notice, label, base, least_share) as (
+  values {_TEMPLATES}
+), t as (
+  select *, string_split(notice, ' ') as w, least(len(string_split(notice, ' ')), 4) as size from listed
+), g as (select *, unnest(range(0, len(w) - size + 1)) as at from t
+), grams as (select *, list_slice(w, at + 1, at + size) as gram from g
+), d as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') as words
+  from documents
+), sizes as (select distinct size from t
+), spots as (
+  select doc_id, words, size, unnest(range(0, len(words) - size + 1)) as pos
+  from d, sizes where len(words) >= size
+), hits as (
+  select doc_id, template, pos - at as diagonal, at, g.size as size, len(g.w) as n, label, base, least_share
+  from spots s join grams g on s.size = g.size and list_slice(words, pos + 1, pos + s.size) = gram
+), diagonals as (
+  select doc_id, template, label, base, least_share, n, size, diagonal, list(distinct at) as places
+  from hits group by all
+), whole as (
+  select doc_id, count(*) as n_base, min(diagonal) as first_word, max(diagonal) as last_word,
+         list(distinct label) as own
+  from diagonals where base and len(places) = n - size + 1 group by doc_id
+), parted as (
+  select *, case when diagonal - lag(diagonal) over w > 6 then 1 else 0 end as parts
+  from diagonals window w as (partition by doc_id, template order by diagonal)
+), runs as (
+  select *, sum(parts) over (partition by doc_id, template order by diagonal) as run from parted
+), cells as (select *, unnest(places) as at from runs
+), covered as (select *, unnest(range(at, at + size)) as place from cells
+), shares as (
+  select doc_id, template, label, base, least_share, run, count(distinct place) / n as share
+  from covered group by doc_id, template, label, base, least_share, run, n
+), scored as (
+  select doc_id, max(share) as score,
+    coalesce(list(distinct label) filter (not base and share >= least_share), []) as more
+  from shares group by doc_id
+)
+select d.doc_id, cast(len(words) as bigint) as n_words, coalesce(n_base, 0) as n_base,
+  first_word, last_word,
+  coalesce(array_to_string(list_sort(own), ','), '') as base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(more, [])))), ','), '') as labels,
+  cast(coalesce(score, 0) as double) as score
+from d left join whole on d.doc_id = whole.doc_id left join scored on d.doc_id = scored.doc_id
+"""
+
 
 def llm_sql() -> dict[str, str]:
     return {
@@ -125,4 +183,5 @@ def llm_sql() -> dict[str, str]:
         "op3_decontaminate": DECONTAMINATE,
         "op7_tool_calls": TOOL_CALLS,
         "op9_url_filter": URL_FILTER,
+        "op11_license_scan": LICENSES,
     }
