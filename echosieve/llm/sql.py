@@ -133,8 +133,8 @@ with listed(template, notice, label, base, least_share) as (
   values {_TEMPLATES}
 ), t as (
   select *, string_split(notice, ' ') as w, least(len(string_split(notice, ' ')), 4) as size from listed
-), g as (select *, unnest(range(0, len(w) - size + 1)) as at from t
-), grams as (select *, list_slice(w, at + 1, at + size) as gram from g
+), g as (select *, unnest(range(0, len(w) - size + 1)) as spot from t
+), grams as (select *, list_slice(w, spot + 1, spot + size) as gram from g
 ), d as (
   select doc_id, regexp_extract_all(
     translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') as words
@@ -144,10 +144,10 @@ with listed(template, notice, label, base, least_share) as (
   select doc_id, words, size, unnest(range(0, len(words) - size + 1)) as pos
   from d, sizes where len(words) >= size
 ), hits as (
-  select doc_id, template, pos - at as diagonal, at, g.size as size, len(g.w) as n, label, base, least_share
+  select doc_id, template, pos - spot as diagonal, spot, g.size as size, len(g.w) as n, label, base, least_share
   from spots s join grams g on s.size = g.size and list_slice(words, pos + 1, pos + s.size) = gram
 ), diagonals as (
-  select doc_id, template, label, base, least_share, n, size, diagonal, list(distinct at) as places
+  select doc_id, template, label, base, least_share, n, size, diagonal, list(distinct spot) as places
   from hits group by all
 ), whole as (
   select doc_id, count(*) as n_base, min(diagonal) as first_word, max(diagonal) as last_word,
@@ -158,8 +158,8 @@ with listed(template, notice, label, base, least_share) as (
   from diagonals window w as (partition by doc_id, template order by diagonal)
 ), runs as (
   select *, sum(parts) over (partition by doc_id, template order by diagonal) as run from parted
-), cells as (select *, unnest(places) as at from runs
-), covered as (select *, unnest(range(at, at + size)) as place from cells
+), cells as (select *, unnest(places) as spot from runs
+), covered as (select *, unnest(range(spot, spot + size)) as place from cells
 ), shares as (
   select doc_id, template, label, base, least_share, run, count(distinct place) / n as share
   from covered group by doc_id, template, label, base, least_share, run, n
