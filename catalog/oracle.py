@@ -506,4 +506,12 @@ def all_sql() -> dict[str, str]:
         "stream_hybrid": bloom_kept("hp", SMALL_BLOOM, head=hybrid + ","),
         "stream_chunk_running": stream_running(ex),
         "stream_minhash_pairs": f"with {mh} select doc_id, owner_id from dr",
+        "stream_unnumbered_kept": "select min(doc_id) doc_id from documents group by md5(text)",
+        "stream_row_chunks": exact_running(ex),
+        "stream_final_summary": summary(ex, EXACT_RATIO),
+        "stream_top_groups": top_groups(ex),
+        "stream_duplicate_count": duplicate_count(ex),
+        "stream_pair_sample": pair_sample(ex, "1.0"),
+        "stream_custom_method": """select doc_id from documents where doc_id in
+            (select min(doc_id) from documents group by lang, source, n_chars)""",
     }

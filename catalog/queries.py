@@ -18,7 +18,8 @@ from echosieve.operators.survivors import enough_tasks, keep, removed
 from echosieve.params import BloomShape
 from echosieve.plans import batch
 from echosieve.sources import readers, sinks
-from echosieve.streaming import runner
+from echosieve.streaming import reports, runner
+from echosieve.streaming.steps import register_step
 
 CHUNK = 100
 SMALL = {"bloom_capacity": 300, "bloom_error_rate": 0.05}
@@ -132,14 +133,17 @@ def _summary(name: str, **changes) -> Query:
     return query
 
 
+def _sampled(pairs: DataFrame) -> DataFrame:
+    return pairs.select(
+        "chunk", F.col("pos").alias("doc_id"), F.col("owner_pos").alias("owner_id"),
+        F.col("owner_text").alias("original"), F.col("text").alias("duplicate"), "parameter",
+    )
+
+
 def _pair_sample(name: str) -> Query:
     def query(spark, sf):
         run = _Run(spark, sf, method=name)
-        pairs = groups.pair_sample(run.docs, run.dropped(), run.params, run.work)
-        return pairs.select(
-            "chunk", F.col("pos").alias("doc_id"), F.col("owner_pos").alias("owner_id"),
-            F.col("owner_text").alias("original"), F.col("text").alias("duplicate"), "parameter",
-        )
+        return _sampled(groups.pair_sample(run.docs, run.dropped(), run.params, run.work))
     return query
 
 
@@ -480,11 +484,13 @@ STREAM_FILES = 4
 
 
 def _streamed(
-    spark: SparkSession, sf_dir: str, limits: tuple[float | None, ...] = (None,), **changes
+    spark: SparkSession, sf_dir: str, limits: tuple[float | None, ...] = (None,),
+    row_chunks: bool = False, numbered: bool = True, **changes
 ) -> runner.StreamFolders:
     """Documents land as files in position order and are worked off one by one.
 
     ``limits``: one start of the stream for each, with that many files' worth of chunks.
+    Without ``numbered`` the files hold no ids.
     """
     params = _params(spark, **changes)
     work = Workspace(spark)
@@ -492,14 +498,18 @@ def _streamed(
     inbox = work.path("inbox")
     last = docs.agg(F.max("doc_id")).first()[0]
     step = last // STREAM_FILES + 1
+    gone = [] if numbered else ["doc_id"]
     for at in range(STREAM_FILES):
         part = docs.filter(F.col("doc_id").between(at * step, (at + 1) * step - 1))
-        part.coalesce(1).write.mode("append").parquet(inbox)
-    folders = runner.StreamFolders(work.path("stream"))
+        part.coalesce(1).sortWithinPartitions("doc_id").drop(*gone).write.mode("append").parquet(
+            inbox
+        )
+    folders = runner.StreamFolders(work.path("stream"), row_chunks=row_chunks)
+    schema = docs.drop(*gone).schema
     for limit in limits:
         own = params if limit is None else params.but(max_chunks=int(limit * step) // CHUNK)
-        stream = readers.stream_corpus(spark, inbox, own, docs.schema)
-        runner.finish(runner.start(stream, own, folders))
+        stream = readers.stream_corpus(spark, inbox, own, schema, numbered=numbered)
+        runner.finish(runner.start(stream, own, folders), own, folders)
     return folders
 
 
@@ -514,6 +524,61 @@ def stream_chunk_running(spark, sf):
     return _rounded(metrics.exact_metrics(counts), "duplicate_ratio")
 
 
+def stream_unnumbered_kept(spark, sf):
+    """Files without ids, numbered in order of arrival."""
+    return _stream_kept(numbered=False)(spark, sf)
+
+
+def stream_row_chunks(spark, sf):
+    """Metrics of chunks of rows, whatever the files: those of a run at rest."""
+    counts = runner.batch_counts(spark, _streamed(spark, sf, row_chunks=True))
+    return _rounded(metrics.exact_metrics(counts), "duplicate_ratio")
+
+
+def stream_final_summary(spark, sf):
+    folders = _streamed(spark, sf, row_chunks=True)
+    return _rounded(
+        reports.final_summary(spark, _params(spark), folders),
+        "total_compression_ratio", "avg_duplicate_ratio",
+    )
+
+
+def stream_top_groups(spark, sf):
+    return reports.top_groups(spark, _params(spark), _streamed(spark, sf)).withColumnRenamed(
+        "owner_pos", "owner_id"
+    )
+
+
+def stream_duplicate_count(spark, sf):
+    """Rows kept in early batches show the copies that came with later ones."""
+    return reports.with_duplicate_count(
+        spark, _params(spark), _streamed(spark, sf), Workspace(spark)
+    ).select("doc_id", "duplicate_count")
+
+
+def stream_pair_sample(spark, sf):
+    return _sampled(
+        reports.pair_sample(spark, _params(spark), _streamed(spark, sf), Workspace(spark))
+    )
+
+
+def stream_custom_method(spark, sf):
+    """The rule of ``registry_custom_method`` as a step with a state of its own."""
+    shape = ["lang", "source", "n_chars"]
+
+    def same_shape(batch, state, params, work):
+        firsts = work.table(
+            batch.groupBy(*shape).agg(F.min("doc_id").alias("pos")).join(
+                state.select(*shape), shape, "left_anti"
+            ), "firsts",
+        )
+        gone = batch.select(F.col("doc_id").alias("pos")).join(firsts, "pos", "left_anti")
+        return gone.withColumn("owner_pos", F.lit(None).cast("bigint")), firsts
+
+    register_step("same_shape", same_shape, "lang string, source string, n_chars bigint, pos bigint")
+    return _stream_kept(method="same_shape")(spark, sf)
+
+
 def stream_max_chunks_limit(spark, sf):
     """A stream that ends within its third file, after the same chunks as a run at rest."""
     return runner.kept_rows(spark, _streamed(spark, sf, limits=(2.4,))).select("doc_id")
@@ -610,4 +675,11 @@ def all_queries() -> dict[str, Query]:
         "stream_max_chunks_limit": stream_max_chunks_limit,
         "stream_max_chunks_resumed": stream_max_chunks_resumed,
         "stream_minhash_pairs": stream_minhash_pairs,
+        "stream_unnumbered_kept": stream_unnumbered_kept,
+        "stream_row_chunks": stream_row_chunks,
+        "stream_final_summary": stream_final_summary,
+        "stream_top_groups": stream_top_groups,
+        "stream_duplicate_count": stream_duplicate_count,
+        "stream_pair_sample": stream_pair_sample,
+        "stream_custom_method": stream_custom_method,
     }

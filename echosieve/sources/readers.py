@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.numbers import block_of
 from ..params import Params
+from ..streaming.arrivals import with_arrival
 from ..workspace import Workspace
 
 
@@ -38,17 +39,20 @@ def read_corpus(
 
 def stream_corpus(
     spark: SparkSession, path: str, params: Params, schema: StructType | str,
-    format: str = "parquet", files_per_batch: int = 1, **options,
+    format: str = "parquet", files_per_batch: int = 1, numbered: bool = True, **options,
 ) -> DataFrame:
     """The same as a stream of files, oldest first.
 
-    ``max_chunks`` is applied by the runner, which stops before a file beyond it.
+    ``max_chunks`` is applied by the runner, which stops before a file beyond it.  Rows that
+    have no ``order_column`` (``numbered=False``) carry their origin, by which the runner numbers
+    them in order of arrival; the numbers count the rows of the configured part.
     """
     reader = (
         spark.readStream.format(format).options(**options).schema(schema)
         .option("maxFilesPerTrigger", files_per_batch)
     )
-    return select_part(reader.load(path), params)
+    rows = reader.load(path)
+    return select_part(rows if numbered else with_arrival(rows), params)
 
 
 def limit_chunks(df: DataFrame, params: Params) -> DataFrame:

@@ -104,3 +104,12 @@ STEPS: dict[str, tuple[Step, str]] = {
     "minhash_bloom_hybrid": (hybrid_step, "bit bigint, first_pos bigint"),
     "minhash": (minhash_step, "bucket binary, pos bigint"),
 }
+
+
+def register_step(name: str, step: Step, state_schema: str) -> None:
+    """Make a method of one's own run in streams: its step and the columns of its state.
+
+    The step sees the state rows that earlier micro-batches added, and returns the rows to drop
+    and those to add.  It must not depend on anything else, so that a batch can be repeated.
+    """
+    STEPS[name] = (step, state_schema)

@@ -41,6 +41,18 @@ def delete(spark: SparkSession, folder: str) -> None:
     store.delete(path, True)
 
 
+def mark(spark: SparkSession, folder: str, name: str) -> None:
+    """Create the empty file ``name`` in ``folder``."""
+    path, store = _at(spark, f"{folder}/{name}")
+    store.create(path, True).close()
+
+
+def marks(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files in ``folder``; none if there is no such folder."""
+    path, store = _at(spark, folder)
+    return [f.getPath().getName() for f in store.listStatus(path)] if store.exists(path) else []
+
+
 class Workspace:
     """Numbered Parquet tables below one folder of the shared storage.
 

@@ -6,7 +6,10 @@ import models
 from echosieve import Params, Workspace, deduplicate
 from echosieve.operators import metrics
 from echosieve.sources.readers import stream_corpus
-from echosieve.streaming import runner
+from echosieve.streaming import reports, runner
+from echosieve.streaming.steps import register_step
+from echosieve.workspace import exists
+from pyspark.sql import functions as F
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
 BLOOM = {"bloom_capacity": 60, "bloom_error_rate": 0.05}
@@ -129,3 +132,173 @@ def test_chunk_limit_and_unknown_method(spark, work):
     assert kept(spark, folders) == want(docs.filter("doc_id < 150"))
     with pytest.raises(ValueError, match="available"):
         runner.start(stream_corpus(spark, inbox, Params(), docs.schema), Params(method="x"), folders)
+
+
+# --- rows without positions, chunks of rows, reports ------------------------------------
+
+
+def land_unnumbered(docs, inbox, lo, hi, format="parquet"):
+    part = docs.filter(docs.doc_id.between(lo, hi - 1)).coalesce(1)
+    part.sortWithinPartitions("doc_id").select("text", "lang").write.mode("append").format(
+        format
+    ).save(inbox)
+
+
+@pytest.mark.parametrize("format", ["parquet", "json"])
+def test_rows_are_numbered_in_order_of_arrival(spark, work, format):
+    docs = spark.read.parquet(DOCS)
+    inbox, folders = work.path("inbox"), runner.StreamFolders(work.path("stream"))
+    params = Params(order_column="pos")
+    schema = "text string, lang string"
+
+    def go():
+        stream = stream_corpus(
+            spark, inbox, params, schema, format, files_per_batch=2, numbered=False
+        )
+        assert runner.finish(runner.start(stream, params, folders)) is False
+
+    for lo, hi in ((0, 70), (70, 90), (90, 150)):
+        land_unnumbered(docs, inbox, lo, hi, format)
+    go()
+    land_unnumbered(docs, inbox, 150, 200, format)
+    go()
+    got = runner.kept_rows(spark, folders).select("pos", "text").collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = models.first_seen([(i, hashlib.md5(t.encode()).hexdigest()) for i, t in texts.items()])
+    assert sorted((r.pos, r.text) for r in got) == [(i, texts[i]) for i in want]
+    ledger = folders.ledger().read(spark).orderBy("first").collect()
+    assert [r.first for r in ledger] == [sum(r.rows for r in ledger[:n]) for n in range(len(ledger))]
+    with pytest.raises(ValueError, match="numbered=False"):
+        runner.start(stream_corpus(spark, inbox, params, schema, format), params, folders)
+
+
+def test_repeated_unnumbered_batch_gets_the_same_positions(spark, work):
+    docs = spark.read.parquet(DOCS)
+    inbox, folders = work.path("inbox"), runner.StreamFolders(work.path("stream"))
+    params = Params(order_column="pos")
+    for lo in (0, 40, 80):
+        land_unnumbered(docs, inbox, lo, lo + 40)
+
+    def arrived():
+        from echosieve.streaming.arrivals import with_arrival
+
+        return with_arrival(spark.read.schema("text string, lang string").parquet(inbox))
+
+    first, seen = arrived(), {}
+    for batch_id in (0, 1, 0, 1):  # the second batch holds the same files, as copies
+        runner.process_batch(first, batch_id, params, folders)
+        ledger = [tuple(r) for r in folders.ledger().of(spark, batch_id).orderBy("first").collect()]
+        assert seen.setdefault(batch_id, ledger) == ledger
+    assert seen[1][0][3] == 120
+    want = models.first_seen([(r.doc_id, r.text) for r in docs.filter("doc_id < 120").collect()])
+    assert sorted(kept_column(spark, folders, "pos")) == want
+
+
+def kept_column(spark, folders, name):
+    return [r[name] for r in runner.kept_rows(spark, folders).collect()]
+
+
+@pytest.mark.parametrize("sizes", [(70, 120, 200), (10, 11, 12, 200), (200,)])
+def test_chunks_of_rows_equal_a_run_at_rest(spark, work, sizes):
+    docs = spark.read.parquet(DOCS)
+    params = Params(chunk_size=30, top_n_duplicates=5)
+    inbox = work.path("inbox")
+    folders = runner.StreamFolders(work.path("stream"), row_chunks=True)
+    lo = 0
+    for n, hi in enumerate(sizes):
+        land(docs, inbox, lo, hi)
+        lo = hi
+        if n in (0, len(sizes) - 1):  # two starts; the first flush leaves a chunk to fill up
+            stream = stream_corpus(spark, inbox, params, docs.schema)
+            assert runner.finish(runner.start(stream, params, folders), params, folders) is False
+            assert kept(spark, folders) == sorted(
+                r.doc_id for r in deduplicate(docs.filter(docs.doc_id < hi), params).collect()
+            )
+    dropped = method_dropped(docs, params, work)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = metrics.chunk_counts(docs, dropped, params)
+    assert rows(runner.batch_counts(spark, folders).select(want.columns)) == rows(want)
+    from echosieve.operators import groups
+
+    assert rows(reports.top_groups(spark, params, folders)) == rows(
+        groups.top_groups(docs, dropped, params)
+    )
+    want = groups.pair_sample(docs, dropped, params, work)
+    assert rows(reports.pair_sample(spark, params, folders, work).select(want.columns)) == rows(want)
+    want = groups.with_duplicate_count(docs, dropped, params, work)
+    got = reports.with_duplicate_count(spark, params, folders, work)
+    assert rows(got.select(want.columns)) == rows(want)
+    chunks = {(r.doc_id, r.chunk) for r in runner.kept_rows(spark, folders).collect()}
+    assert all(chunk == i // 30 for i, chunk in chunks)
+
+
+def method_dropped(docs, params, work):
+    from echosieve import method
+
+    return method(params.method)(docs, params, work)
+
+
+def test_broken_steps_are_not_seen(spark, work, monkeypatch):
+    docs = spark.read.parquet(DOCS)
+    params = Params(chunk_size=30)
+    folders = runner.StreamFolders(work.path("stream"), row_chunks=True)
+    part = lambda lo, hi: docs.filter(docs.doc_id.between(lo, hi - 1))
+    runner.process_batch(part(0, 100), 0, params, folders)
+    before = kept(spark, folders)
+    assert before == models.first_seen([(r.doc_id, r.text) for r in part(0, 90).collect()])
+
+    def fail(spark, folder, name):
+        if folder == folders.commits:
+            raise RuntimeError("the driver is gone")
+        return real(spark, folder, name)
+
+    real = runner.mark
+    monkeypatch.setattr(runner, "mark", fail)
+    with pytest.raises(RuntimeError):
+        runner.flush(spark, params, folders)
+    assert exists(spark, f"{folders.rows}/{runner.ROWS_KEY}=1")
+    with pytest.raises(RuntimeError):
+        runner.process_batch(part(100, 170), 1, params, folders)
+    assert kept(spark, folders) == before
+    assert runner.batch_counts(spark, folders).agg(F.sum("original")).first()[0] == 90
+    monkeypatch.setattr(runner, "mark", real)
+    runner.process_batch(part(100, 170), 1, params, folders)
+    runner.flush(spark, params, folders)
+    runner.flush(spark, params, folders)  # nothing waits any more
+    want = models.first_seen([(r.doc_id, r.text) for r in part(0, 170).collect()])
+    assert kept(spark, folders) == want
+
+
+def test_chunk_limit_with_chunks_of_rows(spark, work):
+    docs = spark.read.parquet(DOCS)
+    inbox = work.path("inbox")
+    for lo in (0, 50, 100):
+        land(docs, inbox, lo, lo + 50)
+    folders = runner.StreamFolders(work.path("stream"), row_chunks=True)
+    for limit, rows in ((3, 75), (None, 150)):
+        params = Params(max_chunks=limit, chunk_size=25)
+        stream = stream_corpus(spark, inbox, params, docs.schema)
+        ended = runner.finish(runner.start(stream, params, folders), params, folders)
+        assert ended is (limit is not None)
+        want = deduplicate(docs.filter(docs.doc_id < rows), Params())
+        assert kept(spark, folders) == sorted(r.doc_id for r in want.collect())
+
+
+def test_registered_step(spark, work):
+    """A rule of one's own: one row per language."""
+    def step(batch, state, params, work):
+        new = work.table(batch.groupBy("lang").agg(F.min("doc_id").alias("pos")).join(
+            state.select("lang"), "lang", "left_anti"
+        ), "new")
+        gone = batch.select(F.col("doc_id").alias("pos")).join(new, "pos", "left_anti")
+        return gone.withColumn("owner_pos", F.lit(None).cast("bigint")), new
+
+    register_step("per_language", step, "lang string, pos bigint")
+    docs = spark.read.parquet(DOCS)
+    inbox, folders = work.path("inbox"), runner.StreamFolders(work.path("stream"))
+    params = Params(method="per_language")
+    land(docs, inbox, 0, 90)
+    land(docs, inbox, 90, 200)
+    run(spark, docs, inbox, params, folders)
+    want = docs.groupBy("lang").agg(F.min("doc_id").alias("i")).collect()
+    assert kept(spark, folders) == sorted(r.i for r in want)
