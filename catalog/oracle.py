@@ -299,10 +299,13 @@ def pair_dump(head: str) -> str:
         join documents o on o.doc_id = dr.owner_id"""
 
 
+def split_lines(text: str) -> str:
+    parts = f"regexp_split_to_array({text}, '{LINE_BREAKS}')"
+    return f"case when {parts}[-1] = '' then {parts}[:-2] else {parts} end"
+
+
 def line_diff(head: str) -> str:
-    def split(text: str) -> str:
-        parts = f"regexp_split_to_array({text}, '{LINE_BREAKS}')"
-        return f"case when {parts}[-1] = '' then {parts}[:-2] else {parts} end"
+    split = split_lines
 
     def joined(lines: str) -> str:
         return f"array_to_string(list_sort({lines}), chr(10))"
@@ -320,6 +323,43 @@ def line_diff(head: str) -> str:
                {joined('fresh')} added from df"""
 
 
+def ordered_diff(head: str) -> str:
+    """The table of common lines by suffix, a row per line of the copy from its end, then the
+    walk through it.  ``head`` begins with ``recursive``."""
+    return f"""with {head},
+        ln as materialized (select dr.doc_id, dr.owner_id, {split_lines('o.text')} a,
+                 {split_lines('d.text')} b
+               from dr join documents d on d.doc_id = dr.doc_id
+               join documents o on o.doc_id = dr.owner_id),
+        dp(doc_id, j, vals) as (
+          select doc_id, len(b) + 1, list_transform(range(len(a) + 1), lambda x: 0) from ln
+          union all
+          select doc_id, j, list_transform(range(1, len(cand) + 1),
+                   lambda i: list_max(list_slice(cand, i, len(cand))))
+          from (select dp.doc_id, dp.j - 1 j, list_transform(range(1, len(a) + 2), lambda i:
+                    greatest(vals[i], case when i <= len(a) and a[i] = b[dp.j - 1]
+                                           then vals[i + 1] + 1 else 0 end)) cand
+                from dp join ln on ln.doc_id = dp.doc_id where dp.j > 1)),
+        tb as materialized (select * from dp),
+        wk(doc_id, i, j, line_number, op) as (
+          select doc_id, 1::BIGINT, 1::BIGINT, 0::BIGINT, '' from ln
+          union all
+          select doc_id, case op when 'added' then i else i + 1 end,
+                 case op when 'removed' then j else j + 1 end, line_number + 1, op
+          from (select wk.doc_id, wk.i, wk.j, wk.line_number,
+                  case when wk.j > len(b) then 'removed' when wk.i > len(a) then 'added'
+                       when a[wk.i] = b[wk.j] then 'same'
+                       when here.vals[wk.i + 1] >= after.vals[wk.i] then 'removed'
+                       else 'added' end op
+                from wk join ln on ln.doc_id = wk.doc_id
+                left join tb here on here.doc_id = wk.doc_id and here.j = wk.j
+                left join tb after on after.doc_id = wk.doc_id and after.j = wk.j + 1
+                where wk.i <= len(a) or wk.j <= len(b)))
+        select wk.doc_id, owner_id, line_number, op,
+               case op when 'added' then b[j - 1] else a[i - 1] end line
+        from wk join ln on ln.doc_id = wk.doc_id where op <> ''"""
+
+
 def jaccard(matches: str, head: str) -> str:
     """CTE ``jc(doc_id, owner_id, j)``"""
     return f"""{head},
@@ -459,6 +499,7 @@ def all_sql() -> dict[str, str]:
         "minhash_final_summary": summary(mh, MINHASH_RATIO),
         "minhash_pair_sample": pair_sample(mh, "0.8"),
         "pair_line_diff": line_diff(mh),
+        "pair_ordered_diff": ordered_diff(mh),
         "pair_csv": csv_rows(mh7, 0.7),
         "pair_dump": pair_dump(mh),
         "jaccard_pairs": f"""with {jaccard('mt', mh)}

@@ -447,6 +447,14 @@ def pair_line_diff(spark, sf):
     )
 
 
+def pair_ordered_diff(spark, sf):
+    run, _, texts = _all_pair_texts(spark, sf)
+    return similarity.ordered_diff(enough_tasks(texts, run.params)).select(
+        F.col("pos").alias("doc_id"), F.col("owner_pos").alias("owner_id"), "line_number", "op",
+        "line",
+    )
+
+
 def pair_csv(spark, sf):
     """All pairs written as CSV and read back."""
     run = _Run(spark, sf, method="minhash", minhash_threshold=0.7)
@@ -644,6 +652,7 @@ def all_queries() -> dict[str, Query]:
         "minhash_final_summary": _summary("minhash"),
         "minhash_pair_sample": _pair_sample("minhash"),
         "pair_line_diff": pair_line_diff,
+        "pair_ordered_diff": pair_ordered_diff,
         "pair_csv": pair_csv,
         "pair_dump": pair_dump,
         "jaccard_pairs": jaccard_pairs,

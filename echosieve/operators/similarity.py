@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,6 +88,101 @@ def line_differences(texts: DataFrame) -> DataFrame:
     ).drop("_old", "_new")
 
 
+DIFF = "pos bigint, owner_pos bigint, line_number bigint, op string, line string"
+#: What a line of a diff is.
+SAME, REMOVED, ADDED = "same", "removed", "added"
+
+
+def diff_ops(old: list, new: list) -> Iterator[str]:
+    """The operations of a shortest line diff, in order; a removed line comes before an added.
+
+    Bit-parallel longest common subsequence: bit p of the vector of a suffix of ``new`` is unset
+    where the last p + 1 lines of ``old`` share one line more with it than the last p do.  Each
+    line of ``new`` is a handful of operations on whole vectors.  Only every ``step``-th vector
+    is held; those between are made again when the walk from the start gets there.
+    """
+    n, full, places = len(old), (1 << len(old)) - 1, {}
+    for at, line in enumerate(reversed(old)):
+        places[line] = places.get(line, 0) | 1 << at
+
+    def before(vector: int, line) -> int:
+        shared = vector & places.get(line, 0)
+        return (vector + shared | vector - shared) & full
+
+    step = max(1, math.isqrt(len(new)))
+    held = {len(new): full}
+    vector = full
+    for j in range(len(new) - 1, -1, -1):
+        vector = before(vector, new[j])
+        if j % step == 0:
+            held[j] = vector
+    i = j = 0
+    block, first = [], 0
+    while i < n or j < len(new):
+        if i < n and j < len(new) and old[i] == new[j]:
+            i, j = i + 1, j + 1
+            yield SAME
+        elif j == len(new):
+            i += 1
+            yield REMOVED
+        elif i == n:
+            j += 1
+            yield ADDED
+        else:
+            if not block or not first <= j < first + len(block):
+                first = j - j % step
+                past = min(first + step, len(new))
+                block, vector = [], held[past]
+                for k in range(past - 1, first - 1, -1):
+                    vector = before(vector, new[k])
+                    block.append(vector)
+                block.reverse()
+            if block[j - first] >> n - 1 - i & 1:
+                i += 1
+                yield REMOVED
+            else:
+                j += 1
+                yield ADDED
+
+
+def _diffed(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    names = ["pos", "owner_pos", "line_number", "op", "line"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def lines():
+        for batch in batches:
+            for row in range(batch.num_rows):  # one pair at a time
+                pos, owner, old, new = (c[row].as_py() for c in batch.columns)
+                old, new = old or [], new or []
+                i = j = 0
+                for number, op in enumerate(diff_ops(old, new), 1):
+                    yield pos, owner, number, op, new[j] if op == ADDED else old[i]
+                    i, j = i + (op != ADDED), j + (op != REMOVED)
+
+    rows = lines()
+    while held := list(itertools.islice(rows, 4096)):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*held), types)], names
+        )
+
+
+def ordered_diff(texts: DataFrame) -> DataFrame:
+    """``(pos, owner_pos, line_number, op, line)``: the lines of each pair, in order, with repeats.
+
+    ``same`` and ``removed`` lines, in order, are the owner's text, ``same`` and ``added`` ones
+    the copy's.  As many lines as can be are ``same``.  A null text has no lines.  Pairs are
+    diffed where their texts lie, one at a time; memory grows with the lines of one pair to the
+    power of one and a half, in bits.
+    """
+    split = texts.select(
+        F.col("pos").cast("bigint"), F.col("owner_pos").cast("bigint"),
+        lines(F.col("owner_text")).alias("old"), lines(F.col("text")).alias("new"),
+    )
+    return split.mapInArrow(_diffed, DIFF)
+
+
 def pair_table(texts: DataFrame) -> DataFrame:
     """Pairs in the layout of the pair table, with the differing lines as arrays."""
     named = texts.withColumn("Original", F.col("owner_text")).withColumn(
