@@ -12,14 +12,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import block_of
 from ..workspace import Workspace
 from .skew import join_per_key, spread_join
 
-# A component of at most this many (pos, bucket) rows is settled in one task.
-COMPONENT_ROWS = 100_000
+# So many undecided rows of a component, the lowest ones, are settled in one task at a time.
+COMPONENT_ROWS = 10_000
+# The cut between them and the others falls between blocks of this share of them.
+BLOCKS = 4
 
 
 @dataclass(frozen=True)
@@ -57,46 +60,56 @@ def _rounds(
     edges: DataFrame, work: Workspace, hot_rows: int, plain_rounds: int, component_rows: int
 ) -> DataFrame:
     """Kept rows among those with a shared bucket."""
-    kept, still, done, limit = [], edges, 0, plain_rounds
+    kept, still = [], edges
+    for _ in range(plain_rounds):
+        first, still = _round(still, work, hot_rows)
+        kept.append(first)
+        if still.isEmpty():
+            return reduce(DataFrame.unionAll, kept)
+    # Long dependency chains: one round per link would be slow.  A step settles the lowest
+    # rows of each component in order, and one more round of all the others.
+    labels = _components(still, work, hot_rows)
+    still = work.table(still.join(labels, "pos"), "components")
     while True:
-        if "lo" not in still.columns:
-            lowest = still.groupBy("bucket", "n").agg(F.min("pos").alias("lo"))
-            still = work.table(
-                spread_join(still, lowest, ["bucket"], "n", "pos", hot_rows), "open"
-            )
-        first = work.table(
-            still.groupBy("pos")
-            .agg(F.every(F.col("lo") == F.col("pos")).alias("leads"))
-            .filter("leads")
-            .select("pos"),
-            "kept",
-        )
+        first, still = _lowest_of_components(still, work, hot_rows, component_rows)
+        kept.append(first)
+        if still.isEmpty():
+            return reduce(DataFrame.unionAll, kept)
+        first, still = _round(still, work, hot_rows)
         kept.append(first)
-        still = _without_matches(still, first, work, hot_rows)
-        done += 1
         if still.isEmpty():
             return reduce(DataFrame.unionAll, kept)
-        if done >= limit:
-            # Long dependency chains: one round per link would be slow.
-            small, still = _small_components(still, work, hot_rows, component_rows)
-            kept.append(_settle_components(small, work))
-            if still.isEmpty():
-                return reduce(DataFrame.unionAll, kept)
-            limit = done + 2 * limit
 
 
-def _without_matches(
-    still: DataFrame, first: DataFrame, work: Workspace, hot_rows: int
-) -> DataFrame:
-    """Undecided rows after ``first`` was kept: not kept, and in none of its buckets."""
+def _round(still: DataFrame, work: Workspace, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``(kept, undecided)`` after the rows that lead all their buckets are kept."""
+    if "lo" not in still.columns:
+        lowest = still.groupBy("bucket", "n").agg(F.min("pos").alias("lo"))
+        still = work.table(
+            spread_join(still, lowest, ["bucket"], "n", "pos", hot_rows), "open"
+        )
+    first = work.table(
+        still.groupBy("pos")
+        .agg(F.every(F.col("lo") == F.col("pos")).alias("leads"))
+        .filter("leads")
+        .select("pos"),
+        "kept",
+    )
     taken = (
         still.filter(F.col("lo") == F.col("pos"))
         .join(first, "pos", "left_semi")
         .select("bucket", "n")
     )
-    rows = still.select("pos", "bucket", "n")
-    decided = spread_join(rows, taken, ["bucket"], "n", "pos", hot_rows).select("pos").distinct()
-    return work.table(rows.join(decided, "pos", "left_anti"), "undecided")
+    return first, _without_matches(still.drop("lo"), taken, work, hot_rows)
+
+
+def _without_matches(
+    still: DataFrame, taken: DataFrame, work: Workspace, hot_rows: int
+) -> DataFrame:
+    """The rows of ``still`` that are in none of the buckets ``taken(bucket, n)``."""
+    pairs = still.select("pos", "bucket", "n")
+    decided = spread_join(pairs, taken, ["bucket"], "n", "pos", hot_rows).select("pos").distinct()
+    return work.table(still.join(decided, "pos", "left_anti"), "undecided")
 
 
 def _with_owners(
@@ -153,28 +166,49 @@ def _components(still: DataFrame, work: Workspace, hot_rows: int) -> DataFrame:
         )
 
 
-def _small_components(
+def _lowest_of_components(
     still: DataFrame, work: Workspace, hot_rows: int, component_rows: int
 ) -> tuple[DataFrame, DataFrame]:
-    """Split undecided rows by the size of their component."""
-    labels = _components(still, work, hot_rows)
-    marked = work.table(still.join(labels, "pos"), "components")
-    large = work.table(
-        marked.groupBy("label").agg(F.count("*").alias("rows"))
-        .filter(F.col("rows") > component_rows)
-        .select("label"),
-        "large-components",
+    """``(kept, undecided)`` after the lowest rows of every component were settled in order.
+
+    What a row's fate depends on lies below it in its component, so the lowest
+    ``component_rows`` rows can be scanned without the others.  Where they end follows from
+    counts per block of positions; a block holds no more rows than positions.
+    """
+    width = max(1, component_rows // BLOCKS)
+    block = block_of(F.col("pos"), width)
+    docs = still.groupBy("label", "pos").agg(F.count(F.lit(1)).alias("own"))
+    blocks = docs.groupBy("label", block.alias("block")).agg(
+        F.count(F.lit(1)).alias("docs"), F.sum("own").alias("own")
     )
-    # At most undecided rows / component_rows labels, so small enough to send out.
-    rest = work.table(
-        marked.join(F.broadcast(large), "label", "left_semi").select("pos", "bucket", "n"),
-        "undecided",
+    upwards = Window.partitionBy("label").orderBy("block")
+    # A row per block of positions that the component has rows in.
+    cuts = work.table(
+        blocks.select(
+            "label", "block", F.sum("docs").over(upwards).alias("below"), "own",
+            F.row_number().over(upwards).alias("nth"),
+        ).groupBy("label").agg(
+            F.max(F.when(
+                (F.col("below") <= component_rows) | (F.col("nth") == 1), F.col("block")
+            )).alias("last"),
+            F.sum("own").alias("rows"),
+        ),
+        "cuts",
+    )
+    marked = work.table(
+        join_per_key(still, cuts, ["label"], "rows", "pos", hot_rows).select(
+            *still.columns, (block <= F.col("last")).alias("low")
+        ),
+        "marked",
     )
-    return marked.join(F.broadcast(large), "label", "left_anti"), rest
+    low = marked.filter("low").drop("low")
+    kept = _settle(low, work)
+    taken = low.join(kept, "pos", "left_semi").select("bucket", "n").distinct()
+    return kept, _without_matches(marked.filter("not low").drop("low"), taken, work, hot_rows)
 
 
-def _settle_components(small: DataFrame, work: Workspace) -> DataFrame:
-    """Kept rows of bounded components, each scanned in order in one task."""
+def _settle(low: DataFrame, work: Workspace) -> DataFrame:
+    """Kept rows of the lowest ones of each component, scanned in order in one task."""
 
     def scan(part):
         import pandas as pd
@@ -187,6 +221,6 @@ def _settle_components(small: DataFrame, work: Workspace) -> DataFrame:
         return pd.DataFrame({"pos": pd.Series(kept, dtype="int64")})
 
     return work.table(
-        small.select("label", "pos", "bucket").groupBy("label").applyInPandas(scan, "pos bigint"),
+        low.select("label", "pos", "bucket").groupBy("label").applyInPandas(scan, "pos bigint"),
         "kept",
     )

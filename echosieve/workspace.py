@@ -63,11 +63,12 @@ class Workspace:
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
         self.folder = folder or f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
-        self._next = 0
+        self.tables: list[str] = []
 
     def path(self, name: str) -> str:
-        self._next += 1
-        return f"{self.folder}/{self._next:04d}-{name}"
+        """A new place in this workspace."""
+        self.tables.append(f"{self.folder}/{len(self.tables) + 1:04d}-{name}")
+        return self.tables[-1]
 
     def remove(self) -> None:
         """Delete this workspace, once no DataFrame over its tables is needed."""

@@ -73,3 +73,20 @@ def test_same_result_without_broadcast_joins(spark, work):
 
 def test_nothing_shared(spark, work):
     assert check(spark, work, {d: [f"x{d}"] for d in range(4)}) == {0, 1, 2, 3}
+
+
+def test_a_chain_longer_than_a_task_takes_steps_by_rows(spark, work):
+    """5,000 links, 500 rows at a time: about ten steps, not thousands."""
+    rows = {d: [f"e{d}", f"e{d + 1}"] for d in range(5000)}
+    kept = check(spark, work, rows, plain_rounds=2, component_rows=500)
+    assert kept == set(range(0, 5000, 2))
+    steps = [t for t in work.tables if t.endswith("-cuts")]
+    assert len(steps) <= 12
+
+
+def test_a_hot_component_is_dealt_out(spark, work):
+    """One component of most rows, with chains in it, cut in steps and joined in shares."""
+    rng = random.Random(2)
+    rows = {d: [f"c{d}", f"c{d + 1}", f"r{rng.randrange(4000)}"] for d in range(600)}
+    rows.update({9000 + 7 * d: [f"s{d}", f"s{d + 1}"] for d in range(60)})
+    check(spark, work, rows, plain_rounds=1, component_rows=64, hot_rows=50)
