@@ -76,7 +76,7 @@ def bloom_kept(prints: str, shape: BloomShape, ident: str = "doc_id", head: str
         select distinct {ident} from (select min({ident}) {ident} from bt group by bit)"""
 
 
-def saturation(prints: str, shape: BloomShape, every: int, head: str = "") -> str:
+def saturation(prints: str, shape: BloomShape, every: int | str, head: str = "") -> str:
     return f"""with {head} {bits('bt', prints, 'doc_id', shape)},
         fs as (select min(doc_id) f from bt group by bit),
         st as (select doc_id // {every} step, count(*) r from documents group by 1),
@@ -467,6 +467,16 @@ def all_sql() -> dict[str, str]:
             {bits('pb', text_prints('benchmark', 'item_id'), 'item_id', USUAL_BLOOM)}
             select item_id, item_id not in (select item_id from pb
               where bit not in (select bit from bt)) is_member from benchmark""",
+        "bloom_packed_membership": f"""with {bits('bt', text_prints(), 'doc_id', USUAL_BLOOM)},
+            {bits('pb', text_prints('benchmark', 'item_id'), 'item_id', USUAL_BLOOM)}
+            select item_id, item_id not in (select item_id from pb
+              where bit not in (select bit from bt)) is_member from benchmark""",
+        "bloom_packed_saturation": f"""with {bits('bt', text_prints(), 'doc_id', LARGE_BLOOM)},
+            pt as (select lang part, bit from bt join documents using (doc_id)
+                   union all select 'all', bit from bt)
+            select part, count(distinct bit) bits_set,
+                   round(count(distinct bit) / {LARGE_BLOOM.m}.0::DOUBLE, 6) bloom_saturation
+            from pt group by part""",
         "bloom_summary": f"""with {bits('bt', text_prints(), 'doc_id', USUAL_BLOOM)},
             dr as (select doc_id from documents where doc_id not in
                    (select min(doc_id) from bt group by bit)), {COUNTS}
@@ -544,6 +554,9 @@ def all_sql() -> dict[str, str]:
             where doc_id < floor(2.4 * step)::BIGINT // {CHUNK} * {CHUNK} group by md5(text)""",
         "stream_max_chunks_resumed": "select min(doc_id) doc_id from documents group by md5(text)",
         "stream_bloom": bloom_kept(text_prints(), SMALL_BLOOM),
+        "stream_bloom_packed": bloom_kept(text_prints(), LARGE_BLOOM),
+        "stream_bloom_saturation": saturation(
+            text_prints(), USUAL_BLOOM, "(select max(doc_id) // 4 + 1 from documents)"),
         "stream_hybrid": bloom_kept("hp", SMALL_BLOOM, head=hybrid + ","),
         "stream_chunk_running": stream_running(ex),
         "stream_minhash_pairs": f"with {mh} select doc_id, owner_id from dr",

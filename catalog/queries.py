@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -273,6 +274,38 @@ def bloom_membership(spark, sf):
     return bloom.contains(probe, ["item_id"], setters, shape).select("item_id", "is_member")
 
 
+def bloom_packed_membership(spark, sf):
+    """The same against the filter as bitmaps."""
+    params, work = _params(spark, **USUAL), Workspace(spark)
+    shape = params.bloom()
+    prints = bloom.fingerprints(_table(spark, sf, "documents"), params)
+    filter_ = work.table(bloom.packed(bloom.first_setters(prints, shape)), "filter")
+    probe = _table(spark, sf, "benchmark").select(
+        "item_id", sha256_hex(lenient_text("text")).alias("fp")
+    )
+    return bloom.contains_packed(probe, ["item_id"], filter_, shape, work).select(
+        "item_id", "is_member"
+    )
+
+
+def bloom_packed_saturation(spark, sf):
+    """A filter per language, and the filter of all that they merge into."""
+    params, work = _params(spark, **LARGE), Workspace(spark)
+    shape = params.bloom()
+    docs = _table(spark, sf, "documents")
+    langs = [r.lang for r in docs.select("lang").distinct().orderBy("lang").collect()]
+    filters = [
+        bloom.packed(bloom.first_setters(
+            bloom.fingerprints(docs.filter(F.col("lang") == lang), params), shape
+        )).withColumn("part", F.lit(lang))
+        for lang in langs
+    ]
+    parts = work.table(reduce(DataFrame.unionByName, filters), "filters")
+    every = parts.unionByName(bloom.merged(parts).withColumn("part", F.lit("all")))
+    set_ = every.groupBy("part").agg(bloom.bits_set().alias("bits_set"))
+    return set_.withColumn("bloom_saturation", F.round(F.col("bits_set") / shape.m, 6))
+
+
 # --- text, MinHash, hybrid -----------------------------------------------------------
 
 def word_token_rows(spark, sf):
@@ -564,6 +597,15 @@ def stream_duplicate_count(spark, sf):
     ).select("doc_id", "duplicate_count")
 
 
+def stream_bloom_saturation(spark, sf):
+    folders = _streamed(spark, sf, method="bloomfilter", **USUAL)
+    params = _params(spark, method="bloomfilter", **USUAL)
+    return _rounded(
+        reports.saturation(spark, params, folders, Workspace(spark)),
+        "bloom_saturation", "bloom_saturation_percent",
+    )
+
+
 def stream_pair_sample(spark, sf):
     return _sampled(
         reports.pair_sample(spark, _params(spark), _streamed(spark, sf), Workspace(spark))
@@ -632,6 +674,8 @@ def all_queries() -> dict[str, Query]:
         "bloom_key_kept": _kept(method="bloomfilter", key="n_chars", **LARGE),
         "bloom_saturation": _saturation(bloom.fingerprints, USUAL),
         "bloom_membership": bloom_membership,
+        "bloom_packed_membership": bloom_packed_membership,
+        "bloom_packed_saturation": bloom_packed_saturation,
         "bloom_summary": _summary("bloomfilter", **USUAL),
         "word_tokens": word_token_rows,
         "word_split": word_split,
@@ -679,6 +723,8 @@ def all_queries() -> dict[str, Query]:
         "stream_exact": _stream_kept(),
         "stream_minhash": _stream_kept(method="minhash"),
         "stream_bloom": _stream_kept(method="bloomfilter", **SMALL),
+        "stream_bloom_packed": _stream_kept(method="bloomfilter", **LARGE),
+        "stream_bloom_saturation": stream_bloom_saturation,
         "stream_hybrid": _stream_kept(method="minhash_bloom_hybrid", **SMALL),
         "stream_chunk_running": stream_chunk_running,
         "stream_max_chunks_limit": stream_max_chunks_limit,

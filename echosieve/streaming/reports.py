@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import sample
-from ..operators import metrics
+from ..operators import bloom, metrics
+from ..operators.running import running_totals
 from ..params import Params
 from ..workspace import Workspace
 from .runner import StreamFolders, batch_counts, first_of_chunks, kept_rows, read_whole
@@ -83,3 +84,27 @@ def final_summary(spark: SparkSession, params: Params, folders: StreamFolders) -
     """One row of totals over all chunks so far."""
     counts = batch_counts(spark, folders)
     return metrics.final_summary(counts, metrics.method_metrics(params.method, counts))
+
+
+def saturation(
+    spark: SparkSession, params: Params, folders: StreamFolders, work: Workspace
+) -> DataFrame:
+    """``(step, processed_docs, bits_set, bloom_saturation, bloom_saturation_percent)``.
+
+    One row per step: the filter after it.  A step adds only bits that no earlier one set.
+    """
+    m = params.bloom().m
+    state = read_whole(spark, folders.state(params), folders)
+    fresh = state.groupBy("batch").agg(bloom.bits_set().alias("fresh"))
+    rows = read_whole(spark, folders.counts(), folders).groupBy("batch").agg(
+        F.sum("original").alias("original")
+    )
+    steps = work.table(rows.join(fresh, "batch", "left").select(
+        F.col("batch").alias("step"), "original", F.coalesce("fresh", F.lit(0)).alias("fresh")
+    ), "saturation-steps")
+    share = F.col("bits_set") / F.lit(m)
+    totals = {"processed_docs": "original", "bits_set": "fresh"}
+    return running_totals(steps, "step", totals).select(
+        "step", "processed_docs", "bits_set", share.alias("bloom_saturation"),
+        (share * 100).alias("bloom_saturation_percent"),
+    )

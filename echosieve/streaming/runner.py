@@ -18,7 +18,7 @@ from ..sources.readers import limit_chunks
 from ..workspace import Workspace, delete, exists, mark, marks
 from . import arrivals
 from .state import BatchTable
-from .steps import STEPS
+from .steps import MERGES, STEPS
 
 METRIC_SCHEMA = "original bigint, kept bigint, removed bigint"
 ROWS_KEY = "stream_step"
@@ -57,7 +57,8 @@ class StreamFolders:
         return 2 * batch_id if self.row_chunks else batch_id
 
     def state(self, params: Params) -> BatchTable:
-        return BatchTable(self.state_folder or f"{self.root}/state", STEPS[params.method][1])
+        schema = STEPS[params.method][1]
+        return BatchTable(self.state_folder or f"{self.root}/state", schema, MERGES.get(schema))
 
     def dropped(self) -> BatchTable:
         return BatchTable(f"{self.root}/dropped", "pos bigint, owner_pos bigint")

@@ -6,16 +6,24 @@ that is run again after a failure gives the same result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 class BatchTable:
-    """Rows added by each micro-batch, below ``<path>/batch=<id>``."""
+    """Rows added by each micro-batch, below ``<path>/batch=<id>``.
+
+    ``merge`` brings rows of several batches into fewer, for compaction.
+    """
 
-    def __init__(self, path: str, schema: str):
+    def __init__(
+        self, path: str, schema: str, merge: Callable[[DataFrame], DataFrame] | None = None
+    ):
         self.path = path.rstrip("/")
         self.schema = schema
+        self.merge = merge
 
     def before(self, spark: SparkSession, batch_id: int) -> DataFrame:
         if batch_id == 0:
@@ -39,13 +47,15 @@ class BatchTable:
         The last batch stays apart: if it was not committed, it will be run
         again and must then not see its own rows.
         """
-        target = BatchTable(path, self.schema)
+        target = BatchTable(path, self.schema, self.merge)
         rows = self.read(spark)
         last = rows.agg(F.max("batch")).first()[0]
         if last is None:
             raise ValueError(f"{self.path} holds no batch yet")
         if last > 0:
-            earlier = rows.filter(F.col("batch") < last)
-            target.write(earlier.drop("batch").repartition(files), last - 1)
+            earlier = rows.filter(F.col("batch") < last).drop("batch")
+            if self.merge is not None:
+                earlier = self.merge(earlier)
+            target.write(earlier.repartition(files), last - 1)
         target.write(rows.filter(F.col("batch") == last).drop("batch"), last)
         return target

@@ -50,13 +50,16 @@ def exact_step(
 def _bloom_step(
     prints: DataFrame, batch: DataFrame, state: DataFrame, params: Params, work: Workspace
 ) -> tuple[DataFrame, DataFrame]:
-    """State ``(bit, first_pos)``: the filter so far, at most m rows."""
+    """State ``(bucket, bits)``: the bits that each batch set first, as bitmaps."""
     setters = work.table(bloom.first_setters(prints, params.bloom()), "setters")
-    seen = state.join(setters.select("bit"), "bit", "left_semi").select("bit")
-    fresh = work.table(setters.join(seen, "bit", "left_anti"), "fresh-bits")
+    buckets = setters.select(bloom.bucket_of(F.col("bit"))).distinct()
+    seen = bloom.merged(state.join(buckets, "bucket", "left_semi"))
+    fresh = work.table(bloom.unset(setters, seen), "fresh-bits")
     kept = fresh.select(F.col("first_pos").alias("pos")).distinct()
     dropped = batch.select(position(params)).join(kept, "pos", "left_anti")
-    return dropped.select("pos", F.lit(None).cast("bigint").alias("owner_pos")), fresh
+    return (
+        dropped.select("pos", F.lit(None).cast("bigint").alias("owner_pos")), bloom.packed(fresh)
+    )
 
 
 def bloom_step(
@@ -100,11 +103,14 @@ def minhash_step(
 
 STEPS: dict[str, tuple[Step, str]] = {
     "exact": (exact_step, "fp binary, pos bigint"),
-    "bloomfilter": (bloom_step, "bit bigint, first_pos bigint"),
-    "minhash_bloom_hybrid": (hybrid_step, "bit bigint, first_pos bigint"),
+    "bloomfilter": (bloom_step, bloom.PACKED),
+    "minhash_bloom_hybrid": (hybrid_step, bloom.PACKED),
     "minhash": (minhash_step, "bucket binary, pos bigint"),
 }
 
+#: How rows of several batches with this state can be brought into fewer.
+MERGES: dict[str, Callable[[DataFrame], DataFrame]] = {bloom.PACKED: bloom.merged}
+
 
 def register_step(name: str, step: Step, state_schema: str) -> None:
     """Make a method of one's own run in streams: its step and the columns of its state.

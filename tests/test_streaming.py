@@ -302,3 +302,38 @@ def test_registered_step(spark, work):
     run(spark, docs, inbox, params, folders)
     want = docs.groupBy("lang").agg(F.min("doc_id").alias("i")).collect()
     assert kept(spark, folders) == sorted(r.i for r in want)
+
+
+def test_bitmaps_hold_and_merge_any_bits(spark, work):
+    import random
+
+    from echosieve.operators import bloom
+
+    rng = random.Random(8)
+    edges = [0, 1, 7, 8, 32_767, 32_768, 65_535, 65_536]
+    first, second = ({*rng.sample(range(200_000), 500), *edges[::2]}, {*rng.sample(range(200_000), 500), *edges})
+    rows = lambda bits: spark.createDataFrame([(b,) for b in bits], "bit long")
+    packed = work.table(bloom.packed(rows([*first, *first])), "first")
+    both = work.table(bloom.merged(packed.unionAll(bloom.packed(rows(second)))), "both")
+    assert both.agg(bloom.bits_set()).first()[0] == len(first | second)
+    probe = sorted({*rng.sample(range(300_000), 3000), *edges, *first, *second})
+    got = {r.bit for r in bloom.unset(rows(probe), both).collect()}
+    assert got == set(probe) - first - second
+    assert bloom.unset(rows(probe), both.limit(0)).count() == len(probe)
+
+
+def test_compacted_bitmaps_give_the_same_result(spark, work):
+    docs = spark.read.parquet(DOCS)
+    params = Params(method="bloomfilter", bloom_capacity=20_000, bloom_error_rate=0.01)
+    folders = runner.StreamFolders(work.path("stream"))
+    parts = [docs.filter(docs.doc_id.between(lo, lo + 49)) for lo in range(0, 200, 50)]
+    for batch_id in range(3):
+        runner.process_batch(parts[batch_id], batch_id, params, folders)
+    compact = folders.state(params).compact_into(spark, work.path("state"), 1)
+    before, after = (t.read(spark).filter("batch < 2") for t in (folders.state(params), compact))
+    assert after.count() < before.count()
+    moved = runner.StreamFolders(folders.root, compact.path)
+    for batch_id in (2, 3):
+        runner.process_batch(parts[batch_id], batch_id, params, moved)
+    want = sorted(r.doc_id for r in deduplicate(docs, params).select("doc_id").collect())
+    assert kept(spark, moved) == want
