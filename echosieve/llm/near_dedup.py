@@ -1,14 +1,14 @@
 """Near-duplicate links and groups by a chosen-path set similarity join.
 
 A document is its set of distinct word shingles (64-bit hashes), embedded as ``MINHASHES``
-minwise tokens.  In each of ``TREES`` independent trees, a node passes a document on to one
+minwise tokens.  In each of several independent trees, a node passes a document on to one
 child per chosen token; a hash of (node, token) chooses each token with probability
 1 / (similarity * MINHASHES), so two documents above the similarity stay together in one child
 or more on average, and unlike ones part.  Documents of a node of at most ``SMALL`` are compared
 exhaustively.  Documents of larger nodes are first compared with a few leaders of their node, in
-``LEADER_ROUNDS`` rounds.  If at most ``STRAGGLERS`` documents of a node are outside its largest
-group then, these are compared with the whole node; other nodes branch on.  At ``DEPTH`` whole
-nodes are compared, in blocks.
+``LEADER_ROUNDS`` rounds.  A node whose documents are one group then is done.  In others, the
+documents alike to the node's centre are taken out: they are compared with the whole node, by
+their full sets.  The rest, unlike the centre, branches on, at any depth.
 
 * Equal sets are one class from the start, represented by its least id.
 * Comparing means: sizes, then 64 four-bit sketches (a true link is lost here with a chance of
@@ -16,15 +16,20 @@ nodes are compared, in blocks.
 * Links are only needed to join groups: pairs within a known group are never compared, and of a
   document's candidates the most alike is tried first.  A large group of near copies is joined
   in a few linear rounds, not by its pairs.
-* At the threshold, a tree finds a pair in its first level with a chance of 1 - 1/e, so all
-  ``TREES`` miss it with a chance of about e ** -TREES; a pair that must go through d levels
-  survives a tree with a chance near 2 / (d + 3).
+* Nodes of several trees with one and the same largest group are one family, which is compared
+  once.  Its tiles, bounded blocks of alike documents against blocks of the whole family, verify
+  links on the spot and return only such as join two groups: no pair leaves a task otherwise.
+  What grows with the square of a family is the arithmetic in its tiles, where texts of a family
+  are only just not alike; neither rows nor memory do.
+* At the threshold, a tree finds a pair in its first level with a chance of 1 - 1/e, and the
+  number of trees is what misses at most 1 - ``RECALL`` of such pairs.  Each level below draws
+  ``DRAWS`` times, so that a pair stays together with a chance of 1 - e ** -DRAWS.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import ceil, comb, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +39,11 @@ from echosieve.llm.components import components
 from echosieve.workspace import Workspace
 
 SHINGLE, PERCENT = 3, 85
-TREES, MINHASHES, SMALL, DEPTH = 16, 64, 16, 4
+RECALL, MINHASHES, SMALL, DRAWS = 0.99999, 64, 16, 3
 LEADERS, LEADER_ROUNDS = 2, 3
-STRAGGLERS = 32
+CENTRE_SLACK = 15  # per cent below the similarity that still count as alike to a centre
 SKETCH_LOSS = 1.5e-5  # chance that the sketches of a pair at the threshold rule it out
-BLOCK_ROWS = 256
+BLOCK_SHINGLES = 1 << 19  # of alike documents in a tile; of the family it holds four times that
 BROADCAST_BYTES = 16 << 20
 SPACES = r"[\x20\x09-\x0D]+"
 ROWS = "node long, id long, n int, s0 long, s1 long, s2 long, s3 long"
@@ -110,10 +115,15 @@ def _mix(x):
     return x ^ (x >> np.uint64(31))
 
 
+def trees_for(recall: float) -> int:
+    """How many trees find a pair at the threshold in their first level with this chance."""
+    return max(1, ceil(log(1 / (1 - recall))))
+
+
 def _branch(trees: int, percent: int):
     """Function for ``mapInArrow``: the children of each row ``(id, n, sig[, node])``.
 
-    Without ``node`` the rows are at the root of ``trees`` trees.
+    Without ``node`` the rows are at the root of ``trees`` trees, else each node draws so often.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -132,10 +142,11 @@ def _branch(trees: int, percent: int):
                     axis=2, dtype=np.uint64
                 ).view(np.int64)
                 tokens = sig.astype(np.uint64) + places
+                roots = _mix(np.arange(1, trees + 1, dtype=np.uint64))
                 if "node" in batch.schema.names:
-                    parents = [batch.column("node").to_numpy(zero_copy_only=False).view(np.uint64)]
+                    own = batch.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
+                    parents = [own ^ r for r in roots]
                 else:
-                    roots = _mix(np.arange(1, trees + 1, dtype=np.uint64))
                     parents = [np.full(len(sig), r) for r in roots]
                 for parent in parents:
                     draw = _mix(tokens ^ _mix(parent)[:, None])
@@ -224,29 +235,92 @@ def _with_leaders(rows: DataFrame, percent: int, turn: int) -> DataFrame:
     )
 
 
-def _stragglers(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of the rows outside their node's largest group with all rows of the node."""
-    outside = rows.filter("component != top")
-    met = outside.alias("x").join(rows.alias("y"), F.col("x.node") == F.col("y.node")).filter(
-        (F.col("x.component") != F.col("y.component")) & _alike("x", "y", percent)
+def _centred(still: DataFrame, percent: int, most: int, work: Workspace) -> DataFrame:
+    """Rows of open nodes with ``alike``: whether they are like the centre of their node, the
+    document of its largest group that has the most company over all nodes."""
+    company = still.groupBy("id").agg(F.sum("cnt").alias("company"))
+    centres = still.filter("component = top").join(company, "id").groupBy("node").agg(
+        F.max(F.struct("company", F.xxhash64("id").alias("h"), "n", *SKETCH)).alias("c")
+    ).select("node", "c.n", *[f"c.{s}" for s in SKETCH])
+    near = MINHASHES - least_agreeing(percent - CENTRE_SLACK)
+    sent = may_broadcast(work.table(centres, "centres"), 64, most)
+    return still.alias("x").join(sent.alias("y"), "node").select(
+        "x.*", (_differing("x", "y") <= near).alias("alike")
     )
-    return _pairs(met)
 
 
-def _in_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of large nodes that no depth parted, compared block by block."""
-    sized = rows.withColumn("blocks", F.ceil(F.col("cnt") / BLOCK_ROWS).cast("int"))
-    own = sized.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    tiles = own.withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    ).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    x, y = tiles.filter("block = low"), tiles.filter("block = high")
-    wanted = (
-        (F.col("x.node") == F.col("y.node")) & (F.col("x.low") == F.col("y.low"))
-        & (F.col("x.high") == F.col("y.high")) & (F.col("x.component") != F.col("y.component"))
-        & _alike("x", "y", percent)
+def _tiles(family: DataFrame, sets: DataFrame, most: int, work: Workspace) -> DataFrame:
+    """``(top, p, q, alike_side, id, component, alike, sh)``: the blocks that meet in each tile.
+
+    ``family``: ``(top, id, component, alike, n)``.  A family is dealt into blocks of about
+    ``BLOCK_SHINGLES`` shingles of alike documents, and of four times that of all of them.
+    """
+    sizes = family.groupBy("top").agg(
+        F.ceil(F.sum(F.when(F.col("alike"), F.col("n")).otherwise(0)) / BLOCK_SHINGLES)
+        .cast("int").alias("ps"),
+        F.ceil(F.sum("n") / (4 * BLOCK_SHINGLES)).cast("int").alias("qs"),
+    ).filter("ps > 0")
+    dealt = family.join(may_broadcast(work.table(sizes, "family-sizes"), 24, most), "top")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["top", "id", "component", "alike"]
+    left = dealt.filter("alike").withColumn("q", every("qs")).select(
+        *columns, block("ps").alias("p"), "q", F.lit(True).alias("alike_side")
+    )
+    right = dealt.withColumn("p", every("ps")).select(
+        *columns, "p", block("qs").alias("q"), F.lit(False).alias("alike_side")
     )
-    return _pairs(x.alias("x").join(y.alias("y"), wanted))
+    return left.unionByName(right).join(sets, "id")
+
+
+def _verified(percent: int):
+    """Function for ``applyInArrow`` on a tile: links that join two of its groups, ``(a, b)``."""
+
+    def run(tile):
+        import numpy as np
+        import pyarrow as pa
+
+        ids = tile.column("id").to_numpy()
+        groups = tile.column("component").to_numpy()
+        alike = tile.column("alike").to_numpy(zero_copy_only=False).astype(bool)
+        side = tile.column("alike_side").to_numpy(zero_copy_only=False).astype(bool)
+        in_top = groups == tile.column("top")[0].as_py()
+        sets = tile.column("sh").combine_chunks()
+        sizes = np.diff(sets.offsets.to_numpy())
+        _, flat = np.unique(sets.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        whole = np.flatnonzero(~side)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        of_whole = np.concatenate([flat[starts[j]:starts[j + 1]] for j in whole]) if len(whole) else flat[:0]
+        begins = np.concatenate([[0], np.cumsum(sizes[whole])[:-1]]).astype(np.int64)
+        there = np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool)
+        # Groups of the tile, joined as links are found.
+        _, group = np.unique(groups, return_inverse=True)
+        found = []
+        for i in np.flatnonzero(side):
+            fits = np.minimum(sizes[whole], sizes[i]) * 100 >= np.maximum(sizes[whole], sizes[i]) * percent
+            wanted = fits & (group[whole] != group[i])
+            # Two alike documents meet once, and those of the largest group only others.
+            if in_top[i]:
+                wanted &= ~alike[whole]
+            else:
+                wanted &= ~alike[whole] | in_top[whole] | (ids[whole] > ids[i])
+            if not wanted.any():
+                continue
+            own = flat[starts[i]:starts[i + 1]]
+            there[own] = True
+            common = np.add.reduceat(there[of_whole], begins, dtype=np.int64)
+            there[own] = False
+            links = np.flatnonzero(
+                wanted & (common * 100 >= (sizes[whole] + sizes[i] - common) * percent)
+            )
+            for j in whole[links]:
+                if group[j] != group[i]:
+                    group[group == group[j]] = group[i]
+                    found.append((int(ids[i]), int(ids[j])))
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 def _sized(rows: DataFrame, work: Workspace) -> DataFrame:
@@ -292,15 +366,31 @@ class _Join:
         both = _labelled(_labelled(pairs, self.labels, "a", "ca"), self.labels, "b", "cb")
         return both.filter("ca != cb").drop("ca", "cb")
 
-    def verify(self, pairs: DataFrame) -> None:
-        """Join the groups of the written pairs ``(a, b)`` that are links on their full sets."""
-        ids = self.work.table(
-            pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids"
-        )
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """``(id, sh)`` of the written distinct ``ids``."""
         wanted = may_broadcast(ids, 16, self.most)
-        sets = self.work.table(self.texts.join(wanted, "id").select(
+        return self.work.table(self.texts.join(wanted, "id").select(
             "id", shingles(F.col("text"), self.shingle).alias("sh")
         ), "sets")
+
+    def compare(self, centred: DataFrame) -> None:
+        """Join the groups of open nodes whose alike documents link to any of their node."""
+        family = self.work.table(centred.groupBy("top", "id").agg(
+            F.first("component").alias("component"), F.max("alike").alias("alike"),
+            F.first("n").alias("n"),
+        ), "families")
+        sets = self.sets(self.work.table(family.select("id").distinct(), "ids"))
+        tiles = _tiles(family, sets, self.most, self.work)
+        links = tiles.groupBy("top", "p", "q").applyInArrow(
+            _verified(self.percent), "a long, b long"
+        )
+        self.merge(self.work.table(links, "links"))
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Join the groups of the written pairs ``(a, b)`` that are links on their full sets."""
+        sets = self.sets(self.work.table(
+            pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids"
+        ))
         right = sets.select(F.col("id").alias("b"), F.col("sh").alias("sb"))
         left = sets.select(F.col("id").alias("a"), F.col("sh").alias("sa"))
         joined = pairs.join(right, "b").join(left, "a").select(
@@ -350,7 +440,7 @@ class _Join:
 
 def near_duplicates(
     docs: DataFrame, work: Workspace, doc_id: str = "doc_id", text: str = "text",
-    shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, depth: int = DEPTH,
+    shingle: int = SHINGLE, percent: int = PERCENT, recall: float = RECALL,
     small: int = SMALL, broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row per document.
@@ -381,36 +471,27 @@ def near_duplicates(
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     join = _Join(texts, shingle, percent, broadcast_bytes, work)
 
-    nodes = _sized(members.mapInArrow(_branch(trees, percent), ROWS), work)
+    nodes = _sized(members.mapInArrow(_branch(trees_for(recall), percent), ROWS), work)
     rows = nodes.filter(F.col("cnt") > small)
     join.settle(_exhaustive(join.grouped(nodes.filter(F.col("cnt") <= small)), percent))
-    for turn in range(LEADER_ROUNDS):
-        best = work.table(_with_leaders(join.grouped(rows), percent, turn), "led")
-        if best.isEmpty():
-            break
-        join.verify(best)
-
-    later = None
-    for level in range(2, depth + 2):
+    while True:
+        for turn in range(LEADER_ROUNDS):
+            best = work.table(_with_leaders(join.grouped(rows), percent, turn), "led")
+            if best.isEmpty():
+                break
+            join.verify(best)
         still = join.open(rows)
         if still.isEmpty():
             break
-        # Nodes with few outsiders, and all at the full depth, end here; others branch on.
-        few = F.col("outside") <= STRAGGLERS
-        found = _stragglers(still.filter(few), percent)
-        if level > depth:
-            found = found.unionAll(_in_blocks(still.filter(~few), percent))
-        else:
-            tokens = still.filter(~few).select("id", "node").join(members, "id")
-            nodes = _sized(tokens.mapInArrow(_branch(trees, percent), ROWS), work)
-            rows = nodes.filter(F.col("cnt") > small)
-            ended = join.grouped(nodes.filter(F.col("cnt") <= small))
-            found = found.unionAll(_exhaustive(ended, percent))
-        later = found if later is None else later.unionAll(found)
-        if level > depth:
+        centred = work.table(_centred(still, percent, broadcast_bytes, work), "centred")
+        join.compare(centred)
+        # The centre itself is alike, so a node loses one document at least.
+        unlike = centred.filter("not alike").select("id", "node").join(members, "id")
+        nodes = _sized(unlike.mapInArrow(_branch(DRAWS, percent), ROWS), work)
+        if nodes.isEmpty():
             break
-    if later is not None:
-        join.settle(later)
+        rows = nodes.filter(F.col("cnt") > small)
+        join.settle(_exhaustive(join.grouped(nodes.filter(F.col("cnt") <= small)), percent))
 
     copies = classes.filter("copies > 1").select(*keys, "rep")
     placed = base.drop("sig").join(copies, keys, "left").withColumn(

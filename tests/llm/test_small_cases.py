@@ -421,7 +421,7 @@ def test_near_duplicates(spark, docs, none, work):
     assert near_dedup.near_duplicates(none, work).count() == 0
 
 
-@pytest.mark.parametrize("options", [{}, {"small": 3, "depth": 3, "broadcast_bytes": 0}])
+@pytest.mark.parametrize("options", [{}, {"small": 3, "broadcast_bytes": 0}])
 def test_near_duplicates_in_large_groups(spark, work, options):
     import random
 
@@ -444,6 +444,45 @@ def test_near_duplicates_in_large_groups(spark, work, options):
     assert rows_got == near_groups(rows)
 
 
+@pytest.mark.parametrize("size", [300, 800, 3000])
+def test_families_around_the_threshold(spark, work, size, monkeypatch):
+    """Of 200 words each text has four others, so few pairs are links: none of them is lost, and
+    no step writes more rows than a fixed number for each text."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(200)]
+    kept = np.ones((size, 198), np.int32)
+    rows = []
+    for i in range(size):
+        own = list(base)
+        for at in rng.sample(range(200), 4):
+            own[at] = f"o{i}x{at}"  # found in no other text
+            kept[i, max(0, at - 2):at + 1] = 0
+        rows.append((i, " ".join(own)))
+    common = kept @ kept.T
+    linked = np.argwhere(np.triu(common * 100 >= (2 * 198 - common) * 85, 1))
+    parent = list(range(size))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in linked:
+        low, high = sorted((top(a), top(b)))
+        parent[high] = low
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 40_000)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = near_dedup.near_duplicates(df, work)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: top(i) for i in range(size)}
+    assert len(linked) >= size // 10
+    for table in work.tables:
+        assert spark.read.parquet(table).count() <= 40 * size, table
+
+
 @pytest.mark.parametrize("percent", [50, 80])
 def test_near_duplicates_at_other_similarities(spark, work, percent):
     rows = []
