@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 CHUNK = 100
+PART_BYTES = 400_000
 
 
 class BloomShape(NamedTuple):
@@ -452,6 +453,14 @@ def all_sql() -> dict[str, str]:
         "chunk_files": f"""with {ex} select doc_id // {CHUNK} chunk, count(*) documents,
                            sum(length(text))::BIGINT chars
                            from documents where doc_id not in (select doc_id from dr) group by 1""",
+        "chunk_group_files": f"""with {ex},
+            kp as (select *, strlen(text) + strlen(lang) + strlen(source) + 16 size
+                   from documents where doc_id not in (select doc_id from dr)),
+            rm as (select greatest({PART_BYTES} - max(size), {PART_BYTES} // 2) room from kp),
+            bf as (select *, sum(size) over (order by doc_id) - size sofar from kp),
+            pt as (select *, dense_rank() over (order by sofar // room) - 1 part from bf, rm)
+            select part, min(doc_id // {CHUNK}) first_chunk, max(doc_id // {CHUNK}) last_chunk,
+                   count(*) documents, sum(length(text))::BIGINT chars from pt group by part""",
         "registry_custom_method": """select doc_id from documents where doc_id in
             (select min(doc_id) from documents group by lang, source, n_chars)""",
         "bloom_fingerprints": "select doc_id, sha256(text) fp from documents",

@@ -23,6 +23,7 @@ from echosieve.streaming import reports, runner
 from echosieve.streaming.steps import register_step
 
 CHUNK = 100
+PART_BYTES = 400_000
 SMALL = {"bloom_capacity": 300, "bloom_error_rate": 0.05}
 USUAL = {"bloom_capacity": 1000, "bloom_error_rate": 0.01}
 LARGE = {"bloom_capacity": 100_000, "bloom_error_rate": 0.001}
@@ -201,6 +202,19 @@ def chunk_files(spark, sf):
     )
 
 
+def chunk_group_files(spark, sf):
+    """The same in parts by size: many chunks to a folder."""
+    run = _Run(spark, sf)
+    path = run.work.path("parts")
+    sinks.write_parts(
+        keep(run.docs, run.dropped(), run.params), path, run.params, PART_BYTES, run.work
+    )
+    return spark.read.parquet(path).groupBy("part").agg(
+        F.min("chunk").alias("first_chunk"), F.max("chunk").alias("last_chunk"),
+        F.count("*").alias("documents"), F.sum(F.length("text")).alias("chars"),
+    ).withColumn("part", F.col("part").cast("bigint"))
+
+
 def registry_custom_method(spark, sf):
     """A user's own rule, registered by name: one row per (lang, source, length)."""
     def same_shape(df, params, work):
@@ -665,6 +679,7 @@ def all_queries() -> dict[str, Query]:
         "unique_share": unique_share,
         "compression_trend": compression_trend,
         "chunk_files": chunk_files,
+        "chunk_group_files": chunk_group_files,
         "registry_custom_method": registry_custom_method,
         "bloom_fingerprints": bloom_fingerprints,
         "bloom_bits": _bits(lambda: BloomShape.sized(1000, 0.01)),

@@ -12,7 +12,7 @@ from ..operators.similarity import pair_table
 from ..operators.survivors import keep
 from ..params import BLOOM_METHODS, Params
 from ..sources.readers import limit_chunks, read_corpus, select_part
-from ..sources.sinks import output_folder, write_chunks
+from ..sources.sinks import output_folder, write_chunks, write_parts
 from ..workspace import Workspace, delete, exists
 
 
@@ -33,10 +33,13 @@ class RunResult:
 def run(
     spark: SparkSession, params: Params, source: str | DataFrame | None, out: str,
     format: str = "parquet", cluster: bool = True, rows_per_file: int = 0,
-    overwrite: bool = False,
+    overwrite: bool = False, part_bytes: int | None = None,
 ) -> RunResult:
     """Read, de-duplicate, write kept rows by chunk, and report.
 
+    With ``part_bytes`` rows are written in parts of at most that size before compression, many
+    chunks to a folder, instead of a folder per chunk.
+
     Below ``out`` lie the result folder named after the parameters, and beside it one
     of the same name with ``_reports``: ``dropped``, ``metrics/chunk``,
     ``metrics/method``, ``metrics/summary``, ``metrics/share``, ``metrics/trend``,
@@ -63,7 +66,7 @@ def run(
             read_corpus(spark, source, params, format) if isinstance(source, str)
             else limit_chunks(select_part(source, params), params)
         )
-        names = _write(df, params, decide, work, path, reports, cluster, rows_per_file)
+        names = _write(df, params, decide, work, path, reports, cluster, rows_per_file, part_bytes)
     finally:
         work.remove()
 
@@ -78,7 +81,7 @@ def run(
 
 def _write(
     df: DataFrame, params: Params, decide: Method, work: Workspace, path: str, reports: str,
-    cluster: bool, rows_per_file: int,
+    cluster: bool, rows_per_file: int, part_bytes: int | None,
 ) -> set[str]:
     """Write everything; returns the names of the reports."""
     dropped = decide(df, params, work)
@@ -88,7 +91,10 @@ def _write(
         groups.with_duplicate_count(df, dropped, params, work) if counted
         else keep(df, dropped, params)
     )
-    write_chunks(kept, path, params, rows_per_file, cluster)
+    if part_bytes is None:
+        write_chunks(kept, path, params, rows_per_file, cluster)
+    else:
+        write_parts(kept, path, params, part_bytes, work)
     counts = work.table(metrics.chunk_counts(df, dropped, params), "chunk-counts")
     per_method = metrics.method_metrics(params.method, counts)
     tables = {

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
+from ..functions.numbers import block_of
+from ..operators.running import running_totals
+from ..operators.survivors import position
 from ..params import Params
+from ..workspace import Workspace
 from .readers import with_chunk
 
 # The name of the result folder and the layouts of the exported
@@ -43,6 +50,82 @@ def write_chunks(
     writer.parquet(path)
 
 
+#: Blocks of positions in the table that tells a row its part; it is sent to every task.
+PART_BLOCKS = 1 << 16
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Size of a row before compression: its texts and binaries, and 8 bytes for any other value."""
+    sizes = [
+        F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+        if isinstance(f.dataType, (StringType, BinaryType)) else F.lit(8)
+        for f in df.schema.fields
+    ]
+    return reduce(Column.__add__, sizes).cast("bigint")
+
+
+def part_starts(kept: DataFrame, params: Params, part_bytes: int, work: Workspace) -> DataFrame:
+    """``(start)``: the first position of each part, consecutive rows of at most ``part_bytes``.
+
+    Only positions and sizes are moved.  A part may exceed the limit by a row that is larger
+    than half of it.
+    """
+    sizes = work.table(kept.select(position(params), row_bytes(kept).alias("bytes")), "row-sizes")
+    largest = sizes.agg(F.max("bytes")).first()[0] or 0
+    room = max(part_bytes - largest, part_bytes // 2, 1)
+    before = running_totals(sizes, "pos", {"through": "bytes"}).select(
+        "pos", (F.col("through") - F.col("bytes")).alias("before")
+    )
+    return work.table(
+        before.groupBy(block_of(F.col("before"), room)).agg(F.min("pos").alias("start"))
+        .select("start"),
+        "part-starts",
+    )
+
+
+def with_part(kept: DataFrame, starts: DataFrame, params: Params, work: Workspace) -> DataFrame:
+    """Add ``part``, counted from 0, where the rows lie.
+
+    A table of ``PART_BLOCKS`` blocks of positions, with the starts that fall into each, is sent
+    to the rows; there is a start for every ``part_bytes`` of the corpus.
+    """
+    last = starts.agg(F.max("start")).first()[0] or 0
+    width = last // PART_BLOCKS + 1
+    own = starts.groupBy(block_of(F.col("start"), width).alias("_part_block")).agg(
+        F.sort_array(F.collect_list("start")).alias("_part_starts"), F.count("*").alias("_part_n")
+    )
+    spark = kept.sparkSession
+    blocks = work.table(
+        spark.range(last // width + 1).select(F.col("id").alias("_part_block")).join(
+            own, "_part_block", "left"
+        ).select("_part_block", "_part_starts", F.coalesce("_part_n", F.lit(0)).alias("_part_n")),
+        "part-blocks",
+    )
+    known = running_totals(blocks, "_part_block", {"_part_through": "_part_n"})
+    pos = F.col(params.order_column).cast("bigint")
+    block = F.least(block_of(pos, width), F.lit(last // width))
+    here = F.size(F.filter(F.coalesce("_part_starts", F.array()), lambda s: s <= pos))
+    # At most PART_BLOCKS rows, and the starts.
+    return kept.join(F.broadcast(known), block == F.col("_part_block")).select(
+        *[F.col(f"`{c}`") for c in kept.columns],
+        (F.col("_part_through") - F.col("_part_n") + here - 1).alias("part"),
+    )
+
+
+def write_parts(
+    kept: DataFrame, path: str, params: Params, part_bytes: int, work: Workspace,
+    mode: str = "errorifexists",
+) -> None:
+    """Kept rows as Parquet, one folder per part: many small chunks, or a piece of a large one.
+
+    Every row says which ``chunk`` it is of.  The rows are shuffled once, by part; AQE may deal
+    a part over several files.
+    """
+    starts = part_starts(kept, params, part_bytes, work)
+    rows = with_part(with_chunk(kept, params), starts, params, work)
+    rows.hint("rebalance", "part").write.mode(mode).partitionBy("part").parquet(path)
+
+
 def csv_rows(texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs in the layout of the duplicate CSV, from the texts of ``groups.sized_pairs``."""
     return texts.select(

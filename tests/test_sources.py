@@ -193,3 +193,43 @@ def test_workspace_removes_only_itself(spark):
 def test_workspace_uses_the_named_folder(spark):
     assert shared_folder(spark) == shared_folder(spark)
     assert Workspace(spark).folder.startswith(shared_folder(spark))
+
+
+def test_parts_stay_below_a_size(spark, work):
+    """Random letters hardly compress, so the files are about as large as the texts."""
+    import glob
+    import os
+    import random
+
+    from echosieve.sources import sinks
+
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    sizes = [rng.choice([10, 400, 3000]) for _ in range(700)] + [30_000, 5, 60_000, 5]
+    rows = [(3 * i, text(n), None) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, note string").repartition(5)
+    path, params = work.path("parts"), Params(chunk_size=30)
+    sinks.write_parts(df, path, params, 100_000, work)
+    back = spark.read.parquet(path)
+    assert sorted((r.doc_id, r.text, r.note) for r in back.collect()) == rows
+    assert back.filter("chunk != doc_id div 30").isEmpty()
+    parts = sorted((r.part, r.lo, r.hi, r.bytes) for r in back.groupBy("part").agg(
+        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
+        F.sum(F.length("text") + 8).alias("bytes"),
+    ).collect())
+    assert [p[0] for p in parts] == list(range(len(parts))) and len(parts) > 5
+    assert all(a[2] < b[1] for a, b in zip(parts, parts[1:]))
+    assert all(p[3] <= 100_000 + 60_008 - 50_000 for p in parts)  # the row of 60,000 is over half
+    assert max(os.path.getsize(f) for f in glob.glob(f"{path}/part=*/*.parquet")) < 110_000
+    empty = work.path("none")
+    sinks.write_parts(df.limit(0), empty, params, 100_000, work)
+
+
+def test_a_run_in_parts(spark, work):
+    from echosieve import run
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    result = run(spark, Params(chunk_size=20), docs, work.path("out"), part_bytes=200_000)
+    rows = spark.read.parquet(result.path)
+    assert rows.count() == docs.select("text").distinct().count()
+    assert {"part", "chunk", "duplicate_count"} <= set(rows.columns)
