@@ -556,6 +556,7 @@ def all_sql() -> dict[str, str]:
             select pos, conv_id, turn, role from nm
             where pos in (select min(pos) from nm group by md5(text))""",
         "stream_exact": "select min(doc_id) doc_id from documents group by md5(text)",
+        "stream_exact_bucketed": "select min(doc_id) doc_id from documents group by md5(text)",
         "stream_minhash": f"with {mh} {kept}",
         "stream_max_chunks_limit": f"""with n as (
               select max(doc_id) // 4 + 1 as step from documents)

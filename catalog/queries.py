@@ -536,11 +536,12 @@ def method_overlap(spark, sf):
 # --- streams -------------------------------------------------------------------------
 
 STREAM_FILES = 4
+STATE_BUCKETS = 16
 
 
 def _streamed(
     spark: SparkSession, sf_dir: str, limits: tuple[float | None, ...] = (None,),
-    row_chunks: bool = False, numbered: bool = True, **changes
+    row_chunks: bool = False, numbered: bool = True, state_buckets: int | None = None, **changes
 ) -> runner.StreamFolders:
     """Documents land as files in position order and are worked off one by one.
 
@@ -559,7 +560,9 @@ def _streamed(
         part.coalesce(1).sortWithinPartitions("doc_id").drop(*gone).write.mode("append").parquet(
             inbox
         )
-    folders = runner.StreamFolders(work.path("stream"), row_chunks=row_chunks)
+    folders = runner.StreamFolders(
+        work.path("stream"), row_chunks=row_chunks, state_buckets=state_buckets
+    )
     schema = docs.drop(*gone).schema
     for limit in limits:
         own = params if limit is None else params.but(max_chunks=int(limit * step) // CHUNK)
@@ -736,6 +739,7 @@ def all_queries() -> dict[str, Query]:
         "pages_exact_kept": pages_exact_kept,
         "conversations_exact_kept": conversations_exact_kept,
         "stream_exact": _stream_kept(),
+        "stream_exact_bucketed": _stream_kept(state_buckets=STATE_BUCKETS),
         "stream_minhash": _stream_kept(method="minhash"),
         "stream_bloom": _stream_kept(method="bloomfilter", **SMALL),
         "stream_bloom_packed": _stream_kept(method="bloomfilter", **LARGE),

@@ -17,6 +17,7 @@ from ..params import PAIRS_PER_CHUNK, Params
 from ..sources.readers import limit_chunks
 from ..workspace import Workspace, delete, exists, mark, marks
 from . import arrivals
+from .bucketed import BucketedTable
 from .state import BatchTable
 from .steps import MERGES, STEPS
 
@@ -32,6 +33,9 @@ class StreamFolders:
     a chunk is ``chunk_size`` rows, as at rest, and not what one micro-batch brings: rows beyond
     the last full chunk wait for the next batch, and ``flush`` takes them at the end.
 
+    ``state_buckets`` lays the state out in so many hash buckets of its key, so that a batch too
+    large to be sent out is shuffled to the state, and the state stays where it is.
+
     Every folder holds one sub-folder per step.  A step is a micro-batch; with ``row_chunks``
     the even steps are micro-batches and an odd one is the flush after the step before it.
     ``commits`` names the steps whose results are whole: only these are read.
@@ -40,6 +44,7 @@ class StreamFolders:
     root: str
     state_folder: str | None = None
     row_chunks: bool = False
+    state_buckets: int | None = None
 
     @property
     def rows(self) -> str:
@@ -58,7 +63,10 @@ class StreamFolders:
 
     def state(self, params: Params) -> BatchTable:
         schema = STEPS[params.method][1]
-        return BatchTable(self.state_folder or f"{self.root}/state", schema, MERGES.get(schema))
+        path, merge = self.state_folder or f"{self.root}/state", MERGES.get(schema)
+        if self.state_buckets is not None:
+            return BucketedTable(path, schema, self.state_buckets, merge)
+        return BatchTable(path, schema, merge)
 
     def dropped(self) -> BatchTable:
         return BatchTable(f"{self.root}/dropped", "pos bigint, owner_pos bigint")

@@ -25,6 +25,10 @@ class BatchTable:
         self.schema = schema
         self.merge = merge
 
+    def at(self, path: str) -> "BatchTable":
+        """A table of the same kind in another place."""
+        return BatchTable(path, self.schema, self.merge)
+
     def before(self, spark: SparkSession, batch_id: int) -> DataFrame:
         if batch_id == 0:
             # Known to be empty while planning, so the joins with it fall away.
@@ -47,7 +51,7 @@ class BatchTable:
         The last batch stays apart: if it was not committed, it will be run
         again and must then not see its own rows.
         """
-        target = BatchTable(path, self.schema, self.merge)
+        target = self.at(path)
         rows = self.read(spark)
         last = rows.agg(F.max("batch")).first()[0]
         if last is None:

@@ -337,3 +337,46 @@ def test_compacted_bitmaps_give_the_same_result(spark, work):
         runner.process_batch(parts[batch_id], batch_id, params, moved)
     want = sorted(r.doc_id for r in deduplicate(docs, params).select("doc_id").collect())
     assert kept(spark, moved) == want
+
+
+def _plan(df):
+    plan = df._jdf.queryExecution().executedPlan()
+    return plan.toString()
+
+
+def test_bucketed_state_is_not_shuffled(spark, work):
+    from echosieve.streaming.bucketed import BucketedTable
+
+    keys = spark.range(900).select(
+        F.unhex(F.md5(F.col("id").cast("string"))).alias("fp"), F.col("id").alias("pos")
+    )
+    table = BucketedTable(work.path("state"), "fp binary, pos bigint", 16)
+    for batch in (0, 1, 2, 1):  # the second is run again
+        table.write(keys.filter(F.col("pos") % 3 == batch), batch)
+    table.forget(spark)  # as in a new session
+    assert {(r.batch, r.n) for r in table.read(spark).groupBy("batch").agg(
+        F.count("*").alias("n")).collect()} == {(0, 300), (1, 300), (2, 300)}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = table.before(spark, 2).join(keys.select("fp").distinct(), "fp", "left_semi")
+        state_side = _plan(found).split("SortMergeJoin")[1].split("FileScan")[0]
+        assert "Exchange" not in state_side and "Bucketed: true" in _plan(found)
+        assert sorted(r.pos for r in found.collect()) == [i for i in range(900) if i % 3 < 2]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("params", [CASES[0], CASES[1], CASES[3]], ids=lambda p: p.method)
+def test_stream_with_bucketed_state(spark, work, params):
+    docs = spark.read.parquet(DOCS)
+    folders = runner.StreamFolders(work.path("stream"), state_buckets=9)
+    parts = [docs.filter(docs.doc_id.between(lo, lo + 49)) for lo in range(0, 200, 50)]
+    for batch_id in (0, 1, 1, 2):
+        runner.process_batch(parts[batch_id], batch_id, params, folders)
+    compact = folders.state(params).compact_into(spark, work.path("state"), 4)
+    moved = runner.StreamFolders(folders.root, compact.path, state_buckets=9)
+    for batch_id in (2, 3):
+        runner.process_batch(parts[batch_id], batch_id, params, moved)
+    want = sorted(r.doc_id for r in deduplicate(docs, params).select("doc_id").collect())
+    assert kept(spark, moved) == want
