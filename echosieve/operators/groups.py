@@ -13,6 +13,9 @@ from .running import running_totals
 from .skew import join_per_key
 from .survivors import keep, position
 
+# A list of positions up to this size, counted first, is sent to every task.
+SENT_BYTES, POSITION_BYTES = 64 << 20, 16
+
 
 def group_sizes(dropped: DataFrame) -> DataFrame:
     """``(owner_pos, group_size)``: the kept row and all it stands for."""
@@ -116,6 +119,8 @@ def pair_texts(
         pairs.select("pos").unionAll(pairs.select(F.col("owner_pos").alias("pos"))).distinct(),
         "pair-positions",
     )
+    if wanted.count() * POSITION_BYTES <= SENT_BYTES:
+        wanted = F.broadcast(wanted)
     texts = work.table(
         df.select(position(params), F.col(params.text_column).alias("text")).join(
             wanted, "pos", "left_semi"
