@@ -232,14 +232,11 @@ def pages_exact_kept(spark, sf):
 
 
 def conversations_exact_kept(spark, sf):
-    """Turns numbered in (conversation, turn) order first."""
-    work = Workspace(spark)
-    turns = readers.with_positions(
-        _table(spark, sf, "conversations"), ["conv_id", "turn"], work
-    )
-    return deduplicate(turns, Params(order_column="pos"), work).select(
-        "pos", "conv_id", "turn", "role"
-    )
+    """Turns in (conversation, turn) order, which only the keys are brought into."""
+    turns = _table(spark, sf, "conversations")
+    return exact.kept_in_order_of(
+        turns, ["conv_id", "turn"], Params(order_column="pos"), Workspace(spark)
+    ).select("pos", "conv_id", "turn", "role")
 
 
 # --- Bloom ---------------------------------------------------------------------------

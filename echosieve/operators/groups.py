@@ -11,7 +11,7 @@ from ..params import PAIRS_PER_CHUNK, Params
 from ..workspace import Workspace
 from .running import running_totals
 from .skew import join_per_key
-from .survivors import keep, position
+from .survivors import columns_of, keep, position, unused
 
 # A list of positions up to this size, counted first, is sent to every task.
 SENT_BYTES, POSITION_BYTES = 64 << 20, 16
@@ -52,16 +52,17 @@ def with_duplicate_count(
     df: DataFrame, dropped: DataFrame, params: Params, work: Workspace
 ) -> DataFrame:
     """Surviving rows with the number of rows each of them stands for."""
+    kept = keep(df, dropped, params)
+    owner, copies = unused("_owner", kept), unused("_copies", kept)
     # Written, so that the planner sees its size before it meets the payload.
     sizes = work.table(
         group_sizes(dropped).select(
-            F.col("owner_pos").alias("_owner"), (F.col("group_size") - 1).alias("_copies")
+            F.col("owner_pos").alias(owner), (F.col("group_size") - 1).alias(copies)
         ),
         "copies",
     )
-    kept = keep(df, dropped, params)
-    return kept.join(sizes, F.col(params.order_column) == F.col("_owner"), "left").select(
-        *kept.columns, F.coalesce("_copies", F.lit(0)).alias("duplicate_count")
+    return kept.join(sizes, F.col(params.order_column) == F.col(owner), "left").select(
+        *columns_of(kept), F.coalesce(F.col(copies), F.lit(0)).alias("duplicate_count")
     )
 
 
@@ -91,17 +92,18 @@ def with_shifted_duplicate_count(
     )
     kept_at = F.count(F.when(F.col("ordinal").isNull(), 1)).over(in_chunk)
     kept = rows.withColumn("_at", kept_at).filter(F.col("ordinal").isNull())
+    survivors = keep(df, dropped, params)
+    at, count = unused("_pos", survivors), unused("_count", survivors)
     # Most counts are 0; only the others, a few per cent of the rows, meet the payload.
     counts = work.table(
         kept.select(F.col("pos").alias("_pos"), "_chunk", "_at").join(
             rows.filter("ordinal > 0").select("_chunk", "_at", "ordinal"), ["_chunk", "_at"]
-        ).select("_pos", F.col("ordinal").alias("_count")),
+        ).select(F.col("_pos").alias(at), F.col("ordinal").alias(count)),
         "shifted-counts",
     )
-    survivors = keep(df, dropped, params)
-    return survivors.join(
-        counts, F.col(params.order_column) == F.col("_pos"), "left"
-    ).select(*survivors.columns, F.coalesce("_count", F.lit(0)).alias("duplicate_count"))
+    return survivors.join(counts, F.col(params.order_column) == F.col(at), "left").select(
+        *columns_of(survivors), F.coalesce(F.col(count), F.lit(0)).alias("duplicate_count")
+    )
 
 
 def pair_texts(

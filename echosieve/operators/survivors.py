@@ -24,6 +24,24 @@ def enough_tasks(rows: DataFrame, params: Params) -> DataFrame:
     return rows.repartition(params.min_tasks, "pos")
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, marked until no column of ``tables`` is called so, in any case of its letters."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, also such with dots in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def _gone(df: DataFrame, dropped: DataFrame, params: Params) -> tuple[DataFrame, Column]:
+    name = unused("_gone", df)
+    return dropped.select(F.col("pos").alias(name)), F.col(params.order_column) == F.col(name)
+
+
 def keep(df: DataFrame, dropped: DataFrame, params: Params) -> DataFrame:
     """The surviving rows of ``df`` with all their columns.
 
@@ -31,14 +49,12 @@ def keep(df: DataFrame, dropped: DataFrame, params: Params) -> DataFrame:
     ``spark.sql.autoBroadcastJoinThreshold`` the payload is only filtered where
     it lies; beyond that the two sides are shuffled on the unique position.
     """
-    gone = dropped.select(F.col("pos").alias("_gone"))
-    return df.join(gone, F.col(params.order_column) == F.col("_gone"), "left_anti")
+    return df.join(*_gone(df, dropped, params), "left_anti")
 
 
 def removed(df: DataFrame, dropped: DataFrame, params: Params) -> DataFrame:
     """The complement of ``keep``."""
-    gone = dropped.select(F.col("pos").alias("_gone"))
-    return df.join(gone, F.col(params.order_column) == F.col("_gone"), "left_semi")
+    return df.join(*_gone(df, dropped, params), "left_semi")
 
 
 def in_order(df: DataFrame, params: Params) -> DataFrame:

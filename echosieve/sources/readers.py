@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.numbers import block_of
+from ..operators.survivors import columns_of, unused
 from ..params import Params
 from ..streaming.arrivals import with_arrival
 from ..workspace import Workspace
@@ -75,43 +78,77 @@ def with_file_positions(df: DataFrame, work: Workspace, name: str = "pos") -> Da
     file, and the list of files has a row each.
     """
     path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    at, nth, offset = unused("_file", df), unused("_row", df), unused("_offset", df)
+    before = Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
     # One row per file.
-    files = df.select(path.alias("_file")).groupBy("_file").agg(F.count("*").alias("_rows"))
+    files = df.select(path.alias(at)).groupBy(at).agg(F.count("*").alias("_rows"))
     offsets = work.table(files.select(
-        "_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
+        at, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias(offset)
     ), "file-offsets")
-    placed = df.select("*", path.alias("_file"), row.alias("_row"))
-    return placed.join(offsets, "_file").select(
-        *df.columns, (F.col("_offset") + F.col("_row")).alias(name)
+    placed = df.select("*", path.alias(at), row.alias(nth))
+    return placed.join(offsets, at).select(
+        *columns_of(df), (F.col(offset) + F.col(nth)).alias(name)
     )
 
 
-def with_positions(
+def position_index(
     df: DataFrame, order_by: list[str], work: Workspace, name: str = "pos",
     partitions: int | None = None,
 ) -> DataFrame:
-    """Number rows 0, 1, 2, … by a unique sort key, without a one-task sort.
+    """``df``, a narrow one, numbered 0, 1, 2, … by a unique sort key, without a one-task sort.
 
     Rows are range-partitioned and sorted; a written copy fixes the partition of
     each row, so that the few per-partition offsets stay valid.
     """
+    part, at, offset = unused("_part", df), unused("_at", df), unused("_offset", df)
     ranged = (
         df.repartitionByRange(partitions, *order_by) if partitions
         else df.repartitionByRange(*order_by)
     )
     local = ranged.sortWithinPartitions(*order_by).select(
         "*",
-        F.spark_partition_id().alias("_part"),
+        F.spark_partition_id().alias(part),
         # The low 33 bits are the row number inside the partition.
-        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias(at),
     )
     placed = work.table(local, "placed")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     # One row per partition of the sort.
-    offsets = placed.groupBy("_part").agg(F.count("*").alias("_rows")).select(
-        "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
+    offsets = placed.groupBy(part).agg(F.count("*").alias("_rows")).select(
+        part, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias(offset)
+    )
+    return placed.join(F.broadcast(offsets), part).select(
+        *columns_of(df), (F.col(offset) + F.col(at)).alias(name)
+    )
+
+
+def with_positions(
+    df: DataFrame, order_by: list[str], work: Workspace, name: str = "pos",
+    partitions: int | None = None,
+) -> DataFrame:
+    """Number rows 0, 1, 2, … by a unique sort key, of which only the keys are sorted.
+
+    The numbers meet the rows by a join on the key, which shuffles the columns that are used
+    afterwards once, and no others.  A key that occurs twice is an error.
+    """
+    keys = df.select(*[F.col(c) for c in order_by])
+    index = work.table(position_index(keys, order_by, work, name, partitions), "positions")
+    return join_positions(df, index, order_by, name)
+
+
+def join_positions(
+    df: DataFrame, index: DataFrame, order_by: list[str], name: str = "pos"
+) -> DataFrame:
+    """The rows of ``df`` whose key is in the written ``index(order_by…, name)``, numbered."""
+    if not index.groupBy(*order_by).count().filter("count > 1").isEmpty():
+        raise ValueError(f"{order_by} does not tell rows apart")
+    keys = [unused(f"_key_{n}", df) for n in range(len(order_by))]
+    named = index.select(
+        *[F.col(c).alias(k) for c, k in zip(order_by, keys)], F.col(name).alias(unused("_at", df))
+    )
+    matched = reduce(
+        Column.__and__, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(order_by, keys)]
     )
-    return placed.join(F.broadcast(offsets), "_part").select(
-        *df.columns, (F.col("_offset") + F.col("_at")).alias(name)
+    return df.join(named, matched).select(
+        *columns_of(df), F.col(unused("_at", df)).alias(name)
     )

@@ -10,7 +10,7 @@ from pyspark.sql.types import BinaryType, StringType
 
 from ..functions.numbers import block_of
 from ..operators.running import running_totals
-from ..operators.survivors import position
+from ..operators.survivors import columns_of, position, unused
 from ..params import Params
 from ..workspace import Workspace
 from .readers import with_chunk
@@ -57,9 +57,9 @@ PART_BLOCKS = 1 << 16
 def row_bytes(df: DataFrame) -> Column:
     """Size of a row before compression: its texts and binaries, and 8 bytes for any other value."""
     sizes = [
-        F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
-        if isinstance(f.dataType, (StringType, BinaryType)) else F.lit(8)
-        for f in df.schema.fields
+        F.coalesce(F.octet_length(column), F.lit(0))
+        if isinstance(field.dataType, (StringType, BinaryType)) else F.lit(8)
+        for field, column in zip(df.schema.fields, columns_of(df))
     ]
     return reduce(Column.__add__, sizes).cast("bigint")
 
@@ -91,24 +91,27 @@ def with_part(kept: DataFrame, starts: DataFrame, params: Params, work: Workspac
     """
     last = starts.agg(F.max("start")).first()[0] or 0
     width = last // PART_BLOCKS + 1
-    own = starts.groupBy(block_of(F.col("start"), width).alias("_part_block")).agg(
-        F.sort_array(F.collect_list("start")).alias("_part_starts"), F.count("*").alias("_part_n")
+    own = starts.groupBy(block_of(F.col("start"), width).alias("block")).agg(
+        F.sort_array(F.collect_list("start")).alias("starts"), F.count("*").alias("n")
     )
     spark = kept.sparkSession
     blocks = work.table(
-        spark.range(last // width + 1).select(F.col("id").alias("_part_block")).join(
-            own, "_part_block", "left"
-        ).select("_part_block", "_part_starts", F.coalesce("_part_n", F.lit(0)).alias("_part_n")),
+        spark.range(last // width + 1).select(F.col("id").alias("block")).join(
+            own, "block", "left"
+        ).select("block", "starts", F.coalesce("n", F.lit(0)).alias("n")),
         "part-blocks",
     )
-    known = running_totals(blocks, "_part_block", {"_part_through": "_part_n"})
+    names = [unused(f"_part_{name}", kept) for name in ("block", "starts", "before")]
+    known = running_totals(blocks, "block", {"through": "n"}).select(
+        F.col("block").alias(names[0]), F.col("starts").alias(names[1]),
+        (F.col("through") - F.col("n")).alias(names[2]),
+    )
     pos = F.col(params.order_column).cast("bigint")
     block = F.least(block_of(pos, width), F.lit(last // width))
-    here = F.size(F.filter(F.coalesce("_part_starts", F.array()), lambda s: s <= pos))
+    here = F.size(F.filter(F.coalesce(F.col(names[1]), F.array()), lambda s: s <= pos))
     # At most PART_BLOCKS rows, and the starts.
-    return kept.join(F.broadcast(known), block == F.col("_part_block")).select(
-        *[F.col(f"`{c}`") for c in kept.columns],
-        (F.col("_part_through") - F.col("_part_n") + here - 1).alias("part"),
+    return kept.join(F.broadcast(known), block == F.col(names[0])).select(
+        *columns_of(kept), (F.col(names[2]) + here - 1).alias("part")
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import sample
 from ..operators import bloom, metrics
 from ..operators.running import running_totals
+from ..operators.survivors import columns_of, unused
 from ..params import Params
 from ..workspace import Workspace
 from .runner import StreamFolders, batch_counts, first_of_chunks, kept_rows, read_whole
@@ -30,19 +31,13 @@ def with_duplicate_count(
 ) -> DataFrame:
     """The kept rows with the number of rows each of them stands for by now."""
     rows = kept_rows(spark, folders)
-    owner, count = _unused("owner", rows), _unused("copies", rows)
+    owner, count = unused("owner", rows), unused("copies", rows)
     sizes = work.table(copies(spark, folders).toDF(owner, count), "copies")
     return rows.join(sizes, F.col(params.order_column) == F.col(owner), "left").select(
-        *rows.columns, F.coalesce(F.col(count), F.lit(0)).alias("duplicate_count")
+        *columns_of(rows), F.coalesce(F.col(count), F.lit(0)).alias("duplicate_count")
     )
 
 
-def _unused(name: str, rows: DataFrame) -> str:
-    while name in rows.columns:
-        name = f"_{name}"
-    return name
-
-
 def top_groups(spark: SparkSession, params: Params, folders: StreamFolders) -> DataFrame:
     """The largest groups with the head of their first text; ties by position."""
     largest = copies(spark, folders).select(

@@ -233,3 +233,51 @@ def test_a_run_in_parts(spark, work):
     rows = spark.read.parquet(result.path)
     assert rows.count() == docs.select("text").distinct().count()
     assert {"part", "chunk", "duplicate_count"} <= set(rows.columns)
+
+
+def test_numbering_by_a_sort_key_moves_no_text(spark, work):
+    from echosieve import deduplicate
+
+    rows = [(i * 37 % 101 if i else None, f"text {i % 7}", i, "x") for i in range(101)]
+    df = work.table(
+        spark.createDataFrame(rows, "k int, text string, _at int, _key_0 string").repartition(3), "in"
+    )
+    params = Params(order_column="pos")
+    numbered = readers.with_positions(df, ["k"], work, partitions=4)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    assert [tuple(r) for r in numbered.orderBy("pos").collect()] == [
+        (*r, n) for n, r in enumerate(order)
+    ]
+    got = exact.kept_in_order_of(df, ["k"], params, work)
+    want = deduplicate(numbered, params)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = got.select("pos", "k")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" in plan and "text#" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    with pytest.raises(ValueError, match="apart"):
+        readers.with_positions(df.unionAll(df), ["k"], work)
+
+
+def test_columns_named_like_helpers(spark, work):
+    """No method, report or sink stumbles over columns of the corpus."""
+    names = ["_gone", "_owner", "_copies", "_pos", "_count", "_text", "_chunk", "_at", "_file",
+             "_row", "_part", "_offset", "label", "bucket", "n", "_part_block", "a.b"]
+    rows = [(i, f"text {i % 5} of some words", *["v"] * len(names)) for i in range(40)]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names)
+    df = spark.createDataFrame(rows, schema)
+    bloom = {"bloom_capacity": 100, "bloom_error_rate": 0.01}
+    for params in (Params(), Params(method="minhash"), Params(method="bloomfilter", **bloom),
+                   Params(method="minhash_bloom_hybrid", **bloom)):
+        result = run(spark, params, df, work.path("out"))
+        assert spark.read.parquet(result.path).select("doc_id").distinct().count() >= 4
+    gone = exact.dropped(df, Params(), work)
+    for count in (groups.with_duplicate_count, groups.with_shifted_duplicate_count):
+        assert count(df, gone, Params(), work).count() == 5
+    sinks.write_parts(df, work.path("parts"), Params(), 500, work)
+    path = work.path("in")
+    df.drop("doc_id").write.parquet(path)
+    assert readers.with_file_positions(spark.read.parquet(path), work).count() == 40
