@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter, defaultdict
 
 #: Fixed values of HTML: elements that break a line of text, that have no content, whose content
 #: is not text of the page, and which open element a new one of its kind closes up to.
@@ -32,13 +33,46 @@ _TAG = re.compile(
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _GOLD = re.compile(r'\bdata-gold="([01])"')
 _PARTS = re.compile(r"[^a-z0-9]+")
+_RAW_ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
+
+
+INLINE = ("b", "i", "em", "a")
+
+
+class Element:
+    """An open element, linked to the one around it, so that blocks share their paths.
+
+    ``fresh``: its features (tag and names) that no element around it has; ``inner``: the closest
+    tag that is not ``INLINE``; ``gold``: the closest ``data-gold``.  ``score`` is for the reader.
+    """
+
+    __slots__ = ("parent", "tag", "names", "gold", "depth", "fresh", "inner", "score")
+
+    def __init__(self, parent, tag, names, gold, fresh):
+        self.parent, self.tag, self.names, self.fresh = parent, tag, names, fresh
+        self.gold = parent.gold if gold is None and parent else gold
+        self.depth = parent.depth + 1 if parent else 0
+        self.inner = (parent.inner if parent else "none") if tag in INLINE else tag
+        self.score = None
+
+    def path(self):
+        """The elements from the outermost to this one."""
+        found, element = [], self
+        while element.parent:
+            found.append(element)
+            element = element.parent
+        return found[::-1]
 
 
 class Block:
-    __slots__ = ("path", "text", "linked", "gold")
+    __slots__ = ("element", "text", "linked")
+
+    def __init__(self, element, text, linked):
+        self.element, self.text, self.linked = element, text, linked
 
-    def __init__(self, path, text, linked, gold):
-        self.path, self.text, self.linked, self.gold = path, text, linked, gold
+    @property
+    def gold(self):
+        return self.element.gold
 
 
 def _decoded(piece: str) -> str:
@@ -48,31 +82,53 @@ def _decoded(piece: str) -> str:
 def blocks(page: str | None) -> list[Block]:
     """The blocks with any text, in page order.
 
-    ``path``: a (tag, names) pair per open element, outermost first; names are the parts of its
-    class, id and role.  ``linked``: characters within links.  ``gold``: the ``data-gold`` of the
-    closest element that has one, for labelled pages.  Broken markup is taken as it comes: a close
-    tag without its open one is skipped, an open one ends with its parent.
+    ``element``: the innermost open one; the names of an element are the parts of its class, id
+    and role.  ``linked``: characters within links.  ``gold``: the ``data-gold`` of the closest
+    element that has one, for labelled pages.  Broken markup is taken as it comes: a close tag
+    without its open one is skipped, an open one ends with its parent.  Time and memory grow with
+    the page, however deep its elements are.
     """
     page = page or ""
-    stack: list[tuple] = []  # (tag, names, gold)
+    root = Element(None, "none", (), None, ())
+    stack: list[Element] = []
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements by tag
+    solid: list[int] = []  # places of the open block-level elements
+    held: Counter = Counter()  # features of the open elements
     found: list[Block] = []
     pieces: list[str] = []
-    linked = at = links = 0
+    linked = at = 0
 
     def flush():
         nonlocal linked
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                gold = next((g for _, _, g in reversed(stack) if g is not None), None)
-                found.append(Block(tuple((t, n) for t, n, _ in stack), text, linked, gold))
+                found.append(Block(stack[-1] if stack else root, text, linked))
             pieces.clear()
         linked = 0
 
+    def own_features(tag: str, names: tuple) -> list[str]:
+        return [f"tag:{tag}", *(f"name:{n}" for n in names)]
+
+    def open_one(tag: str, names: tuple, gold: int | None):
+        own = own_features(tag, names)
+        fresh = tuple(f for f in own if not held[f])
+        held.update(own)
+        places[tag].append(len(stack))
+        if tag in BLOCKS:
+            solid.append(len(stack))
+        stack.append(Element(stack[-1] if stack else root, tag, names, gold, fresh))
+
     def close_to(index: int):
-        nonlocal links
-        links -= sum(t == "a" for t, _, _ in stack[index:])
-        del stack[index:]
+        while len(stack) > index:
+            element = stack.pop()
+            held.subtract(own_features(element.tag, element.names))
+            places[element.tag].pop()
+            if solid and solid[-1] == len(stack):
+                solid.pop()
+
+    def last_of(tags) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=-1)
 
     while at < len(page):
         tag = _TAG.search(page, at)
@@ -80,7 +136,7 @@ def blocks(page: str | None) -> list[Block]:
         if piece:
             text = _decoded(piece)
             pieces.append(text)
-            if links:
+            if places["a"]:
                 linked += len(text)
         if not tag:
             break
@@ -91,33 +147,26 @@ def blocks(page: str | None) -> list[Block]:
         name = name.lower()
         block = name in BLOCKS
         if slash:
-            index = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if block:
                 flush()
-            if index is not None:
-                if not block and any(stack[i][0] in BLOCKS for i in range(index, len(stack))):
+            if name in places and places[name]:
+                index = places[name][-1]
+                if not block and solid and solid[-1] > index:
                     continue  # an inline end within a newer block
                 close_to(index)
             continue
         if block:
             flush()
-            for i in range(len(stack) - 1, -1, -1):  # a paragraph ends where a block begins
-                if stack[i][0] == "p":
-                    close_to(i)
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
+            if solid and stack[solid[-1]].tag == "p":  # a paragraph ends where a block begins
+                close_to(solid[-1])
             if name in CLOSED_WITHIN:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in CLOSED_WITHIN[name]:
-                        break
-                    if stack[i][0] in SAME.get(name, {name}):
-                        close_to(i)
-                        break
+                same = last_of(SAME.get(name, {name}))
+                if same > last_of(CLOSED_WITHIN[name]):
+                    close_to(same)
         elif name == "br":
             pieces.append(" ")
         if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            end = _RAW_ENDS[name].search(page, at)
             at = end.end() if end else len(page)
             continue
         if name in VOID or rest.endswith("/"):
@@ -130,7 +179,6 @@ def blocks(page: str | None) -> list[Block]:
             }))
             if "data-gold" in rest and (mark := _GOLD.search(rest)):
                 gold = int(mark[1])
-        stack.append((name, names, gold))
-        links += name == "a"
+        open_one(name, names, gold)
     flush()
     return found

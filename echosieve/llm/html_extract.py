@@ -18,10 +18,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echosieve.llm.html_blocks import Block, blocks
+from echosieve.llm.html_blocks import Block, Element, blocks
 
 SAMPLE_PAGES = 200
-MOST_BLOCKS = 400  # of a page of the sample
+MOST_BLOCKS, MOST_DEPTH = 400, 200  # of a page of the sample; others do not train
 MADE_PAGES = 160
 ROUNDS = 150
 
@@ -33,14 +33,13 @@ ASIDE_NAMES = {
 }
 
 
-def path_features(path: tuple) -> list[str]:
-    tags = {tag for tag, _ in path}
-    names = {name for _, own in path for name in own}
-    inner = next((tag for tag, _ in reversed(path) if tag not in ("b", "i", "em", "a")), "none")
-    return [
-        "bias", f"inner:{inner}", *(f"tag:{t}" for t in tags), *(f"name:{n}" for n in names),
-        f"depth:{min(len(path), 12) // 3}",
-    ]
+def place_features(element: Element) -> list[str]:
+    """What an element says of a block in it, but for its tags and names."""
+    return ["bias", f"inner:{element.inner}", f"depth:{min(element.depth, 12) // 3}"]
+
+
+def path_features(element: Element) -> list[str]:
+    return place_features(element) + [f for e in element.path() for f in e.fresh]
 
 
 def text_features(block: Block) -> list[str]:
@@ -59,7 +58,7 @@ def text_features(block: Block) -> list[str]:
 
 
 def features(page: list[Block]) -> list[list[str]]:
-    rows = [path_features(b.path) + text_features(b) for b in page]
+    rows = [path_features(b.element) + text_features(b) for b in page]
     if rows:
         rows[0].append("first")
         rows[-1].append("last")
@@ -70,11 +69,12 @@ def landmark_labels(page: list[Block]) -> list[int] | None:
     """Labels of a page that marks its text with an article; null if it has none."""
 
     def label(block: Block) -> int:
-        tags = [tag for tag, _ in block.path]
+        path = block.element.path()
+        tags = [e.tag for e in path]
         if "article" not in tags:
             return 0
-        inside = block.path[tags.index("article"):]
-        return int(not any(t in ASIDE_TAGS or ASIDE_NAMES & set(n) for t, n in inside))
+        inside = path[tags.index("article"):]
+        return int(not any(e.tag in ASIDE_TAGS or ASIDE_NAMES & set(e.names) for e in inside))
 
     labels = [label(b) for b in page]
     return labels if any(labels) else None
@@ -220,17 +220,27 @@ def viterbi(scores: list[float], move: list[list[float]]) -> list[int]:
 class Extractor:
     def __init__(self, weights: dict[str, float], move: list[list[float]]):
         self.weights, self.move = weights, move
-        self._paths: dict[tuple, float] = {}
+
+    def path_score(self, element: Element) -> float:
+        """Score of the tags and names of the open elements, each element's added once."""
+        weight, todo = self.weights.get, []
+        while element.score is None and element.parent:
+            todo.append(element)
+            element = element.parent
+        score = element.score or 0.0
+        for element in reversed(todo):
+            score += sum(weight(f, 0.0) for f in element.fresh)
+            element.score = score
+        return score
 
     def labels(self, page: list[Block]) -> list[int]:
         weight = self.weights.get
-        if len(self._paths) > 100_000:
-            self._paths.clear()
-        scores = []
-        for b in page:
-            if b.path not in self._paths:
-                self._paths[b.path] = sum(weight(f, 0.0) for f in path_features(b.path))
-            scores.append(self._paths[b.path] + sum(weight(f, 0.0) for f in text_features(b)))
+        scores = [
+            self.path_score(b.element)
+            + sum(weight(f, 0.0) for f in place_features(b.element))
+            + sum(weight(f, 0.0) for f in text_features(b))
+            for b in page
+        ]
         if scores:
             scores[0] += weight("first", 0.0)
             scores[-1] += weight("last", 0.0)
@@ -248,7 +258,8 @@ def _labelled(batches: Iterator) -> Iterator:
         rows, labels = [], []
         for html in batch.column("html"):
             page = blocks(html.as_py())
-            own = landmark_labels(page) if len(page) <= MOST_BLOCKS else None
+            fits = len(page) <= MOST_BLOCKS and all(b.element.depth <= MOST_DEPTH for b in page)
+            own = landmark_labels(page) if fits else None
             if own:
                 rows.append(features(page))
                 labels.append(own)
