@@ -39,9 +39,12 @@ from echosieve.llm.components import components
 from echosieve.workspace import Workspace
 
 SHINGLE, PERCENT = 3, 85
-RECALL, MINHASHES, SMALL, DRAWS = 0.99999, 64, 16, 3
+RECALL, MINHASHES, SMALL, DRAWS = 0.99999, 64, 16, 2
 LEADERS, LEADER_ROUNDS = 2, 3
-CENTRE_SLACK = 15  # per cent below the similarity that still count as alike to a centre
+SMALL_TILE = 512  # documents of an open node that are all compared
+# Similarity, of the one that is sought, from which a document is alike to a centre.  Below it
+# fewer than one of a pair's DRAWS / share children are shared, so branching ends.
+ALIKE_SHARE = 0.45
 SKETCH_LOSS = 1.5e-5  # chance that the sketches of a pair at the threshold rule it out
 BLOCK_SHINGLES = 1 << 19  # of alike documents in a tile; of the family it holds four times that
 BROADCAST_BYTES = 16 << 20
@@ -237,15 +240,16 @@ def _with_leaders(rows: DataFrame, percent: int, turn: int) -> DataFrame:
 
 def _centred(still: DataFrame, percent: int, most: int, work: Workspace) -> DataFrame:
     """Rows of open nodes with ``alike``: whether they are like the centre of their node, the
-    document of its largest group that has the most company over all nodes."""
+    document of its largest group that has the most company over all nodes, or in a small one."""
     company = still.groupBy("id").agg(F.sum("cnt").alias("company"))
     centres = still.filter("component = top").join(company, "id").groupBy("node").agg(
         F.max(F.struct("company", F.xxhash64("id").alias("h"), "n", *SKETCH)).alias("c")
     ).select("node", "c.n", *[f"c.{s}" for s in SKETCH])
-    near = MINHASHES - least_agreeing(percent - CENTRE_SLACK)
+    share = ALIKE_SHARE * percent / 100
+    near = int(MINHASHES * (1 - share) * 15 / 16)  # differing sketches of such a pair on average
     sent = may_broadcast(work.table(centres, "centres"), 64, most)
     return still.alias("x").join(sent.alias("y"), "node").select(
-        "x.*", (_differing("x", "y") <= near).alias("alike")
+        "x.*", ((F.col("cnt") <= SMALL_TILE) | (_differing("x", "y") <= near)).alias("alike")
     )
 
 
@@ -474,8 +478,9 @@ def near_duplicates(
     nodes = _sized(members.mapInArrow(_branch(trees_for(recall), percent), ROWS), work)
     rows = nodes.filter(F.col("cnt") > small)
     join.settle(_exhaustive(join.grouped(nodes.filter(F.col("cnt") <= small)), percent))
+    rounds = LEADER_ROUNDS
     while True:
-        for turn in range(LEADER_ROUNDS):
+        for turn in range(rounds):
             best = work.table(_with_leaders(join.grouped(rows), percent, turn), "led")
             if best.isEmpty():
                 break
@@ -490,7 +495,7 @@ def near_duplicates(
         nodes = _sized(unlike.mapInArrow(_branch(DRAWS, percent), ROWS), work)
         if nodes.isEmpty():
             break
-        rows = nodes.filter(F.col("cnt") > small)
+        rows, rounds = nodes.filter(F.col("cnt") > small), 1
         join.settle(_exhaustive(join.grouped(nodes.filter(F.col("cnt") <= small)), percent))
 
     copies = classes.filter("copies > 1").select(*keys, "rep")
