@@ -20,28 +20,55 @@ NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 
 def _without(docs: DataFrame, dropped: DataFrame, work: Workspace) -> DataFrame:
-    """``docs`` apart from the ids in ``dropped``; rows without an id stay."""
-    ids = work.table(dropped.select("doc_id").distinct(), "dropped")
+    """``docs`` apart from the ids in ``dropped``; rows without an id stay.
+
+    The ids are written at once, so the tables in ``work`` that they come from can go.
+    """
+    ids = Workspace(docs.sparkSession).table(dropped.select("doc_id").distinct(), "dropped")
+    work.remove()
     return docs.join(may_broadcast(ids, 16, DROPPED_BYTES), "doc_id", "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the quality classifier accepts, with the columns of ``docs``.
+
+    Null and empty texts, which have no words, stay; repeated rows and null ids are judged like
+    any other; a long text is judged as a whole; no rows give none.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = quality.classify(docs, labels, Workspace(spark))
+    work = Workspace(spark)
+    judged = quality.classify(docs, labels, work)
+    work.remove()  # the fitted model does not need the tables it was fitted from
     return judged.filter("accepted").select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without the boilerplate lines of their ``source``; ``n_chars`` is corrected.
+
+    Null texts stay null, a text of boilerplate becomes empty; null sources are one host; repeated
+    rows count as pages; a long text loses lines like a short one; no rows give none.
+    """
     return line_dedup.drop_lines(docs, Workspace(spark)).select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row with the least id of every group of near copies, and all rows in none.
+
+    Texts without words, null ones included, link to nothing and stay; so do rows without an id
+    that copy no other. Rows that repeat an id stay or go together; no rows give none.  A long
+    text's shingles are held by one task.
+    """
     work = Workspace(spark)
     found = near_dedup.near_duplicates(docs, work, shingle=NEAR_SHINGLE, percent=NEAR_PERCENT)
     return _without(docs, found.filter("not kept"), work)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of which less than a twentieth of the words lies in passages of the benchmark.
+
+    Null and empty texts and rows without an id stay; rows that repeat an id go together; a long
+    text is searched as a whole; no rows, or an empty benchmark, change nothing.
+    """
     work = Workspace(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.contamination(docs, benchmark, work)
@@ -49,6 +76,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of at most 2048 tokens and its place in a sequence.
+
+    A null or empty text is its end mark alone; repeated rows and null ids are packed each; only
+    texts longer than a sequence are cut; no rows give none.
+    """
     return packing.pack(docs, Workspace(spark), tokenizer_path(PACKING_RANKS))
 
 
