@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echosieve.llm.common import let, same
+from echosieve.operators.survivors import unused
 from echosieve.workspace import Workspace
 
 RATIO = 0.05
@@ -66,25 +67,26 @@ def drop_lines(
     as pages of their own.
     """
     # Written, so that the planner knows its size before it would shuffle the pages by host.
+    of_host, listed_lines, new = (unused(name, docs) for name in ("_host", "_lines", "_new"))
     lists = work.table(boilerplate(docs, text, host, ratio, min_pages), "boilerplate").select(
-        F.col("host").alias("_host"), F.col("lines").alias("_lines")
+        F.col("host").alias(of_host), F.col("lines").alias(listed_lines)
     )
-    listed = docs.join(lists, same(F.col(host), F.col("_host")), "left")
+    listed = docs.join(lists, same(F.col(host), F.col(of_host)), "left")
 
     def clean(lines: Column) -> Column:
-        own = F.array_intersect(F.transform(lines, _key), F.col("_lines"))
+        own = F.array_intersect(F.transform(lines, _key), F.col(listed_lines))
         return let(own, lambda hit: F.filter(
             lines, lambda x: ~F.coalesce(F.array_contains(hit, _key(x)), F.lit(False))
         ))
 
-    none = F.col("_lines").isNull() | F.col(text).isNull()
+    none = F.col(listed_lines).isNull() | F.col(text).isNull()
     cleaned = let(_lines(F.col(text)), lambda lines: let(clean(lines), lambda kept: F.struct(
         F.array_join(kept, "\n").alias("text"), (F.size(lines) - F.size(kept)).alias("dropped")
     )))
-    out = listed.withColumn("_new", F.when(~none, cleaned)).withColumns({
+    out = listed.withColumn(new, F.when(~none, cleaned)).withColumns({
         "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(_lines(F.col(text)))),
-        "n_dropped": F.coalesce(F.col("_new.dropped"), F.lit(0)),
-        text: F.coalesce(F.col("_new.text"), F.col(text)),
+        "n_dropped": F.coalesce(F.col(new)["dropped"], F.lit(0)),
+        text: F.coalesce(F.col(new)["text"], F.col(text)),
     })
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length(text), F.lit(0)).cast("long"))

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echosieve.llm.common import let, may_broadcast
+from echosieve.operators.survivors import unused
 from echosieve.workspace import Workspace
 
 BUCKETS = 1 << 18
@@ -226,7 +227,8 @@ class Model:
                 out.append(pa.array(np.where(n == 0, 0.0, 1 / (1 + np.exp(-np.clip(z, -30, 30))))))
             return pa.StructArray.from_arrays(out, FAULTS)
 
-        return _with_features(docs, text, "_f").withColumn(out, scores("_f")).drop("_f")
+        held = unused("_f", docs)
+        return _with_features(docs, text, held).withColumn(out, scores(held)).drop(held)
 
 
 def _columns(lists: dict) -> tuple[list[int], list[int]]:
@@ -362,8 +364,9 @@ def classify(
     and null ids too.
     """
     model = fit(docs, labels, work, doc_id, text, sample_rows)
-    return model.score(docs, text, "_score").withColumns({
-        "junk_score": F.col("_score.junk"),
-        "toxic_score": F.col("_score.toxic"),
-        "accepted": (F.col("_score.junk") < THRESHOLD) & (F.col("_score.toxic") < THRESHOLD),
-    }).drop("_score")
+    score = unused("_score", docs)
+    junk, toxic = F.col(score)["junk"], F.col(score)["toxic"]
+    return model.score(docs, text, score).withColumns({
+        "junk_score": junk, "toxic_score": toxic,
+        "accepted": (junk < THRESHOLD) & (toxic < THRESHOLD),
+    }).drop(score)

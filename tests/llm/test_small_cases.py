@@ -622,3 +622,37 @@ def test_near_stage_finds_copies_changed_in_one_run(spark, tmp_path):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     left = {r["doc_id"] for r in corpus_pipeline.near_stage(spark, df, str(tmp_path)).collect()}
     assert left == {10 * i + k for i in range(4) for k in (0, 2, 5)}
+
+
+def test_columns_named_like_helpers(spark, work):
+    names = "_host _lines _new _f _score _k _c host lines keys total line pages id sh n node h1 row"
+    rows = [(i, f"Menu\nown words {i}", "h", *["v"] * len(names.split())) for i in range(12)]
+    df = spark.createDataFrame(
+        rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names.split())
+    )
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    got = line_dedup.drop_lines(df, work)
+    assert {r["n_dropped"] for r in got.collect()} == {1} and got.columns[:len(df.columns)] == df.columns
+    got = quality.classify(df, labels, work)
+    assert got.count() == 12 and set(df.columns) <= set(got.columns)
+
+
+def test_deep_and_unclosed_elements_take_memory_by_the_page():
+    import tracemalloc
+
+    from echosieve.llm.html_blocks import blocks
+
+    field = html_extract.Extractor({"tag:div": 0.5, "tag:b": 0.5}, [[0.0, 0.0], [0.0, 0.0]])
+    pages = {
+        "<div>a" * 100_000: 100_000, "<b>" * 50_000 + "<p>x" * 20_000: 20_000,
+        "".join(f"<div class=c{i}>a" for i in range(50_000)): 50_000,
+        "<div>" * 20_000 + "<li>q" * 20_000: 20_000,
+    }
+    for page, found in pages.items():
+        tracemalloc.start()
+        parsed = blocks(page)
+        assert len(parsed) == found and sum(field.labels(parsed)) >= found - 1
+        assert tracemalloc.get_traced_memory()[1] < 300e6
+        tracemalloc.stop()
+    path = parsed[-1].element.path()
+    assert (len(path), path[-1].tag, path[-1].inner) == (20_001, "li", "li")
