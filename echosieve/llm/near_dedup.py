@@ -268,7 +268,8 @@ def _tiles(family: DataFrame, sets: DataFrame, most: int, work: Workspace) -> Da
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["top", "id", "component", "alike"]
-    left = dealt.filter("alike").withColumn("q", every("qs")).select(
+    # In a family of one tile the alike documents are there already.
+    left = dealt.filter("alike and not (ps = 1 and qs = 1)").withColumn("q", every("qs")).select(
         *columns, block("ps").alias("p"), "q", F.lit(True).alias("alike_side")
     )
     right = dealt.withColumn("p", every("ps")).select(
@@ -300,7 +301,7 @@ def _verified(percent: int):
         # Groups of the tile, joined as links are found.
         _, group = np.unique(groups, return_inverse=True)
         found = []
-        for i in np.flatnonzero(side):
+        for i in np.flatnonzero(side if side.any() else alike):
             fits = np.minimum(sizes[whole], sizes[i]) * 100 >= np.maximum(sizes[whole], sizes[i]) * percent
             wanted = fits & (group[whole] != group[i])
             # Two alike documents meet once, and those of the largest group only others.
