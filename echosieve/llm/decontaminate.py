@@ -2,23 +2,31 @@
 
 A window is ``WINDOW`` consecutive words of an item.  Over every window of a text the k-gram
 with the least hash is kept; equal windows keep the same k-gram at the same place, so any
-shared span of a window or more shares a fingerprint.  Document fingerprints, each with the
-words within a window's reach around it, are joined with the windows of the items by hash, and
-a hit is extended to the whole window and compared word by word (by 64-bit word hashes).  Items
-shorter than a window are one window of their own length, for which the k-gram is the window.
+shared span of a window or more shares a fingerprint.  Items shorter than a window are one
+window of their own length, for which the k-gram is the window.
+
+One pass over the corpus takes the kept hashes of all lengths, without places, and joins them
+with those of the items.  Only documents that share one are gone over again: there each kept
+k-gram comes with the words within a window's reach, is joined with the items' windows, and a
+hit is extended to the whole window and compared word by word (by 64-bit word hashes).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echosieve.llm.common import ascii_lower, let, may_broadcast, same
+from echosieve.operators.skew import spread_join
 from echosieve.workspace import Workspace
 
 WINDOW, KGRAM = 13, 5
 BROADCAST_BYTES = 64 << 20
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before A-Z are lowered
+SHARES, HOT_ROWS = 32, 100_000
 
 
 def words(text: Column) -> Column:
@@ -49,6 +57,26 @@ def _kept(hashes: Column, window: int, k: int) -> Column:
     return F.when(n >= window, let(grams, least))
 
 
+def _least(hashes: Column, window: int, k: int) -> Column:
+    """The least hash of every window, as a sliding minimum by doubling; null if it is too short."""
+    n = F.size(hashes)
+    least = F.transform(
+        F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(F.slice(hashes, i + 1, k))
+    )
+    reach, span = 1, window - k + 1
+    while reach < span:
+        step = min(reach, span - reach)
+        least = let(least, lambda x, step=step: F.zip_with(  # ``least`` ignores the nulls at the end
+            x, F.slice(x, step + 1, F.size(x)), lambda p, q: F.least(p, q)
+        ))
+        reach += step
+    return F.when(n >= window, F.slice(least, 1, n - window + 1))
+
+
+def _joined(arrays: list[Column]) -> Column:
+    return F.flatten(F.filter(F.array(*arrays), lambda a: a.isNotNull()))
+
+
 def _fingerprints(hashes: Column, window: int, k: int) -> Column:
     """Each kept k-gram once, with the words within a window's reach: ``first`` is the place
     of the first of them."""
@@ -60,7 +88,8 @@ def _fingerprints(hashes: Column, window: int, k: int) -> Column:
 
     def around(x: Column) -> Column:
         return let(F.greatest(x["at"] - (window - k), F.lit(0)), lambda first: F.struct(
-            x["h"].alias("h"), x["at"].alias("at"), first.alias("first"),
+            F.lit(window).alias("size"), x["h"].alias("h"), x["at"].alias("at"),
+            first.alias("first"),
             F.slice(hashes, first + 1, x["at"] - first + window).alias("near"),
         ))
 
@@ -68,7 +97,7 @@ def _fingerprints(hashes: Column, window: int, k: int) -> Column:
 
 
 def _windows(items: DataFrame, window: int, k: int) -> DataFrame:
-    """``(h, off, window, window_id)``: the distinct windows of one length, by their k-gram."""
+    """``(item_id, h, off, size, window, window_id)``: the distinct windows of one length, by their k-gram."""
     hashed = items.filter(F.least("n_words", F.lit(WINDOW)) == window)
     kept = hashed.select(
         "item_id", "hashes", F.explode(_kept(F.col("hashes"), window, k)).alias("w")
@@ -77,6 +106,7 @@ def _windows(items: DataFrame, window: int, k: int) -> DataFrame:
         "item_id",
         F.col("w.h").alias("h"),
         (F.col("w.at") - F.col("w.start")).alias("off"),
+        F.lit(window).alias("size"),
         F.slice("hashes", F.col("w.start") + 1, window).alias("window"),
     ).withColumn("window_id", F.xxhash64("window")).distinct()
 
@@ -84,7 +114,7 @@ def _windows(items: DataFrame, window: int, k: int) -> DataFrame:
 def contamination(
     docs: DataFrame, benchmark: DataFrame, work: Workspace,
     doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    broadcast_bytes: int = BROADCAST_BYTES,
+    broadcast_bytes: int = BROADCAST_BYTES, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)``, one row per document.
 
@@ -104,37 +134,21 @@ def contamination(
         F.xxhash64(F.col(text)).alias("text_key"),
         F.col(text).alias("text"),
     )
-    hits, owners = None, None
-    for window in lengths:  # at most WINDOW of them
-        k = KGRAM if window == WINDOW else window
-        own = work.table(_windows(items, window, k), f"windows-{window}")
-        tests = own.select("h", "off", "window", "window_id").distinct()
-        prints = texts.select("doc_id", "text_key", F.explode(
-            let(_hashes(F.col("text")), lambda x: _fingerprints(x, window, k))
-        ).alias("f")).select("doc_id", "text_key", "f.*")
-        start = F.col("at") - F.col("off") - F.col("first")
-        extended = prints.join(
-            may_broadcast(tests, 64 + 8 * window, broadcast_bytes), "h"
-        ).filter(
-            F.when(start >= 0, F.slice("near", start + 1, window) == F.col("window"))
-        ).select(
-            "doc_id", "text_key", "window_id",
-            # a run of windows is told by its starts; 16 is above any window's length
-            ((F.col("at") - F.col("off")).cast("long") * 16 + window).alias("place"),
-        )
-        owned = own.select("window_id", "item_id").distinct()
-        hits = extended if hits is None else hits.unionAll(extended)
-        owners = owned if owners is None else owners.unionAll(owned)
     counted = texts.select(
-        "doc_id", "text_key", F.size(words(F.col("text"))).cast("long").alias("n_words")
-    )
-    if hits is None:
+        "doc_id", "text_key", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words")
+    ).fillna({"n_words": 0})
+    if not lengths:
         found = counted.limit(0).select(
             F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"),
             F.lit(0).alias("n_hit"), F.lit(0).alias("n_items"), F.lit("").alias("ids"),
         )
     else:
-        found = _totals(work.table(hits, "hits"), owners)
+        shapes = [(w, KGRAM if w == WINDOW else w) for w in lengths]  # at most WINDOW of them
+        own = work.table(
+            reduce(DataFrame.unionByName, [_windows(items, *shape) for shape in shapes]), "windows"
+        )
+        hits = _hits(texts, own, shapes, work, broadcast_bytes, hot_rows)
+        found = _totals(hits, own.select("window_id", "item_id").distinct())
     joined = counted.join(
         found, same(F.col("doc_id"), F.col("_id")) & (F.col("text_key") == F.col("_key")), "left"
     )
@@ -147,6 +161,56 @@ def contamination(
     )
 
 
+def _hits(
+    texts: DataFrame, own: DataFrame, shapes: list[tuple[int, int]], work: Workspace,
+    broadcast_bytes: int, hot_rows: int,
+) -> DataFrame:
+    """``(doc_id, text_key, window_id, place)`` for every occurrence of a window, written."""
+    # The join key carries a share of the documents, so that a k-gram of all of them is dealt out.
+    share = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SHARES)).alias("share")
+    prints = texts.select("doc_id", "text_key", share, F.explode(let(
+        _hashes(F.col("text")), lambda x: F.array_distinct(_joined([_least(x, *s) for s in shapes]))
+    )).alias("h"))
+    listed = own.select("h").distinct()
+    if listed.count() * 16 <= broadcast_bytes:
+        shared = prints.join(F.broadcast(listed), "h")
+    else:
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long")))
+        shared = prints.join(listed.select("h", every.alias("share")), ["h", "share"])
+    shared = work.table(shared.select("doc_id", "text_key", "h"), "shared")
+
+    # From here on only what occurs on both sides is in play.
+    counts = shared.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    tests = work.table(
+        own.select("h", "off", "size", "window", "window_id").distinct().join(counts, "h"), "tests"
+    )
+    keys = shared.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    some = texts.join(
+        may_broadcast(keys, 32, broadcast_bytes),
+        same(F.col("doc_id"), F.col("_id")) & (F.col("text_key") == F.col("_key")), "left_semi",
+    )
+    near = some.select("doc_id", "text_key", F.explode(let(
+        _hashes(F.col("text")), lambda x: _joined([_fingerprints(x, *s) for s in shapes])
+    )).alias("f")).select(
+        "doc_id", "text_key", "f.*", F.xxhash64("doc_id", "text_key", "f.at").alias("spread")
+    )
+    if tests.count() * (64 + 8 * WINDOW) <= broadcast_bytes:
+        met = near.join(F.broadcast(tests), ["h", "size"])
+    else:
+        hot = tests.filter(F.col("n") > hot_rows).select("h", "n").distinct()
+        dealt = near.join(may_broadcast(hot, 16, broadcast_bytes), "h", "left").fillna({"n": 1})
+        met = spread_join(dealt, tests, ["h", "size"], "n", "spread", hot_rows)
+    begin = F.col("at") - F.col("off")
+    extended = met.filter(F.when(begin >= F.col("first"), F.slice(
+        "near", begin - F.col("first") + 1, F.col("size")
+    ) == F.col("window"))).select(
+        "doc_id", "text_key", "window_id",
+        # a run of windows is told by its starts; 16 is above any window's length
+        (begin.cast("long") * 16 + F.col("size")).alias("place"),
+    )
+    return work.table(extended, "hits")
+
+
 def _totals(hits: DataFrame, owners: DataFrame) -> DataFrame:
     """Hit words and items of each document that has any."""
     spans = F.transform(F.collect_set("place"), lambda x: F.sequence(

@@ -157,8 +157,9 @@ def test_contamination(spark, docs, none, work):
     benchmark = spark.createDataFrame(items, "item_id long, text string").withColumn("h", F.lit(1))
     df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("window_id", F.lit(1))
     want = winnowed(texts, items)
-    for bound in (decontaminate.BROADCAST_BYTES, 0):
-        got = decontaminate.contamination(df, benchmark, work, broadcast_bytes=bound).collect()
+    for bound, hot in ((decontaminate.BROADCAST_BYTES, 100_000), (0, 100_000), (0, 1)):
+        got = decontaminate.contamination(
+            df, benchmark, work, broadcast_bytes=bound, hot_rows=hot).collect()
         rows = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in got), key=repr)
         assert rows == want
         assert all(r["contaminated"] == (r["n_hit"] > 0 and 20 * r["n_hit"] >= r["n_words"]) for r in got)
