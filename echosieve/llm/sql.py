@@ -11,16 +11,19 @@ with pages as (
   select doc_id, source, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as lines
   from documents
 ), bare as (
-  select doc_id, source, unnest(list_distinct(list_transform(
+  select doc_id, source, text, unnest(list_distinct(list_transform(
     lines, lambda l: trim(l, chr(32) || chr(9) || chr(13))))) as line
   from pages
 ), counts as (
-  select source, line, count(*) as pages from bare where line <> '' group by all
+  select source, line, count(*) as pages, count(distinct text) as texts
+  from bare where line <> '' group by source, line
 ), totals as (select source, count(*) as total from pages group by source
 ), dropped as (
   select c.source, list(line) as gone
   from counts c join totals t on c.source = t.source
-  where pages >= 5 and pages > cast(0.05 as double) * total
+  where texts >= 2 and pages > 0.05::double * total  -- and the lower Wilson bound is above 0.05
+    and (pages - 0.05::double * total) * (pages - 0.05::double * total)
+      > 1.96::double * 1.96::double * 0.05::double * 0.95::double * total
   group by c.source
 ), kept as (
   select p.doc_id, p.source, len(lines) as n_lines, list_filter(lines, lambda l:

@@ -75,6 +75,36 @@ def test_line_dedup(spark, docs, none, work):
             assert r["text"] == "Menu\nrare" and r["n_dropped"] == 0
 
 
+@pytest.mark.parametrize("sent,hot", [(line_dedup.BROADCAST_BYTES, 20_000), (0, 20_000), (0, 7)])
+def test_line_rule_holds_at_every_size(spark, work, sent, hot):
+    pages, key = [], 0
+    for size in (1, 2, 3, 4, 5, 20, 50, 200):
+        for i in range(size):
+            lines = [f"all {size}", f"own {size} {i}"]
+            lines += [f"few {size} {n}" for n in (1, 2, 3, 4, 5, 6, 15, 16, 17) if i < n]
+            pages.append((key, "\n".join(lines), None if size == 5 else f"h{size}"))
+            key += 1
+    pages += [(1000 + i, "held twice\nby a small host", "twin") for i in range(2)]
+    counts, texts, total = collections.Counter(), collections.defaultdict(set), collections.Counter()
+    for _, text, host in pages:
+        total[host] += 1
+        for line in set(text.split("\n")):
+            counts[host, line] += 1
+            texts[host, line].add(text)
+
+    def boilerplate(host, line):  # the textbook form of the bound
+        n, p, z = total[host], counts[host, line] / total[host], line_dedup.Z
+        low = (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+        return len(texts[host, line]) > 1 and low > line_dedup.RATIO
+
+    df = spark.createDataFrame(pages, "_share int, text string, source string").repartition(3)
+    got = line_dedup.drop_lines(df, work, broadcast_bytes=sent, hot_pages=hot)
+    assert got.columns == ["_share", "text", "source", "n_lines", "n_dropped"]
+    assert {r["_share"]: r["text"] for r in got.collect()} == {
+        i: "\n".join(x for x in text.split("\n") if not boilerplate(host, x)) for i, text, host in pages}
+    assert boilerplate("h2", "all 2") and not boilerplate("twin", "held twice")
+
+
 def test_order_minhash(spark, docs, none, work):
     got = order_minhash.edited_fingerprints(docs, work).collect()
     assert len(got) == len(ROWS)
