@@ -3,7 +3,9 @@
 Every url gives one candidate per (host suffix, path prefix of a listed length).  A blocked
 Bloom filter over the listed (host, path) pairs, one 256-bit block and eight bits a pair,
 passes the possible hits on; only those are joined with the list, which removes the false
-positives.  The longest fitting rule decides.
+positives.  The longest fitting rule decides.  The filter has 16 to 32 bits a rule at every size:
+up to ``SENT_BLOCKS`` blocks it is sent to every task, a larger one is a table of blocks that the
+candidates meet by block number.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from pyspark.sql import functions as F
 from echosieve.llm.common import ascii_lower, same
 
 WORDS = 4  # 64-bit words of a block
-MOST_BLOCKS = 1 << 15  # 1 MB; with more rules than it fits, more false hits reach the join
+SENT_BLOCKS = 1 << 15  # 1 MB
+SHARES = 16  # in which the candidates of one block of a larger filter are dealt out
 
 
 def host_of(url: Column) -> Column:
@@ -43,19 +46,23 @@ def _masks(host: Column, path: Column) -> list[Column]:
     return [bit(2 * w).bitwiseOR(bit(2 * w + 1)) for w in range(WORDS)]
 
 
-def bloom_words(rules: DataFrame, blocks: int) -> DataFrame:
-    """One row, ``words``: the filter's 64-bit words, block after block."""
+def bloom_blocks(rules: DataFrame, blocks: int) -> DataFrame:
+    """``(block, words)``: the 64-bit words of every block that has a bit set."""
     pairs = rules.select(
         _block(F.col("host"), F.col("path"), blocks).alias("block"),
         *[m.alias(f"w{w}") for w, m in enumerate(_masks(F.col("host"), F.col("path")))],
     )
-    filled = pairs.groupBy("block").agg(
+    return pairs.groupBy("block").agg(
         F.array(*[F.bit_or(f"w{w}") for w in range(WORDS)]).alias("words")
     )
+
+
+def bloom_words(rules: DataFrame, blocks: int) -> DataFrame:
+    """One row, ``words``: the filter's 64-bit words, block after block."""
     empty = F.array(*[F.lit(0).cast("long")] * WORDS)
     every = rules.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"))
     return (
-        every.join(filled, "block", "left")
+        every.join(bloom_blocks(rules, blocks), "block", "left")
         .agg(F.array_sort(F.collect_list(
             F.struct("block", F.coalesce("words", empty).alias("words"))
         )).alias("all"))
@@ -63,6 +70,32 @@ def bloom_words(rules: DataFrame, blocks: int) -> DataFrame:
     )
 
 
+def possible_hits(
+    candidates: DataFrame, rules: DataFrame, bits_per_rule: int = 16,
+    sent_blocks: int = SENT_BLOCKS,
+) -> DataFrame:
+    """The rows of ``candidates`` whose (``host``, ``path``) the filter over ``rules`` passes.
+
+    No listed pair is lost; of others a small share passes, whatever the number of rules.
+    """
+    wanted = rules.count() * bits_per_rule // (64 * WORDS) + 1
+    blocks = 1 << (wanted - 1).bit_length()
+    block = _block(F.col("host"), F.col("path"), blocks)
+    if blocks <= sent_blocks:
+        met = candidates.select("*", bloom_words(rules, blocks).scalar().alias("words"))
+        first = block * WORDS
+    else:
+        shares = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share")
+        share = F.pmod(F.xxhash64(*candidates.columns), F.lit(SHARES)).cast("int")
+        met = candidates.select("*", block.alias("block"), share.alias("share")).join(
+            bloom_blocks(rules, blocks).select("block", "words", shares), ["block", "share"]
+        )
+        first = F.lit(0)
+    for w, mask in enumerate(_masks(F.col("host"), F.col("path"))):
+        met = met.filter(F.col("words")[first + w].bitwiseAND(mask) == mask)
+    return met.select(*candidates.columns)
+
+
 def judge_urls(
     pages: DataFrame,
     rules: DataFrame,
@@ -70,6 +103,7 @@ def judge_urls(
     url: str = "url",
     default: str = "allow",
     bits_per_rule: int = 16,
+    sent_blocks: int = SENT_BLOCKS,
 ) -> DataFrame:
     """``(page_id, host, path, rule, verdict)``, one row per row of ``pages``.
 
@@ -84,8 +118,6 @@ def judge_urls(
         F.coalesce("path", F.lit("")).alias("path"),
         "verdict",
     ).distinct()
-    wanted = listed.count() * bits_per_rule // (64 * WORDS) + 1
-    blocks = min(MOST_BLOCKS, 1 << (wanted - 1).bit_length())
     lengths = listed.agg(F.sort_array(F.collect_set(F.length("path"))).alias("lengths"))
     parsed = pages.select(
         F.col(page_id).alias("page_id"),
@@ -107,11 +139,8 @@ def judge_urls(
         .select("page_id", "url", F.explode(suffixes).alias("host"), prefixes.alias("paths"))
         .select("page_id", "url", "host", F.explode("paths").alias("path"))
     )
-    word = _block(F.col("host"), F.col("path"), blocks) * WORDS
-    possible = candidates.select("*", bloom_words(listed, blocks).scalar().alias("words"))
-    for w, mask in enumerate(_masks(F.col("host"), F.col("path"))):
-        possible = possible.filter(F.col("words")[word + w].bitwiseAND(mask) == mask)
-    fits = possible.drop("words").join(listed, ["host", "path"])
+    possible = possible_hits(candidates, listed, bits_per_rule, sent_blocks)
+    fits = possible.join(listed, ["host", "path"])
     rank = F.struct(
         F.length(F.concat("host", "path")).alias("size"),
         F.length("host").alias("host_size"),

@@ -412,6 +412,7 @@ def test_url_rules(spark):
         return (i, host, path, best[1], best[2])
 
     assert got == collections.Counter(judge(r[0], r[1]) for r in df.collect())
+    assert got == collections.Counter(map(tuple, url_filter.judge_urls(df, rules, sent_blocks=0).collect()))
     assert url_filter.judge_urls(df.limit(0), rules).count() == 0
     assert {r["verdict"] for r in url_filter.judge_urls(df, rules.limit(0)).collect()} == {"allow"}
 
@@ -423,6 +424,18 @@ def test_bloom_filter_has_no_false_negatives(spark):
     assert url_filter.judge_urls(pages, many, bits_per_rule=2).filter("verdict = 'allow'").count() == 0
 
 
+def test_a_million_rules_keep_the_filter_selective(spark):
+    rule = F.struct(F.concat(F.lit("h"), "id", F.lit(".net")).alias("host"), F.lit("/").alias("path"))
+    rules = spark.range(1_000_000).select(rule.alias("r"), F.lit("block").alias("verdict")).select("r.*", "verdict")
+    others = spark.range(1_000_000, 1_200_000).select(rule.alias("r")).select("r.*")
+    assert url_filter.possible_hits(others, rules).count() < 0.05 * 200_000
+    hosts = [(i, f"http://{'' if i % 2 else 'www.'}h{i * 5_000}.net/x") for i in range(400)]
+    pages = spark.createDataFrame(hosts, "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, rules).collect()}
+    assert got == {
+        i: (f"h{i * 5_000}.net/", "block") if i * 5_000 < 1_000_000 else (None, "allow") for i, _ in hosts}
+
+
 def near_groups(rows, percent=85):
     sets = [shingles(r[1]) for r in rows]
     parent = list(range(len(rows)))
