@@ -458,7 +458,8 @@ def positions_by_file(spark, sf):
     docs = _table(spark, sf, "documents")
     path = work.path("corpus")
     for part, rows in enumerate((docs.filter("doc_id % 3 = 0"), docs.filter("doc_id % 3 > 0"))):
-        rows.orderBy("doc_id").drop("doc_id").coalesce(1).write.parquet(f"{path}/part={part}")
+        # As many files as the sort has tasks; their names are in order of the id.
+        rows.orderBy("doc_id").drop("doc_id").write.parquet(f"{path}/part={part}")
     return readers.with_file_positions(spark.read.parquet(path), work).select(
         "pos", "source", "n_chars"
     )

@@ -75,7 +75,7 @@ def with_file_positions(df: DataFrame, work: Workspace, name: str = "pos") -> Da
 
     For corpora without an id or a sort key: the order of arrival is the order.  Nothing
     is sorted or shuffled: a row's number is its index in its file plus one offset per
-    file, and the list of files has a row each.
+    file, and the list of files, which has a row each, is sent to all tasks.
     """
     path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
     at, nth, offset = unused("_file", df), unused("_row", df), unused("_offset", df)
@@ -86,7 +86,8 @@ def with_file_positions(df: DataFrame, work: Workspace, name: str = "pos") -> Da
         at, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias(offset)
     ), "file-offsets")
     placed = df.select("*", path.alias(at), row.alias(nth))
-    return placed.join(offsets, at).select(
+    # A file is never dealt to one task, as a shuffle on its path would do.
+    return placed.join(F.broadcast(offsets), at).select(
         *columns_of(df), (F.col(offset) + F.col(nth)).alias(name)
     )
 

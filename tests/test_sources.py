@@ -74,6 +74,27 @@ def test_positions_by_file(spark, work):
     assert "rangepartitioning" not in plan and "hashpartitioning" not in plan
 
 
+def test_positions_by_file_writes_and_joins_in_many_tasks(spark):
+    from catalog.queries import positions_by_file
+
+    keep = {"spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in keep}
+    try:
+        for key, value in keep.items():
+            spark.conf.set(key, value)
+        df = positions_by_file(spark, "/root/testdata/sf0.001")
+        files = [f for f in df.inputFiles() if "/part=" in f]
+        got = [(r.pos, r.source, r.n_chars) for r in df.orderBy("pos").collect()]
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert len(files) > 8 and "hashpartitioning" not in plan
+    rows = spark.read.parquet(DOCS).orderBy(F.col("doc_id") % 3 > 0, "doc_id").collect()
+    assert got == [(n, r.source, r.n_chars) for n, r in enumerate(rows)]
+
+
 def test_batch_run_writes_everything(spark, work):
     params = Params(
         method="minhash", dataset_config="en", chunk_size=50, max_chunks=3, minhash_threshold=0.6
