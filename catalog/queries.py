@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from functools import reduce
 
@@ -21,6 +22,7 @@ from echosieve.plans import batch
 from echosieve.sources import readers, sinks
 from echosieve.streaming import reports, runner
 from echosieve.streaming.steps import register_step
+from echosieve.workspace import marks, stamp
 
 CHUNK = 100
 PART_BYTES = 400_000
@@ -537,13 +539,38 @@ STREAM_FILES = 4
 STATE_BUCKETS = 16
 
 
+def _delivered(docs: DataFrame, inbox: str, step: int, gone: list[str]) -> int:
+    """Write ``docs`` in ``STREAM_FILES`` deliveries of ``step`` positions; returns the files of
+    each.
+
+    A delivery is written by as many tasks as its share of the scan has, in position order.  Its
+    files bear one time and so arrive together, in order of their names; where a delivery has
+    fewer of them, empty ones fill it up.
+    """
+    spark = docs.sparkSession
+    pieces = -(-docs.rdd.getNumPartitions() // STREAM_FILES)
+    folders = [f"{inbox}/{at}" for at in range(STREAM_FILES)]
+    for at, folder in enumerate(folders):
+        part = docs.filter(F.col("doc_id").between(at * step, (at + 1) * step - 1))
+        part.repartitionByRange(pieces, "doc_id").sortWithinPartitions("doc_id").drop(
+            *gone
+        ).write.parquet(folder)
+    found = [sum(name.startswith("part-") for name in marks(spark, f)) for f in folders]
+    now = time.time_ns() // 1_000_000
+    for at, folder in enumerate(folders):
+        for _ in range(max(found) - found[at]):
+            docs.limit(0).drop(*gone).coalesce(1).write.mode("append").parquet(folder)
+        stamp(spark, folder, now - 1000 * (STREAM_FILES - at))
+    return max(found)
+
+
 def _streamed(
     spark: SparkSession, sf_dir: str, limits: tuple[float | None, ...] = (None,),
     row_chunks: bool = False, numbered: bool = True, state_buckets: int | None = None, **changes
 ) -> runner.StreamFolders:
-    """Documents land as files in position order and are worked off one by one.
+    """Documents are delivered in position order, and deliveries are worked off one by one.
 
-    ``limits``: one start of the stream for each, with that many files' worth of chunks.
+    ``limits``: one start of the stream for each, with that many deliveries' worth of chunks.
     Without ``numbered`` the files hold no ids.
     """
     params = _params(spark, **changes)
@@ -553,18 +580,16 @@ def _streamed(
     last = docs.agg(F.max("doc_id")).first()[0]
     step = last // STREAM_FILES + 1
     gone = [] if numbered else ["doc_id"]
-    for at in range(STREAM_FILES):
-        part = docs.filter(F.col("doc_id").between(at * step, (at + 1) * step - 1))
-        part.coalesce(1).sortWithinPartitions("doc_id").drop(*gone).write.mode("append").parquet(
-            inbox
-        )
+    files = _delivered(docs, inbox, step, gone)
     folders = runner.StreamFolders(
         work.path("stream"), row_chunks=row_chunks, state_buckets=state_buckets
     )
     schema = docs.drop(*gone).schema
     for limit in limits:
         own = params if limit is None else params.but(max_chunks=int(limit * step) // CHUNK)
-        stream = readers.stream_corpus(spark, inbox, own, schema, numbered=numbered)
+        stream = readers.stream_corpus(
+            spark, f"{inbox}/*", own, schema, files_per_batch=files, numbered=numbered
+        )
         runner.finish(runner.start(stream, own, folders), own, folders)
     return folders
 

@@ -22,49 +22,120 @@ def coefficients(count: int) -> list[tuple[int, int]]:
     return list(zip(values[::2], values[1::2]))
 
 
-def signature(tokens: Column, count: int, slab: int = 1 << 17) -> Column:
-    """``count`` minima over a set of tokens; PRIME each when it is empty.
-
-    A token hash is the first 32 bits of the MD5 modulo PRIME.  Repeats in
-    ``tokens`` do not matter.  This is the one vectorised Python step: an Arrow
-    batch arrives as one flat string array with row offsets and is worked off in
-    slabs of ``slab`` tokens, so memory stays bounded however long a document
-    is.  Within a slab every distinct token is hashed once and then looked up by
-    the rows that hold it.
+# Shifts by round, and tokens of at most so many bytes that fill one block of MD5.
+TURNS = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
+ONE_BLOCK = 55
+
+
+def token_hasher():
+    """Function: the first 32 bits of the MD5 of every string of an Arrow array, as uint32.
+
+    It takes a few thousand tokens at a time: a step of MD5 is a few operations on arrays, where
+    a call of a digest for each token costs several times as much.  Long tokens are digested one
+    by one.
+    """
+
+    def token_hashes(tokens, block=8192):
+        from hashlib import md5
+        from math import sin
+
+        import numpy as np
+        import pyarrow.compute as pc
+
+        sines = [np.uint32(int(abs(sin(i + 1)) * 2**32)) for i in range(64)]
+        sizes = pc.binary_length(tokens).to_numpy(zero_copy_only=False)
+        out = np.empty(len(tokens), np.uint32)
+        for at in range(0, len(tokens), block):
+            part, size = tokens.slice(at, block), sizes[at:at + block]
+            n, long = len(part), np.flatnonzero(size > ONE_BLOCK)
+            digests = [md5(part[int(i)].as_py().encode()).digest() for i in long]
+            if len(long):
+                part, size = pc.if_else(pc.greater(pc.binary_length(part), ONE_BLOCK), "", part), size.copy()
+                size[long] = 0
+            padded = pc.ascii_rpad(part, width=64, padding="\0")  # bytes, whatever they spell
+            raw = np.frombuffer(padded.buffers()[2], np.uint8)[:64 * n].reshape(n, 64).copy()
+            raw[np.arange(n), size] = 128
+            words = np.ascontiguousarray(raw.view("<u4").T)
+            words[14] = size * 8
+            a, b, c, d = (
+                np.full(n, v, np.uint32) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+            )
+            f, high = np.empty(n, np.uint32), np.empty(n, np.uint32)
+            for i in range(61):  # the first word of the digest takes no part in the last three steps
+                turn = i // 16
+                if turn == 0:
+                    np.bitwise_xor(c, d, out=f)
+                    f &= b
+                    f ^= d
+                elif turn == 1:
+                    np.bitwise_xor(b, c, out=f)
+                    f &= d
+                    f ^= c
+                elif turn == 2:
+                    np.bitwise_xor(b, c, out=f)
+                    f ^= d
+                else:
+                    np.bitwise_not(d, out=f)
+                    f |= b
+                    f ^= c
+                f += a
+                f += words[(i, 5 * i + 1, 3 * i + 5, 7 * i)[turn] % 16]
+                f += sines[i]
+                shift = TURNS[turn][i % 4]
+                np.right_shift(f, np.uint32(32 - shift), out=high)
+                f <<= np.uint32(shift)
+                f |= high
+                f += b
+                a, b, c, d, f = d, f, b, c, a
+            out[at:at + n] = (b + np.uint32(0x67452301)).byteswap()
+            for i, digest in zip(long, digests):
+                out[at + i] = int.from_bytes(digest[:4], "big")
+        return out
+
+    return token_hashes
+
+
+def signature(tokens: Column, count: int, run: int = 1, slab: int = 1 << 17) -> Column:
+    """``count`` minima over a set of tokens, or of runs of ``run`` tokens joined by a blank;
+    PRIME each when it is empty.
+
+    A token hash is the first 32 bits of the MD5 modulo PRIME.  Repeats do not matter.  This is
+    the one vectorised Python step: an Arrow batch arrives as one flat string array with row
+    offsets and is worked off in slabs of ``slab`` tokens, so memory stays bounded however long
+    a document is.  Within a slab every distinct token is hashed once and then looked up by the
+    rows that hold it.  Runs hardly ever repeat, so each is hashed where it stands.
     """
     pairs = coefficients(count)
     prime = PRIME
+    token_hashes = token_hasher()
 
     @F.arrow_udf("array<int>")
     def minima(batch):
-        from hashlib import md5
-
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         a = np.array([p[0] for p in pairs], dtype=np.uint64)
         b = np.array([p[1] for p in pairs], dtype=np.uint64)
         p, shift = np.uint64(prime), np.uint64(31)
 
+        def reduce(x, high):
+            # x mod (2^31 - 1): fold the high bits onto the low ones, which
+            # leaves at most 2 * PRIME - 2, and subtract PRIME where possible
+            # (where not, the unsigned difference wraps to a huge number).
+            np.right_shift(x, shift, out=high)
+            x &= p
+            x += high
+            np.subtract(x, p, out=high)
+            np.minimum(x, high, out=x)
+
         def mixed(words):
-            words = words.cast(pa.binary())
-            cuts = np.frombuffer(words.buffers()[1], dtype=np.int32)
-            cuts = cuts[words.offset : words.offset + len(words) + 1].tolist()
-            data = words.buffers()[2].to_pybytes() if words.buffers()[2] else b""
-            heads = [md5(data[lo:hi]).digest()[:4] for lo, hi in zip(cuts, cuts[1:])]
-            values = np.frombuffer(b"".join(heads), dtype=">u4").astype(np.uint64) % p
+            values = token_hashes(words).astype(np.uint64) % p
             table = np.empty((len(words), count), dtype=np.int32)
             for at in range(0, len(words), 256):
                 x = values[at : at + 256, None] * a
                 x += b
-                # x mod (2^31 - 1): fold the high bits onto the low ones, which
-                # leaves at most 2 * PRIME - 2, and subtract PRIME where possible
-                # (where not, the unsigned difference wraps to a huge number).
-                high = x >> shift
-                x &= p
-                x += high
-                np.subtract(x, p, out=high)
-                np.minimum(x, high, out=x)
+                reduce(x, np.empty_like(x))
                 table[at : at + 256] = x
             return table
 
@@ -72,18 +143,42 @@ def signature(tokens: Column, count: int, slab: int = 1 << 17) -> Column:
         tokens = batch.values.slice(offsets[0], offsets[-1] - offsets[0])
         offsets = offsets - offsets[0]
         out = np.full((len(batch), count), prime, dtype=np.int32)
-        for at in range(0, len(tokens), slab):
-            coded = tokens.slice(at, slab).dictionary_encode()
-            stop = at + len(coded)
-            table = mixed(coded.dictionary)
-            which = coded.indices.to_numpy()
-            row = int(np.searchsorted(offsets, at, side="right")) - 1
-            while row < len(batch) and offsets[row] < stop:
-                lo, hi = max(offsets[row], at) - at, min(offsets[row + 1], stop) - at
-                for part in range(lo, hi, 512):
-                    found = table[which[part : min(part + 512, hi)]].min(axis=0)
-                    np.minimum(out[row], found, out=out[row])
-                row += 1
+
+        def of_tokens():
+            for at in range(0, len(tokens), slab):
+                coded = tokens.slice(at, slab).dictionary_encode()
+                stop = at + len(coded)
+                table = mixed(coded.dictionary)
+                which = coded.indices.to_numpy()
+                row = int(np.searchsorted(offsets, at, side="right")) - 1
+                while row < len(batch) and offsets[row] < stop:
+                    lo, hi = max(offsets[row], at) - at, min(offsets[row + 1], stop) - at
+                    for part in range(lo, hi, 512):
+                        found = table[which[part : min(part + 512, hi)]].min(axis=0)
+                        np.minimum(out[row], found, out=out[row])
+                    row += 1
+
+        def of_runs():
+            for at in range(0, len(tokens) - run + 1, slab // 4):
+                n = min(slab // 4, len(tokens) - run + 1 - at)
+                starts = np.arange(at, at + n)
+                row = np.searchsorted(offsets, starts, side="right") - 1
+                within = starts + run <= offsets[row + 1]
+                if not within.any():
+                    continue
+                joined = pc.binary_join_element_wise(
+                    *[tokens.slice(at + k, n) for k in range(run)], " "
+                )
+                values = (token_hashes(joined).astype(np.uint64) % p)[within]
+                rows, first = np.unique(row[within], return_index=True)
+                x, high = np.empty_like(values), np.empty_like(values)
+                for k in range(count):
+                    np.multiply(values, a[k], out=x)
+                    x += b[k]
+                    reduce(x, high)
+                    out[rows, k] = np.minimum(out[rows, k], np.minimum.reduceat(x, first))
+
+        of_tokens() if run == 1 else of_runs()
         starts = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * count)
         return pa.ListArray.from_arrays(starts, pa.array(out.ravel()))
 

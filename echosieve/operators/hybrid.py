@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import sha256_hex
 from ..functions.minhash import signature, signature_text
-from ..functions.text import blank_tokens, lenient_text, word_runs, word_shingles
+from ..functions.text import blank_tokens, lenient_text, word_shingles
 from ..params import Params
 from ..workspace import Workspace
 from . import bloom
@@ -28,10 +28,8 @@ def shingles(df: DataFrame, params: Params) -> DataFrame:
 
 def fingerprints(df: DataFrame, params: Params) -> DataFrame:
     """``(pos, fp)``; rows with too few words all share the empty signature."""
-    runs = word_runs(F.col("words"), params.minhash_ngram_size)
-    signed = words(df, params).select(
-        "pos", signature(runs, params.minhash_num_perm).alias("sig")
-    )
+    sig = signature(F.col("words"), params.minhash_num_perm, run=params.minhash_ngram_size)
+    signed = words(df, params).select("pos", sig.alias("sig"))
     return signed.select("pos", sha256_hex(signature_text(F.col("sig"))).alias("fp"))
 
 

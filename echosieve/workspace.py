@@ -53,6 +53,13 @@ def marks(spark: SparkSession, folder: str) -> list[str]:
     return [f.getPath().getName() for f in store.listStatus(path)] if store.exists(path) else []
 
 
+def stamp(spark: SparkSession, folder: str, millis: int) -> None:
+    """Give the files in ``folder`` one time of modification."""
+    path, store = _at(spark, folder)
+    for file in store.listStatus(path):
+        store.setTimes(file.getPath(), millis, -1)
+
+
 class Workspace:
     """Numbered Parquet tables below one folder of the shared storage.
 

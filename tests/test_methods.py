@@ -100,6 +100,19 @@ def test_signature_over_several_slabs(spark):
     assert {r.pos: list(r.s) for r in got} == {i: models.signature(w, 20) for i, w in rows}
 
 
+def test_runs_are_signed_like_their_texts(spark):
+    """Runs of words across slabs, long ones and such of any script included."""
+    from echosieve.functions.minhash import signature
+
+    rows = [(0, []), (1, ["a"]), (2, ["a", "b"]), (3, [f"w{i % 50}" for i in range(400)]),
+            (4, ["x" * n for n in range(70)]), (5, ["é", "日本語", "😀" * 20, ""]), (6, ["b"])]
+    df = spark.createDataFrame(rows, "pos long, words array<string>").coalesce(1)
+    for run in (1, 2, 3):
+        got = df.select("pos", signature(F.col("words"), 20, run=run, slab=64).alias("s")).collect()
+        texts = {i: [" ".join(w[at:at + run]) for at in range(len(w) - run + 1)] for i, w in rows}
+        assert {r.pos: list(r.s) for r in got} == {i: models.signature(t, 20) for i, t in texts.items()}
+
+
 def test_nulls(spark):
     df = frame(spark, [(0, None), (1, "None"), (2, "x")])
     bloomy = {"bloom_capacity": 1000, "bloom_error_rate": 0.01}

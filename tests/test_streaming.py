@@ -380,3 +380,30 @@ def test_stream_with_bucketed_state(spark, work, params):
         runner.process_batch(parts[batch_id], batch_id, params, moved)
     want = sorted(r.doc_id for r in deduplicate(docs, params).select("doc_id").collect())
     assert kept(spark, moved) == want
+
+
+def test_registered_streams_deliver_by_many_tasks(spark, work):
+    from catalog import queries
+    from echosieve.workspace import _at, marks
+
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    docs = spark.read.parquet(DOCS)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        inbox = work.path("inbox")
+        files = queries._delivered(docs.filter("doc_id not between 10 and 49"), inbox, 50, [])
+        names = [[n for n in marks(spark, f"{inbox}/{at}") if n.startswith("part-")] for at in range(4)]
+        times = []
+        for at in range(4):
+            path, store = _at(spark, f"{inbox}/{at}")
+            times.append({f.getModificationTime() for f in store.listStatus(path)})
+        running = queries.stream_chunk_running(spark, DOCS.rsplit("/", 1)[0]).orderBy("chunk_index")
+        sizes = [r.processed_total for r in running.collect()]
+        unnumbered = queries.stream_unnumbered_kept(spark, DOCS.rsplit("/", 1)[0]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert files > 1 and [len(n) for n in names] == [files] * 4
+    assert [len(t) for t in times] == [1] * 4 and sorted(times, key=min) == times
+    assert sizes == [50] * 4
+    firsts = docs.groupBy("text").agg(F.min("doc_id").alias("doc_id")).collect()
+    assert sorted(r.doc_id for r in unnumbered) == sorted(r.doc_id for r in firsts)
