@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -527,10 +529,15 @@ def hybrid_fingerprints(spark, sf):
 
 
 def method_overlap(spark, sf):
+    """The methods do not depend on each other, so they run side by side."""
     names = ("exact", "minhash", "bloomfilter", "minhash_bloom_hybrid")
-    return overlap.method_overlap(
-        {name: _Run(spark, sf, method=name, **LARGE).dropped() for name in names}
-    )
+    runs = {name: _Run(spark, sf, method=name, **LARGE) for name in names}
+    with ThreadPoolExecutor(len(runs)) as pool:
+        jobs = {
+            name: pool.submit(inheritable_thread_target(spark)(run.dropped))
+            for name, run in runs.items()
+        }
+    return overlap.method_overlap({name: job.result() for name, job in jobs.items()})
 
 
 # --- streams -------------------------------------------------------------------------

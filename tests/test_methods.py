@@ -242,3 +242,19 @@ def test_output_in_corpus_order(spark, docs):
 
     ids = [r.doc_id for r in in_order(deduplicate(docs.repartition(5), Params()), Params()).collect()]
     assert ids == sorted(ids)
+
+
+def test_method_overlap_runs_its_methods_side_by_side(spark, monkeypatch):
+    from threading import Barrier
+
+    from catalog import queries
+
+    all_there, one = Barrier(4, timeout=30), queries._Run.dropped
+
+    def dropped(run):
+        all_there.wait()
+        return one(run)
+
+    monkeypatch.setattr(queries._Run, "dropped", dropped)
+    rows = queries.method_overlap(spark, "/root/testdata/sf0.001").collect()
+    assert any(r.by_exact and r.by_minhash for r in rows)
