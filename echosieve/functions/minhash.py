@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..params import BandShape
+from .words import code_point_classes, word_cutter
 
 # Hash family h -> (a*h + b) mod PRIME, with a and b drawn in
 # turn from the generator x -> MULTIPLIER*x mod PRIME started at 1.
@@ -95,19 +96,79 @@ def token_hasher():
     return token_hashes
 
 
+def _mixer(count: int):
+    """Functions: ``reduce(x, high)``, x modulo PRIME as uint32, with x and high as its room, and
+    ``mixed(words)``, a row of ``count`` hash values for each string of an Arrow array."""
+    pairs = coefficients(count)
+    prime = PRIME
+    token_hashes = token_hasher()
+
+    def reduce(x, high):
+        import numpy as np
+
+        # x mod (2^31 - 1): fold the high bits onto the low ones, which
+        # leaves at most 2 * PRIME - 2, and subtract PRIME where possible
+        # (where not, the unsigned difference wraps to a huge number).
+        np.right_shift(x, np.uint64(31), out=high)
+        x &= np.uint64(prime)
+        x += high
+        low = x.astype(np.uint32)
+        return np.minimum(low, low - np.uint32(prime))
+
+    def mixed(words):
+        import numpy as np
+
+        a = np.array([p[0] for p in pairs], dtype=np.uint64)
+        b = np.array([p[1] for p in pairs], dtype=np.uint64)
+        values = token_hashes(words).astype(np.uint64) % np.uint64(prime)
+        table = np.empty((len(words), count), dtype=np.int32)
+        for at in range(0, len(words), 256):
+            x = values[at : at + 256, None] * a
+            x += b
+            table[at : at + 256] = reduce(x, np.empty_like(x))
+        return table
+
+    return reduce, mixed
+
+
+def _of_tokens(mixed):
+    """Function: lower the minima ``out[row]`` of each row by those of its tokens, which begin at
+    ``offsets[row]``.  Every distinct token is hashed once and then looked up by the rows that
+    hold it."""
+
+    def lower(out, offsets, tokens):
+        import numpy as np
+
+        coded = tokens.dictionary_encode()
+        table = mixed(coded.dictionary)
+        # The distinct tokens of each row.
+        rows = np.repeat(np.arange(len(offsets) - 1) * len(table), np.diff(offsets))
+        held = np.sort(rows + coded.indices.to_numpy())
+        held = held[np.append(True, held[1:] != held[:-1])] if len(held) else held
+        bounds = np.searchsorted(held, np.arange(len(offsets)) * len(table))
+        which = held - np.repeat(np.arange(len(offsets) - 1) * len(table), np.diff(bounds))
+        for row, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+            for part in range(lo, hi, 512):
+                found = table[which[part : min(part + 512, hi)]].min(axis=0)
+                np.minimum(out[row], found, out=out[row])
+
+    return lower
+
+
 def signature(tokens: Column, count: int, run: int = 1, slab: int = 1 << 17) -> Column:
     """``count`` minima over a set of tokens, or of runs of ``run`` tokens joined by a blank;
     PRIME each when it is empty.
 
-    A token hash is the first 32 bits of the MD5 modulo PRIME.  Repeats do not matter.  This is
-    the one vectorised Python step: an Arrow batch arrives as one flat string array with row
-    offsets and is worked off in slabs of ``slab`` tokens, so memory stays bounded however long
-    a document is.  Within a slab every distinct token is hashed once and then looked up by the
-    rows that hold it.  Runs hardly ever repeat, so each is hashed where it stands.
+    A token hash is the first 32 bits of the MD5 modulo PRIME.  Repeats do not matter.  An Arrow
+    batch arrives as one flat string array with row offsets and is worked off in slabs of
+    ``slab`` tokens, so memory stays bounded however long a document is.  Within a slab every
+    distinct token is hashed once.  Runs hardly ever repeat, so each is hashed where it stands.
     """
     pairs = coefficients(count)
     prime = PRIME
     token_hashes = token_hasher()
+    reduce, mixed = _mixer(count)
+    lower = _of_tokens(mixed)
 
     @F.arrow_udf("array<int>")
     def minima(batch):
@@ -115,30 +176,6 @@ def signature(tokens: Column, count: int, run: int = 1, slab: int = 1 << 17) ->
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        a = np.array([p[0] for p in pairs], dtype=np.uint64)
-        b = np.array([p[1] for p in pairs], dtype=np.uint64)
-        p, shift = np.uint64(prime), np.uint64(31)
-
-        def reduce(x, high):
-            # x mod (2^31 - 1): fold the high bits onto the low ones, which
-            # leaves at most 2 * PRIME - 2, and subtract PRIME where possible
-            # (where not, the unsigned difference wraps to a huge number).
-            np.right_shift(x, shift, out=high)
-            x &= p
-            x += high
-            np.subtract(x, p, out=high)
-            np.minimum(x, high, out=x)
-
-        def mixed(words):
-            values = token_hashes(words).astype(np.uint64) % p
-            table = np.empty((len(words), count), dtype=np.int32)
-            for at in range(0, len(words), 256):
-                x = values[at : at + 256, None] * a
-                x += b
-                reduce(x, np.empty_like(x))
-                table[at : at + 256] = x
-            return table
-
         offsets = batch.offsets.to_numpy().astype(np.int64)
         tokens = batch.values.slice(offsets[0], offsets[-1] - offsets[0])
         offsets = offsets - offsets[0]
@@ -146,17 +183,10 @@ def signature(tokens: Column, count: int, run: int = 1, slab: int = 1 << 17) ->
 
         def of_tokens():
             for at in range(0, len(tokens), slab):
-                coded = tokens.slice(at, slab).dictionary_encode()
-                stop = at + len(coded)
-                table = mixed(coded.dictionary)
-                which = coded.indices.to_numpy()
-                row = int(np.searchsorted(offsets, at, side="right")) - 1
-                while row < len(batch) and offsets[row] < stop:
-                    lo, hi = max(offsets[row], at) - at, min(offsets[row + 1], stop) - at
-                    for part in range(lo, hi, 512):
-                        found = table[which[part : min(part + 512, hi)]].min(axis=0)
-                        np.minimum(out[row], found, out=out[row])
-                    row += 1
+                part = tokens.slice(at, slab)
+                first = int(np.searchsorted(offsets, at, side="right")) - 1
+                last = int(np.searchsorted(offsets, at + len(part), side="left"))
+                lower(out[first:last], np.clip(offsets[first:last + 1] - at, 0, len(part)), part)
 
         def of_runs():
             for at in range(0, len(tokens) - run + 1, slab // 4):
@@ -169,14 +199,14 @@ def signature(tokens: Column, count: int, run: int = 1, slab: int = 1 << 17) ->
                 joined = pc.binary_join_element_wise(
                     *[tokens.slice(at + k, n) for k in range(run)], " "
                 )
-                values = (token_hashes(joined).astype(np.uint64) % p)[within]
+                values = (token_hashes(joined).astype(np.uint64) % np.uint64(prime))[within]
                 rows, first = np.unique(row[within], return_index=True)
                 x, high = np.empty_like(values), np.empty_like(values)
-                for k in range(count):
-                    np.multiply(values, a[k], out=x)
-                    x += b[k]
-                    reduce(x, high)
-                    out[rows, k] = np.minimum(out[rows, k], np.minimum.reduceat(x, first))
+                for k, (a, b) in enumerate(pairs):
+                    np.multiply(values, np.uint64(a), out=x)
+                    x += np.uint64(b)
+                    least = np.minimum.reduceat(reduce(x, high), first)
+                    out[rows, k] = np.minimum(out[rows, k], least)
 
         of_tokens() if run == 1 else of_runs()
         starts = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * count)
@@ -185,6 +215,63 @@ def signature(tokens: Column, count: int, run: int = 1, slab: int = 1 << 17) ->
     return minima(tokens)
 
 
+def _text_minima(count: int, slab: int):
+    """Function: the minima of an Arrow array of texts, a row each."""
+    prime = PRIME
+    cut = word_cutter(code_point_classes(), slab)
+    lower = _of_tokens(_mixer(count)[1])
+
+    def minima(texts):
+        import numpy as np
+
+        out = np.full((len(texts), count), prime, dtype=np.int32)
+        for first, offsets, tokens in cut(texts):
+            lower(out[first:], offsets, tokens)
+        return out
+
+    return minima
+
+
+def text_signature(text: Column, count: int, slab: int = 1 << 19) -> Column:
+    """``signature`` of the words and marks of a text, which are cut there as well: the JVM sends
+    texts, not words.  A slab is so many bytes of text."""
+    minima = _text_minima(count, slab)
+
+    @F.arrow_udf("array<int>")
+    def signed(texts):
+        import numpy as np
+        import pyarrow as pa
+
+        starts = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * count)
+        return pa.ListArray.from_arrays(starts, pa.array(minima(texts).ravel()))
+
+    return signed(text)
+
+
+def text_buckets(text: Column, shape: BandShape, slab: int = 1 << 19) -> Column:
+    """The ``bucket_keys`` of the signature of a text; hashes beyond the last band are not needed."""
+    bands, rows = shape.bands, shape.rows
+    minima = _text_minima(bands * rows, slab)
+
+    @F.arrow_udf("array<binary>")
+    def keys(texts):
+        from hashlib import md5
+
+        import pyarrow as pa
+
+        names = [f"{band}:" for band in range(bands)]
+        found = []
+        for sig in minima(texts).tolist():
+            values = list(map(str, sig))
+            found.append([
+                md5((name + ",".join(values[at:at + rows])).encode()).digest()
+                for name, at in zip(names, range(0, bands * rows, rows))
+            ])
+        return pa.array(found, pa.list_(pa.binary()))
+
+    return keys(text)
+
+
 def signature_text(sig: Column) -> Column:
     return F.array_join(sig.cast("array<string>"), ",")
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.minhash import bucket_keys, signature
-from ..functions.text import required_text, words_and_marks
+from ..functions.minhash import text_buckets, text_signature
+from ..functions.text import required_text
 from ..params import Params
 from ..workspace import Workspace
 from .first_match import Selection, select_first
@@ -16,16 +16,16 @@ from .survivors import text_rows
 def signatures(df: DataFrame, params: Params) -> DataFrame:
     """``(pos, sig)``"""
     rows = text_rows(df, required_text(params.text_column), params)
-    tokens = words_and_marks(F.col("text"))
-    return rows.select("pos", signature(tokens, params.minhash_num_hashes).alias("sig"))
+    return rows.select(
+        "pos", text_signature(F.col("text"), params.minhash_num_hashes).alias("sig")
+    )
 
 
 def buckets(df: DataFrame, params: Params, work: Workspace) -> DataFrame:
     """Written ``(pos, buckets)``, so that signatures are computed once."""
-    shape = params.bands()
+    rows = text_rows(df, required_text(params.text_column), params)
     return work.table(
-        signatures(df, params).select("pos", bucket_keys(F.col("sig"), shape).alias("buckets")),
-        "buckets",
+        rows.select("pos", text_buckets(F.col("text"), params.bands()).alias("buckets")), "buckets"
     )
 
 
