@@ -17,8 +17,10 @@ their full sets.  The rest, unlike the centre, branches on, at any depth.
   document's candidates the most alike is tried first.  A large group of near copies is joined
   in a few linear rounds, not by its pairs.
 * Nodes of several trees with one and the same largest group are one family, which is compared
-  once.  Its tiles, bounded blocks of alike documents against blocks of the whole family, verify
-  links on the spot and return only such as join two groups: no pair leaves a task otherwise.
+  once.  Its tiles, bounded blocks of alike documents against blocks of the whole family, compare
+  sets on the spot and return only links that join two groups: no pair leaves a task otherwise.
+  The sets go there as 31-bit hashes, straight from the texts; what is found is confirmed on the
+  full sets, and if any of it fails, all tiles are compared again by those.
   What grows with the square of a family is the arithmetic in its tiles, where texts of a family
   are only just not alike; neither rows nor memory do.
 * At the threshold, a tree finds a pair in its first level with a chance of 1 - 1/e, and the
@@ -47,6 +49,7 @@ SMALL_TILE = 512  # documents of an open node that are all compared
 ALIKE_SHARE = 0.45
 SKETCH_LOSS = 1.5e-5  # chance that the sketches of a pair at the threshold rule it out
 BLOCK_SHINGLES = 1 << 19  # of alike documents in a tile; of the family it holds four times that
+NARROW = 0x7FFFFFFF  # of a shingle's hash, the bits that are sent to a tile
 BROADCAST_BYTES = 16 << 20
 SPACES = r"[\x20\x09-\x0D]+"
 ROWS = "node long, id long, n int, s0 long, s1 long, s2 long, s3 long"
@@ -253,8 +256,9 @@ def _centred(still: DataFrame, percent: int, most: int, work: Workspace) -> Data
     )
 
 
-def _tiles(family: DataFrame, sets: DataFrame, most: int, work: Workspace) -> DataFrame:
-    """``(top, p, q, alike_side, id, component, alike, sh)``: the blocks that meet in each tile.
+def _tiles(family: DataFrame, most: int, work: Workspace) -> DataFrame:
+    """``(id, places)``: the tiles that a document goes to, as structs ``(top, p, q, component,
+    alike, alike_side)``.
 
     ``family``: ``(top, id, component, alike, n)``.  A family is dealt into blocks of about
     ``BLOCK_SHINGLES`` shingles of alike documents, and of four times that of all of them.
@@ -275,7 +279,8 @@ def _tiles(family: DataFrame, sets: DataFrame, most: int, work: Workspace) -> Da
     right = dealt.withColumn("p", every("ps")).select(
         *columns, "p", block("qs").alias("q"), F.lit(False).alias("alike_side")
     )
-    return left.unionByName(right).join(sets, "id")
+    places = F.struct("top", "p", "q", "component", "alike", "alike_side")
+    return left.unionByName(right).groupBy("id").agg(F.collect_list(places).alias("places"))
 
 
 def _verified(percent: int):
@@ -384,15 +389,34 @@ class _Join:
             F.first("component").alias("component"), F.max("alike").alias("alike"),
             F.first("n").alias("n"),
         ), "families")
-        sets = self.sets(self.work.table(family.select("id").distinct(), "ids"))
-        tiles = _tiles(family, sets, self.most, self.work)
-        links = tiles.groupBy("top", "p", "q").applyInArrow(
+        places = self.work.table(_tiles(family, self.most, self.work), "places")
+        links = self.work.table(self.linked(places, narrow=True).distinct(), "links")
+        if links.isEmpty():
+            return
+        if self.verify(links) < links.count():  # unlike shingles share their narrow hash
+            self.merge(self.work.table(self.linked(places, narrow=False), "links"))
+
+    def linked(self, places: DataFrame, narrow: bool) -> DataFrame:
+        """Links ``(a, b)`` that join groups within a tile.  ``narrow``: by 31 bits of the hashes.
+
+        Narrow hashes halve what is shuffled.  They can only add to what two sets share, so no
+        link is lost as long as all that are found hold on the full sets.
+        """
+        sh = shingles(F.col("text"), self.shingle)
+        if narrow:
+            sh = F.transform(sh, lambda x: x.bitwiseAND(F.lit(NARROW)).cast("int"))
+        sent = may_broadcast(places, 64, self.most)
+        # Hashed where the text lies, once, and dealt to the tiles from there.
+        tiles = self.texts.join(sent, "id").select("id", sh.alias("sh"), "places").select(
+            "id", "sh", F.explode("places").alias("place")
+        ).select("id", "sh", "place.*")
+        return tiles.groupBy("top", "p", "q").applyInArrow(
             _verified(self.percent), "a long, b long"
         )
-        self.merge(self.work.table(links, "links"))
 
-    def verify(self, pairs: DataFrame) -> None:
-        """Join the groups of the written pairs ``(a, b)`` that are links on their full sets."""
+    def verify(self, pairs: DataFrame) -> int:
+        """Join the groups of the written pairs ``(a, b)`` that are links on their full sets;
+        returns how many are."""
         sets = self.sets(self.work.table(
             pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids"
         ))
@@ -404,8 +428,9 @@ class _Join:
         )
         links = self.work.table(joined.filter(
             F.col("common") * 100 >= (F.col("both") - F.col("common")) * self.percent
-        ).select("a", "b"), "links")
+        ).select("a", "b").distinct(), "links")
         self.merge(links)
+        return links.count()
 
     def merge(self, links: DataFrame) -> None:
         """Contract ``links`` to links between groups, and join those groups."""

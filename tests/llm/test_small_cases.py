@@ -527,6 +527,45 @@ def test_families_around_the_threshold(spark, work, size, monkeypatch):
         assert spark.read.parquet(table).count() <= 40 * size, table
 
 
+@pytest.mark.parametrize("narrow", [near_dedup.NARROW, 0x3F])
+def test_tiles_take_narrow_sets_and_full_sets_confirm(spark, work, monkeypatch, narrow):
+    """With six bits of a hash hardly any link of a tile holds, and still none is lost; only the
+    sets of the links that were found are written, not those of whole families."""
+    import random
+
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for at in rng.sample(range(200), 4):
+            own[at] = f"o{i}x{at}"
+        rows.append((i, " ".join(own)))
+    monkeypatch.setattr(near_dedup, "NARROW", narrow)
+    ids, links, again = [], [], []
+    sets, verify, linked = near_dedup._Join.sets, near_dedup._Join.verify, near_dedup._Join.linked
+    compare, inside = near_dedup._Join.compare, []
+
+    def recorded(self, centred):
+        inside.append(1)
+        compare(self, centred)
+        inside.pop()
+
+    monkeypatch.setattr(near_dedup._Join, "compare", recorded)
+    monkeypatch.setattr(near_dedup._Join, "sets", lambda self, x: (
+        inside and ids.append(x.count()), sets(self, x))[1])
+    monkeypatch.setattr(near_dedup._Join, "verify", lambda self, x: (
+        inside and links.append(x.count()), verify(self, x))[1])
+    monkeypatch.setattr(near_dedup._Join, "linked", lambda self, x, narrow: (
+        again.append(narrow), linked(self, x, narrow))[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_duplicates(df, work)
+    rows_got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()), key=repr)
+    assert rows_got == near_groups(rows)
+    assert again and (False in again) == (narrow == 0x3F)
+    assert len(ids) == len(links) and sum(ids) <= 2 * sum(links)
+
+
 @pytest.mark.parametrize("percent", [50, 80])
 def test_near_duplicates_at_other_similarities(spark, work, percent):
     rows = []
