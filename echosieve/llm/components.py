@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from echosieve.workspace import Workspace
 
+LABEL_BYTES = 24  # of a row of labels that is sent
 
-def components(links: DataFrame, work: Workspace) -> DataFrame:
+
+def components(links: DataFrame, work: Workspace, broadcast_bytes: int = 0) -> DataFrame:
     """``(id, component)`` for every id of the written ``links(a, b)``: the least id in reach.
 
     Least-label steps, each followed by a jump to the label's label, so a chain of L links
-    takes about log L rounds; every round is a written table.  Links to itself are harmless.
+    takes about log L rounds; every round is a written table.  It is done as soon as no link's
+    ends differ.  Labels of at most ``broadcast_bytes`` are sent to the links, which then are
+    shuffled once a round.  Links to itself are harmless.
     """
     both = links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionAll(
         links.select(F.col("b").alias("id"), F.col("a").alias("other"))
@@ -20,23 +24,27 @@ def components(links: DataFrame, work: Workspace) -> DataFrame:
     labels = work.table(
         both.groupBy("id").agg(F.least("id", F.min("other")).alias("component")), "labels"
     )
+    sent = labels.count() * LABEL_BYTES <= broadcast_bytes  # every round has as many
+
+    def as_sent(labels: DataFrame) -> DataFrame:
+        return F.broadcast(labels) if sent else labels
+
     while True:
         heard = (
-            both.join(labels.select(F.col("id").alias("other"), "component"), "other")
+            both.join(as_sent(labels.select(F.col("id").alias("other"), "component")), "other")
             .groupBy("id").agg(F.min("component").alias("heard"))
         )
-        stepped = labels.join(heard, "id").select(
-            "id", F.least("component", "heard").alias("component"),
-            (F.col("heard") < F.col("component")).alias("moved"),
+        stepped = heard.join(as_sent(labels), "id").select(
+            "id", F.least("component", "heard").alias("component")
         )
         targets = labels.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        jumped = work.table(
-            stepped.join(targets, "component").select(
-                "id", F.least("component", "next").alias("component"),
-                (F.col("moved") | (F.col("next") < F.col("component"))).alias("moved"),
+        labels = work.table(
+            stepped.join(as_sent(targets), "component").select(
+                "id", F.least("component", "next").alias("component")
             ),
             "labels",
         )
-        labels = jumped.select("id", "component")
-        if jumped.filter("moved").isEmpty():
+        ends = [labels.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
+        apart = links.join(as_sent(ends[0]), "a").join(as_sent(ends[1]), "b").filter("ca != cb")
+        if apart.isEmpty():
             return labels

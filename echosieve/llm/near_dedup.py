@@ -33,11 +33,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from math import ceil, comb, log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echosieve.llm.common import ascii_lower, let, may_broadcast, same
-from echosieve.llm.components import components
+from echosieve.llm.components import LABEL_BYTES, components
 from echosieve.workspace import Workspace
 
 SHINGLE, PERCENT = 3, 85
@@ -218,7 +218,14 @@ def _exhaustive(rows: DataFrame, percent: int) -> DataFrame:
     return _pairs(rows.alias("x").join(rows.alias("y"), wanted & _alike("x", "y", percent)))
 
 
-def _with_leaders(rows: DataFrame, percent: int, turn: int) -> DataFrame:
+def _with_company(rows: DataFrame) -> DataFrame:
+    """``rows`` plus ``company``: how many documents a row's document meets over all its nodes."""
+    return rows.withColumn("company", F.sum("cnt").over(Window.partitionBy("id")))
+
+
+def _with_leaders(
+    rows: DataFrame, percent: int, turn: int, most: int, work: Workspace
+) -> DataFrame:
     """``(b, a)``: for each row of a large node, the most alike of the leaders it meets.
 
     In the first ``turn`` a node's leader is the document with the most company over all its
@@ -226,14 +233,17 @@ def _with_leaders(rows: DataFrame, percent: int, turn: int) -> DataFrame:
     no token of its own.  Later a hash draws about ``LEADERS`` leaders per node.
     """
     if turn == 0:
-        company = rows.groupBy("id").agg(F.sum("cnt").alias("company"))
-        leaders = rows.join(company, "id").groupBy("node").agg(F.max(
+        leaders = _with_company(rows).groupBy("node").agg(F.max(
             F.struct("company", F.xxhash64("id").alias("h"), "id", "n", "component", *SKETCH)
         ).alias("lead")).select("node", "lead.*")
     else:
         draw = F.pmod(F.xxhash64(F.lit(turn), "node", "id"), F.lit(1 << 30))
         leaders = rows.filter(draw * F.col("cnt") < F.lit(LEADERS << 30))
-    met = rows.alias("x").join(leaders.alias("y"), "node").filter(
+    # Sent while they are few, so that a large node is not brought into one task.
+    sent = may_broadcast(work.table(
+        leaders.select("node", "id", "n", "component", *SKETCH), "leaders"
+    ), 72, most)
+    met = rows.alias("x").join(sent.alias("y"), "node").filter(
         (F.col("x.component") != F.col("y.component")) & _alike("x", "y", percent)
     )
     return met.groupBy(F.col("x.id").alias("b")).agg(
@@ -244,8 +254,7 @@ def _with_leaders(rows: DataFrame, percent: int, turn: int) -> DataFrame:
 def _centred(still: DataFrame, percent: int, most: int, work: Workspace) -> DataFrame:
     """Rows of open nodes with ``alike``: whether they are like the centre of their node, the
     document of its largest group that has the most company over all nodes, or in a small one."""
-    company = still.groupBy("id").agg(F.sum("cnt").alias("company"))
-    centres = still.filter("component = top").join(company, "id").groupBy("node").agg(
+    centres = _with_company(still).filter("component = top").groupBy("node").agg(
         F.max(F.struct("company", F.xxhash64("id").alias("h"), "n", *SKETCH)).alias("c")
     ).select("node", "c.n", *[f"c.{s}" for s in SKETCH])
     share = ALIKE_SHARE * percent / 100
@@ -370,16 +379,17 @@ class _Join:
             F.max_by("component", F.struct("own", "component")).alias("top"),
             (F.sum("own") - F.max("own")).alias("outside"),
         ).filter("outside > 0")
-        return self.work.table(grouped.join(nodes, "node"), "open-nodes")
+        sent = may_broadcast(self.work.table(nodes, "open"), 24, self.most)
+        return self.work.table(grouped.join(sent, "node"), "open-nodes")
 
     def apart(self, pairs: DataFrame) -> DataFrame:
         both = _labelled(_labelled(pairs, self.labels, "a", "ca"), self.labels, "b", "cb")
         return both.filter("ca != cb").drop("ca", "cb")
 
     def sets(self, ids: DataFrame) -> DataFrame:
-        """``(id, sh)`` of the written distinct ``ids``."""
+        """``(id, sh)`` of the texts with one of ``ids``, which may repeat."""
         wanted = may_broadcast(ids, 16, self.most)
-        return self.work.table(self.texts.join(wanted, "id").select(
+        return self.work.table(self.texts.join(wanted, "id", "left_semi").select(
             "id", shingles(F.col("text"), self.shingle).alias("sh")
         ), "sets")
 
@@ -417,9 +427,9 @@ class _Join:
     def verify(self, pairs: DataFrame) -> int:
         """Join the groups of the written pairs ``(a, b)`` that are links on their full sets;
         returns how many are."""
-        sets = self.sets(self.work.table(
-            pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids"
-        ))
+        sets = self.sets(
+            pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id")))
+        )
         right = sets.select(F.col("id").alias("b"), F.col("sh").alias("sb"))
         left = sets.select(F.col("id").alias("a"), F.col("sh").alias("sa"))
         joined = pairs.join(right, "b").join(left, "a").select(
@@ -437,19 +447,21 @@ class _Join:
         both = _labelled(_labelled(links, self.labels, "a", "ca"), self.labels, "b", "cb")
         between = self.work.table(both.filter("ca != cb").select(
             F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")
-        ).distinct(), "group-links")
+        ), "group-links")
         if between.isEmpty():
             return
-        found = components(between, self.work)
+        found = components(between, self.work, self.most)
         if self.labels is None:
-            self.labels = found
+            self.labels = may_broadcast(found, LABEL_BYTES, self.most)
             return
+        found = may_broadcast(found, LABEL_BYTES, self.most)
         moved = self.labels.join(
             found.select(F.col("id").alias("component"), F.col("component").alias("_to")),
             "component", "left",
         ).select("id", F.coalesce("_to", "component").alias("component"))
         fresh = found.join(self.labels.select("id"), "id", "left_anti")
-        self.labels = self.work.table(moved.unionByName(fresh), "groups")
+        groups = self.work.table(moved.unionByName(fresh), "groups")
+        self.labels = may_broadcast(groups, LABEL_BYTES, self.most)
 
     def settle(self, pairs: DataFrame) -> None:
         """Verify ``pairs(a, b, off)``: each document's most alike first, then all still apart."""
@@ -507,7 +519,9 @@ def near_duplicates(
     rounds = LEADER_ROUNDS
     while True:
         for turn in range(rounds):
-            best = work.table(_with_leaders(join.grouped(rows), percent, turn), "led")
+            best = work.table(
+                _with_leaders(join.grouped(rows), percent, turn, broadcast_bytes, work), "led"
+            )
             if best.isEmpty():
                 break
             join.verify(best)

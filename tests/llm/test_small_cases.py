@@ -581,6 +581,34 @@ def test_near_duplicates_at_other_similarities(spark, work, percent):
     assert rows_got == want
 
 
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_components_write_no_round_that_changes_nothing(spark, work, most):
+    """A star is done after its first round; with labels that are sent, a round has one shuffle."""
+    from echosieve.llm.components import components
+
+    def found(pairs):
+        links = work.table(spark.createDataFrame(pairs, "a long, b long"), "links")
+        before = len(work.tables)
+        got = components(links, work, most)
+        return {r["id"]: r["component"] for r in got.collect()}, len(work.tables) - before
+
+    star, tables = found([(50, i) for i in range(100)] + [(50, 3)])
+    assert star == dict.fromkeys(range(100), 0) and tables == 2
+    chain, tables = found([(i, i + 1) for i in range(40)] + [(90, 91), (91, 91)])
+    assert chain == dict.fromkeys(range(41), 0) | {90: 90, 91: 90} and tables < 12
+
+
+def test_near_duplicates_write_no_ids_and_send_leaders(spark, work):
+    """Ids of pairs go to the texts as they are, and the few leaders to the rows of their nodes."""
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join([*base[:99], f"o{i}"])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_duplicates(df, work)
+    assert {r["component_id"] for r in got.collect()} == {0}
+    names = [t.rsplit("-", 1)[1] for t in work.tables]
+    assert "ids" not in names and "leaders" in names
+
+
 def test_least_agreeing_follows_the_similarity():
     assert [near_dedup.least_agreeing(p) for p in (50, 80, 85, 100)] == [18, 38, 42, 64]
 
