@@ -48,12 +48,11 @@ def features(text: Column) -> Column:
     """Struct of hashed words and beginnings, the number of words, and the shape counts."""
     tokens = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t != "")
 
-    def count(hits: Column) -> Column:
-        return F.size(F.filter(hits, lambda x: x))
-
     def of(t: Column) -> Column:
-        letters = F.transform(t, lambda x: F.regexp_replace(F.lower(x), r"[^\p{L}]+", ""))
-        return let(letters, lambda w: let(
+        # One pattern for all words of a text: they hold no blank, so the pieces are theirs in
+        # order.  A text without words has one empty piece, which counts for nothing.
+        bare = F.regexp_replace(F.lower(F.array_join(t, " ")), r"[^\p{L} ]+", "")
+        return let(F.split(bare, " "), lambda w: let(
             F.transform(F.filter(w, lambda x: x != ""), lambda x: _bucket(x)), lambda words: F.struct(
                 words.alias("words"),
                 F.transform(
@@ -61,11 +60,13 @@ def features(text: Column) -> Column:
                     lambda x: _bucket(F.left(x, F.lit(PREFIX)), F.lit("beginning")),
                 ).alias("prefixes"),
                 F.size(t).alias("n"),
-                count(F.transform(t, lambda x: (F.upper(x) == x) & (F.lower(x) != x)
-                                  & (F.length(x) > 2))).alias("caps"),
-                count(F.zip_with(t, w, lambda x, y: F.length(x) - F.length(y) > 1)).alias("symbols"),
-                count(F.transform(t, lambda x: x == "|")).alias("bars"),
-                count(F.transform(t, lambda x, i: (i > 0) & (
+                F.size(F.filter(t, lambda x: (F.length(x) > 2) & (F.upper(x) == x)
+                                & (F.lower(x) != x))).alias("caps"),
+                F.size(F.filter(
+                    F.zip_with(t, w, lambda x, y: F.length(x) - F.length(y) > 1), lambda x: x
+                )).alias("symbols"),
+                F.size(F.filter(t, lambda x: x == "|")).alias("bars"),
+                F.size(F.filter(t, lambda x, i: (i > 0) & (
                     x == t[F.greatest(i - 1, F.lit(0))]))).alias("repeats"),
                 (F.size(words) - F.size(F.array_distinct(words))).alias("alike"),
             )

@@ -613,6 +613,28 @@ def test_least_agreeing_follows_the_similarity():
     assert [near_dedup.least_agreeing(p) for p in (50, 80, 85, 100)] == [18, 38, 42, 64]
 
 
+def test_features_take_letters_from_whole_texts(spark):
+    """One pattern a text instead of one a word, and the words stay in line with it."""
+    import re
+
+    texts = ["", " ", None, "  a  b ", "ABC 'Abc' ABC! x", "| || | -- a-b|c", "don't re-enter",
+             "\t\nfoo\x0bBAR\x0cbaz\rQUX", "sentences sentences sentence", "(((x))) y1 2z 33"]
+    column = quality.features(F.col("text"))
+    assert "regexp_replace(lower(array_join(" in str(column)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    for r in df.select("text", column.alias("f")).collect():
+        t = (r["text"] or "").split()
+        w = [re.sub("[^a-z]", "", x.lower()) for x in t]
+        f = r["f"]
+        assert (f["n"], len(f["words"])) == (len(t), sum(x != "" for x in w))
+        assert len(f["prefixes"]) == sum(len(x) > quality.PREFIX for x in w)
+        assert f["symbols"] == sum(len(x) - len(y) > 1 for x, y in zip(t, w))
+        assert f["caps"] == sum(x.upper() == x != x.lower() and len(x) > 2 for x in t)
+        assert f["bars"] == t.count("|")
+        assert f["repeats"] == sum(a == b for a, b in zip(t, t[1:]))
+        assert f["alike"] == len(f["words"]) - len(set(f["words"]))
+
+
 def test_quality(spark, docs, none, work):
     labels = spark.createDataFrame(
         [(1, 1, 0), (2, 1, 0), (2, None, 1), (None, 0, 0), (8, 0, None)], "doc_id long, quality int, toxic int")
