@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from echosieve.llm.common import few_tasks
 from echosieve.workspace import Workspace
 
 LABEL_BYTES = 24  # of a row of labels that is sent
@@ -18,13 +19,14 @@ def components(links: DataFrame, work: Workspace, broadcast_bytes: int = 0) -> D
     ends differ.  Labels of at most ``broadcast_bytes`` are sent to the links, which then are
     shuffled once a round.  Links to itself are harmless.
     """
+    ids = 2 * links.count()  # at most
     both = links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionAll(
         links.select(F.col("b").alias("id"), F.col("a").alias("other"))
     )
-    labels = work.table(
-        both.groupBy("id").agg(F.least("id", F.min("other")).alias("component")), "labels"
-    )
-    sent = labels.count() * LABEL_BYTES <= broadcast_bytes  # every round has as many
+    least = both.groupBy("id").agg(F.least("id", F.min("other")).alias("component"))
+    labels = work.table(few_tasks(least, ids, LABEL_BYTES), "labels")
+    ids = labels.count()  # in every round
+    sent = ids * LABEL_BYTES <= broadcast_bytes
 
     def as_sent(labels: DataFrame) -> DataFrame:
         return F.broadcast(labels) if sent else labels
@@ -38,12 +40,10 @@ def components(links: DataFrame, work: Workspace, broadcast_bytes: int = 0) -> D
             "id", F.least("component", "heard").alias("component")
         )
         targets = labels.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        labels = work.table(
-            stepped.join(as_sent(targets), "component").select(
-                "id", F.least("component", "next").alias("component")
-            ),
-            "labels",
+        jumped = stepped.join(as_sent(targets), "component").select(
+            "id", F.least("component", "next").alias("component")
         )
+        labels = work.table(few_tasks(jumped, ids, LABEL_BYTES), "labels")
         ends = [labels.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
         apart = links.join(as_sent(ends[0]), "a").join(as_sent(ends[1]), "b").filter("ca != cb")
         if apart.isEmpty():

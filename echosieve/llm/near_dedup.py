@@ -36,7 +36,7 @@ from math import ceil, comb, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from echosieve.llm.common import ascii_lower, let, may_broadcast, same
+from echosieve.llm.common import ascii_lower, few_tasks, let, may_broadcast, same
 from echosieve.llm.components import LABEL_BYTES, components
 from echosieve.workspace import Workspace
 
@@ -54,6 +54,8 @@ BROADCAST_BYTES = 16 << 20
 SPACES = r"[\x20\x09-\x0D]+"
 ROWS = "node long, id long, n int, s0 long, s1 long, s2 long, s3 long"
 SKETCH = ["s0", "s1", "s2", "s3"]
+# Bytes of a row: a node's, a document's with its signature, one of a few numbers, two sets.
+ROW_BYTES, SIGNED_BYTES, NARROW_BYTES, SETS_BYTES = 80, 300, 24, 8 << 10
 
 
 def shingles(text: Column, size: int = SHINGLE) -> Column:
@@ -218,24 +220,26 @@ def _exhaustive(rows: DataFrame, percent: int) -> DataFrame:
     return _pairs(rows.alias("x").join(rows.alias("y"), wanted & _alike("x", "y", percent)))
 
 
-def _with_company(rows: DataFrame) -> DataFrame:
+def _with_company(rows: DataFrame, count: int) -> DataFrame:
     """``rows`` plus ``company``: how many documents a row's document meets over all its nodes."""
-    return rows.withColumn("company", F.sum("cnt").over(Window.partitionBy("id")))
+    met = rows.withColumn("company", F.sum("cnt").over(Window.partitionBy("id")))
+    return few_tasks(met, count, ROW_BYTES)
 
 
 def _with_leaders(
-    rows: DataFrame, percent: int, turn: int, most: int, work: Workspace
+    rows: DataFrame, count: int, percent: int, turn: int, most: int, work: Workspace
 ) -> DataFrame:
-    """``(b, a)``: for each row of a large node, the most alike of the leaders it meets.
+    """``(b, a)``: for each of the ``count`` rows of large nodes, the most alike of the leaders
+    it meets.
 
     In the first ``turn`` a node's leader is the document with the most company over all its
     nodes: of a group of edited copies that is the text they were made from, as it alone has
     no token of its own.  Later a hash draws about ``LEADERS`` leaders per node.
     """
     if turn == 0:
-        leaders = _with_company(rows).groupBy("node").agg(F.max(
+        leaders = few_tasks(_with_company(rows, count).groupBy("node").agg(F.max(
             F.struct("company", F.xxhash64("id").alias("h"), "id", "n", "component", *SKETCH)
-        ).alias("lead")).select("node", "lead.*")
+        ).alias("lead")).select("node", "lead.*"), count, ROW_BYTES)
     else:
         draw = F.pmod(F.xxhash64(F.lit(turn), "node", "id"), F.lit(1 << 30))
         leaders = rows.filter(draw * F.col("cnt") < F.lit(LEADERS << 30))
@@ -246,17 +250,20 @@ def _with_leaders(
     met = rows.alias("x").join(sent.alias("y"), "node").filter(
         (F.col("x.component") != F.col("y.component")) & _alike("x", "y", percent)
     )
-    return met.groupBy(F.col("x.id").alias("b")).agg(
+    best = met.groupBy(F.col("x.id").alias("b")).agg(
         F.min_by(F.col("y.id"), F.struct(_differing("x", "y"), F.col("y.id"))).alias("a")
     )
+    return few_tasks(best, count, NARROW_BYTES)
 
 
-def _centred(still: DataFrame, percent: int, most: int, work: Workspace) -> DataFrame:
-    """Rows of open nodes with ``alike``: whether they are like the centre of their node, the
+def _centred(
+    still: DataFrame, count: int, percent: int, most: int, work: Workspace
+) -> DataFrame:
+    """The ``count`` rows of open nodes with ``alike``: whether they are like the centre of their node, the
     document of its largest group that has the most company over all nodes, or in a small one."""
-    centres = _with_company(still).filter("component = top").groupBy("node").agg(
+    centres = few_tasks(_with_company(still, count).filter("component = top").groupBy("node").agg(
         F.max(F.struct("company", F.xxhash64("id").alias("h"), "n", *SKETCH)).alias("c")
-    ).select("node", "c.n", *[f"c.{s}" for s in SKETCH])
+    ).select("node", "c.n", *[f"c.{s}" for s in SKETCH]), count, ROW_BYTES)
     share = ALIKE_SHARE * percent / 100
     near = int(MINHASHES * (1 - share) * 15 / 16)  # differing sketches of such a pair on average
     sent = may_broadcast(work.table(centres, "centres"), 64, most)
@@ -265,11 +272,11 @@ def _centred(still: DataFrame, percent: int, most: int, work: Workspace) -> Data
     )
 
 
-def _tiles(family: DataFrame, most: int, work: Workspace) -> DataFrame:
+def _tiles(family: DataFrame, count: int, most: int, work: Workspace) -> DataFrame:
     """``(id, places)``: the tiles that a document goes to, as structs ``(top, p, q, component,
     alike, alike_side)``.
 
-    ``family``: ``(top, id, component, alike, n)``.  A family is dealt into blocks of about
+    ``family``: ``(top, id, component, alike, n)``, of ``count`` rows.  A family is dealt into blocks of about
     ``BLOCK_SHINGLES`` shingles of alike documents, and of four times that of all of them.
     """
     sizes = family.groupBy("top").agg(
@@ -277,6 +284,7 @@ def _tiles(family: DataFrame, most: int, work: Workspace) -> DataFrame:
         .cast("int").alias("ps"),
         F.ceil(F.sum("n") / (4 * BLOCK_SHINGLES)).cast("int").alias("qs"),
     ).filter("ps > 0")
+    sizes = few_tasks(sizes, count, NARROW_BYTES)
     dealt = family.join(may_broadcast(work.table(sizes, "family-sizes"), 24, most), "top")
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -289,7 +297,8 @@ def _tiles(family: DataFrame, most: int, work: Workspace) -> DataFrame:
         *columns, "p", block("qs").alias("q"), F.lit(False).alias("alike_side")
     )
     places = F.struct("top", "p", "q", "component", "alike", "alike_side")
-    return left.unionByName(right).groupBy("id").agg(F.collect_list(places).alias("places"))
+    of_id = left.unionByName(right).groupBy("id").agg(F.collect_list(places).alias("places"))
+    return few_tasks(of_id, count, ROW_BYTES)
 
 
 def _verified(percent: int):
@@ -342,10 +351,11 @@ def _verified(percent: int):
     return run
 
 
-def _sized(rows: DataFrame, work: Workspace) -> DataFrame:
-    """Rows of nodes with two documents or more, with the node's count ``cnt``."""
+def _sized(rows: DataFrame, about: float, work: Workspace) -> DataFrame:
+    """Of ``about`` so many rows those of nodes with two documents or more, with the node's
+    count ``cnt``."""
     nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("cnt")).filter("cnt > 1")
-    return work.table(rows.join(nodes, "node"), "nodes")
+    return work.table(few_tasks(rows.join(nodes, "node"), ceil(about), ROW_BYTES), "nodes")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None, key: str, out: str) -> DataFrame:
@@ -369,16 +379,16 @@ class _Join:
     def grouped(self, rows: DataFrame) -> DataFrame:
         return _labelled(rows, self.labels, "id", "component")
 
-    def open(self, rows: DataFrame) -> DataFrame:
-        """Rows of the nodes that hold more than one group, with their ``component``, the
+    def open(self, rows: DataFrame, count: int) -> DataFrame:
+        """Of the ``count`` rows those of the nodes that hold more than one group, with their ``component``, the
         node's largest one, ``top``, and the number of rows ``outside`` it."""
         grouped = self.grouped(rows)
-        nodes = grouped.groupBy("node", "component").agg(F.count(F.lit(1)).alias("own")).groupBy(
-            "node"
-        ).agg(
+        groups = grouped.groupBy("node", "component").agg(F.count(F.lit(1)).alias("own"))
+        nodes = few_tasks(groups, count, NARROW_BYTES).groupBy("node").agg(
             F.max_by("component", F.struct("own", "component")).alias("top"),
             (F.sum("own") - F.max("own")).alias("outside"),
         ).filter("outside > 0")
+        nodes = few_tasks(nodes, count, NARROW_BYTES)
         sent = may_broadcast(self.work.table(nodes, "open"), 24, self.most)
         return self.work.table(grouped.join(sent, "node"), "open-nodes")
 
@@ -393,14 +403,17 @@ class _Join:
             "id", shingles(F.col("text"), self.shingle).alias("sh")
         ), "sets")
 
-    def compare(self, centred: DataFrame) -> None:
-        """Join the groups of open nodes whose alike documents link to any of their node."""
-        family = self.work.table(centred.groupBy("top", "id").agg(
+    def compare(self, centred: DataFrame, count: int) -> None:
+        """In ``count`` rows, join the groups of open nodes whose alike documents link to any of their node."""
+        family = self.work.table(few_tasks(centred.groupBy("top", "id").agg(
             F.first("component").alias("component"), F.max("alike").alias("alike"),
             F.first("n").alias("n"),
-        ), "families")
-        places = self.work.table(_tiles(family, self.most, self.work), "places")
-        links = self.work.table(self.linked(places, narrow=True).distinct(), "links")
+        ), count, ROW_BYTES), "families")
+        count = family.count()
+        places = self.work.table(_tiles(family, count, self.most, self.work), "places")
+        links = self.work.table(few_tasks(
+            self.linked(places, narrow=True).distinct(), count, NARROW_BYTES
+        ), "links")
         if links.isEmpty():
             return
         if self.verify(links) < links.count():  # unlike shingles share their narrow hash
@@ -436,9 +449,10 @@ class _Join:
             "a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"),
             (F.size("sa") + F.size("sb")).alias("both"),
         )
-        links = self.work.table(joined.filter(
+        found = joined.filter(
             F.col("common") * 100 >= (F.col("both") - F.col("common")) * self.percent
-        ).select("a", "b").distinct(), "links")
+        ).select("a", "b").distinct()
+        links = self.work.table(few_tasks(found, pairs.count(), SETS_BYTES), "links")
         self.merge(links)
         return links.count()
 
@@ -463,15 +477,16 @@ class _Join:
         groups = self.work.table(moved.unionByName(fresh), "groups")
         self.labels = may_broadcast(groups, LABEL_BYTES, self.most)
 
-    def settle(self, pairs: DataFrame) -> None:
-        """Verify ``pairs(a, b, off)``: each document's most alike first, then all still apart."""
-        pairs = self.work.table(
-            pairs.groupBy("a", "b").agg(F.min("off").alias("off")), "pairs"
-        )
+    def settle(self, pairs: DataFrame, about: int) -> None:
+        """Verify ``about`` so many ``pairs(a, b, off)``: each document's most alike first, then
+        all still apart."""
+        pairs = self.work.table(few_tasks(
+            pairs.groupBy("a", "b").agg(F.min("off").alias("off")), about, NARROW_BYTES
+        ), "pairs")
         either = pairs.select("a", "b", "off").unionAll(pairs.select("b", "a", "off"))
-        best = self.work.table(either.groupBy("b").agg(
+        best = self.work.table(few_tasks(either.groupBy("b").agg(
             F.min_by("a", F.struct("off", "a")).alias("a")
-        ), "best")
+        ), 2 * pairs.count(), NARROW_BYTES), "best")
         if best.isEmpty():
             return
         self.verify(best)
@@ -504,39 +519,53 @@ def near_duplicates(
         "signatures",
     )
     keys = ["n", "k1", "k2"]
-    classes = work.table(
+    classes = work.table(few_tasks(
         base.filter("n > 0").groupBy(*keys)
         .agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("sig").alias("sig")),
-        "classes",
-    )
+        base.count(), SIGNED_BYTES,
+    ), "classes")
     members = classes.select(F.col("rep").alias("id"), "n", "sig").filter("id is not null")
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     join = _Join(texts, shingle, percent, broadcast_bytes, work)
 
-    nodes = _sized(members.mapInArrow(_branch(trees_for(recall), percent), ROWS), work)
+    def leaves(nodes: DataFrame) -> None:
+        few = nodes.filter(F.col("cnt") <= small)
+        join.settle(_exhaustive(join.grouped(few), percent), few.count() * small // 2)
+
+    each = 100 / percent  # children of a document in a tree
+    trees = trees_for(recall)
+    nodes = _sized(
+        members.mapInArrow(_branch(trees, percent), ROWS), classes.count() * trees * each, work
+    )
     rows = nodes.filter(F.col("cnt") > small)
-    join.settle(_exhaustive(join.grouped(nodes.filter(F.col("cnt") <= small)), percent))
+    leaves(nodes)
     rounds = LEADER_ROUNDS
     while True:
+        count = rows.count()
         for turn in range(rounds):
-            best = work.table(
-                _with_leaders(join.grouped(rows), percent, turn, broadcast_bytes, work), "led"
-            )
+            best = work.table(_with_leaders(
+                join.grouped(rows), count, percent, turn, broadcast_bytes, work
+            ), "led")
             if best.isEmpty():
                 break
             join.verify(best)
-        still = join.open(rows)
-        if still.isEmpty():
+        still = join.open(rows, count)
+        count = still.count()
+        if count == 0:
             break
-        centred = work.table(_centred(still, percent, broadcast_bytes, work), "centred")
-        join.compare(centred)
+        centred = work.table(_centred(still, count, percent, broadcast_bytes, work), "centred")
+        join.compare(centred, count)
         # The centre itself is alike, so a node loses one document at least.
-        unlike = centred.filter("not alike").select("id", "node").join(members, "id")
-        nodes = _sized(unlike.mapInArrow(_branch(DRAWS, percent), ROWS), work)
+        unlike = centred.filter("not alike").select("id", "node")
+        count = unlike.count()
+        signed = few_tasks(unlike.join(members, "id"), count, SIGNED_BYTES)
+        nodes = _sized(
+            signed.mapInArrow(_branch(DRAWS, percent), ROWS), count * DRAWS * each, work
+        )
         if nodes.isEmpty():
             break
         rows, rounds = nodes.filter(F.col("cnt") > small), 1
-        join.settle(_exhaustive(join.grouped(nodes.filter(F.col("cnt") <= small)), percent))
+        leaves(nodes)
 
     copies = classes.filter("copies > 1").select(*keys, "rep")
     placed = base.drop("sig").join(copies, keys, "left").withColumn(

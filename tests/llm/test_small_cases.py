@@ -609,6 +609,50 @@ def test_near_duplicates_write_no_ids_and_send_leaders(spark, work):
     assert "ids" not in names and "leaders" in names
 
 
+def test_near_duplicates_write_small_tables_by_few_tasks(spark, work):
+    """Many shuffle partitions, which nothing merges, do not make as many tasks and files of a
+    small table; a large one keeps them."""
+    import os
+
+    from echosieve.llm.common import few_tasks
+    from echosieve.llm.components import components
+
+    files = lambda t: len([f for f in os.listdir(t.removeprefix("file:")) if f.endswith(".parquet")])
+    many = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    cores = spark.sparkContext.defaultParallelism
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        pairs = spark.createDataFrame([(i, i + 1) for i in range(0, 4000, 2)], "a long, b long")
+        links = work.table(pairs, "links")
+        for most in (0, 1 << 20):
+            first = len(work.tables)
+            got = components(links, work, most)
+            assert {(r["id"], r["component"]) for r in got.collect()} == {
+                (i, i - i % 2) for i in range(4000)
+            }
+            assert all(files(t) <= cores for t in work.tables[first:])
+        dealt = pairs.groupBy("a").count()
+        assert few_tasks(dealt, 1 << 30, 24).rdd.getNumPartitions() == 61
+        # Texts in pairs that are links, and a group with one word changed in each.
+        base = [f"w{i}" for i in range(100)]
+        rows = [(2 * i + k, " ".join(f"d{i}x{j}" for j in range(100 + k))) for i in range(60) for k in (0, 1)]
+        rows += [(1000 + i, " ".join([*base[:99], f"o{i}"])) for i in range(60)]
+        first = len(work.tables)
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), work)
+        assert {(r["doc_id"], r["component_id"]) for r in got.collect()} == {
+            (i, 1000 if i >= 1000 else i - i % 2) for i, _ in rows
+        }
+        small = [t for t in work.tables[first:] if t.rsplit("-", 1)[1] in (
+            "classes", "nodes", "pairs", "best", "links", "labels", "leaders", "led"
+        )]
+        assert len(small) > 8 and all(files(t) <= cores for t in small)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_least_agreeing_follows_the_similarity():
     assert [near_dedup.least_agreeing(p) for p in (50, 80, 85, 100)] == [18, 38, 42, 64]
 
